@@ -38,7 +38,7 @@ def cycle_start(col: Column, cycle: float | None) -> Column:
 
 def plus_seconds(col: Column, seconds: Column | float) -> Column:
     secs = seconds if isinstance(seconds, Column) else F.lit(seconds)
-    return from_micros(micros(col) + (secs * 1_000_000).cast("bigint"))
+    return from_micros(micros(col) + (secs.cast("double") * 1e6).cast("bigint"))
 
 
 def seconds_between(later: Column, earlier: Column) -> Column:

@@ -6,7 +6,7 @@ from importlib import import_module
 
 from workload.common import ORACLES, QUERIES
 
-AREAS = ["dashboards"]
+AREAS = ["dashboards", "search", "detectors"]
 
 for _area in AREAS:
     import_module(f"workload.{_area}")

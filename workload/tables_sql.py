@@ -29,7 +29,7 @@ def floor_to(col: str, seconds: int) -> str:
 
 
 def plus(col: str, seconds) -> str:
-    return f"({col} + to_microseconds(CAST(({seconds}) * 1000000 AS BIGINT)))"
+    return f"({col} + to_microseconds(CAST({seconds} AS BIGINT) * 1000000))"
 
 
 def user_ip(col: str) -> str:
