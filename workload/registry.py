@@ -6,7 +6,7 @@ from importlib import import_module
 
 from workload.common import ORACLES, QUERIES
 
-AREAS = ["dashboards", "search", "detectors", "rules"]
+AREAS = ["dashboards", "search", "detectors", "rules", "alerts"]
 
 for _area in AREAS:
     import_module(f"workload.{_area}")

@@ -139,12 +139,7 @@ def threshold_rolling(spark, sf):
     return R.threshold_rolling(T.logs(spark, sf), TEST_THRESHOLDS)
 
 
-@query("threshold_reset", sql(["logs"], """
-SELECT rule_id, title, severity, group_key, src_ip, make_timestamp(sec * 1000000) AS seen_at,
-  make_timestamp(first_sec * 1000000) AS first_seen, CAST(total // threshold AS BIGINT) AS fires,
-  CAST(threshold AS BIGINT) AS event_count, round(least(0.95, 0.5 + 1.0 * 0.3), 6)::DOUBLE AS confidence,
-  mitre_tactic, mitre_technique
-FROM run WHERE total >= threshold""", extra={**THR_ROWS, "steps": """
+RESET_EXTRA = {**THR_ROWS, "steps": """
   SELECT *, row_number() OVER (PARTITION BY rule_id, group_key ORDER BY sec) AS rn FROM (
     SELECT rule_id, title, severity, group_key, any_value(src_ip) AS src_ip, mitre_tactic, mitre_technique,
       threshold, w, epoch_us(t) // 1000000 AS sec, CAST(count(*) AS BIGINT) AS n FROM thr_rows GROUP BY ALL)""", "run": """
@@ -160,7 +155,14 @@ FROM run WHERE total >= threshold""", extra={**THR_ROWS, "steps": """
         THEN [{'s': sec, 'n': CAST(total % threshold AS BIGINT)}] ELSE [] END ELSE kept END AS held
   FROM (SELECT *, CAST(list_sum(list_transform(kept, lambda x: x.n)) AS BIGINT) AS total FROM (
     SELECT s.*, list_append(list_filter(r.held, lambda x: x.s >= s.sec - s.w), {'s': s.sec, 'n': s.n}) AS kept
-    FROM run r JOIN steps s ON r.rule_id = s.rule_id AND r.group_key = s.group_key AND s.rn = r.rn + 1))"""},
-    recursive=True))
+    FROM run r JOIN steps s ON r.rule_id = s.rule_id AND r.group_key = s.group_key AND s.rn = r.rn + 1))"""}
+
+
+@query("threshold_reset", sql(["logs"], """
+SELECT rule_id, title, severity, group_key, src_ip, make_timestamp(sec * 1000000) AS seen_at,
+  make_timestamp(first_sec * 1000000) AS first_seen, CAST(total // threshold AS BIGINT) AS fires,
+  CAST(threshold AS BIGINT) AS event_count, round(least(0.95, 0.5 + 1.0 * 0.3), 6)::DOUBLE AS confidence,
+  mitre_tactic, mitre_technique
+FROM run WHERE total >= threshold""", extra=RESET_EXTRA, recursive=True))
 def threshold_reset(spark, sf):
     return R.threshold_reset(T.logs(spark, sf), TEST_THRESHOLDS)
