@@ -14,6 +14,7 @@ from duskwatch.functions.text import any_rlike
 from duskwatch.functions.times import floor_to, from_micros, micros
 from duskwatch.operators.patterns import ALLOWED_PATHS, DEFAULT_PATTERNS, VERDICTS
 from duskwatch.plans.fold import ordered_fold
+from duskwatch.plans.settle import settle
 from duskwatch.plans.tiles import first_n
 
 _TAG = r"(?i)</?[a-z]+[\s/>]"
@@ -82,7 +83,7 @@ def _classified(
         elif category == "ssrf_attempt":
             hit = ~F.coalesce(internal, F.lit(False)) & hit
         verdict = verdict.when(hit, category)
-    return rows.withColumn("threat_type", verdict.otherwise("none")).withColumn("allow_listed", allowed)
+    return settle(rows, {"threat_type": verdict.otherwise("none"), "allow_listed": allowed})
 
 
 def classify_requests(
@@ -109,13 +110,18 @@ def classify_requests(
 def pattern_hit_counts(requests: DataFrame, *, patterns: dict[str, list[str]] | None = None) -> DataFrame:
     """Requests and addresses per pattern of the category that decided the verdict."""
     patterns = DEFAULT_PATTERNS if patterns is None else patterns
-    rows = _classified(requests, patterns, ALLOWED_PATHS, 5).filter(F.col("threat_type").isin(list(patterns)))
-    found = F.array().cast("array<string>")
+    rows = _classified(requests, patterns, ALLOWED_PATHS, 5)
+    texts = F.array().cast("array<string>")
+    for category in patterns:
+        mine = F.array_distinct(F.filter(F.array(*_columns(category)), lambda x: x.isNotNull()))
+        texts = F.when(F.col("threat_type") == category, mine).otherwise(texts)
+    rows = rows.select("id", "threat_type", "client_ip", F.explode(texts).alias("_text"))
+    text, found = F.col("_text"), F.array().cast("array<string>")
     for category, regexes in patterns.items():
-        cols = _columns(category)
-        mine = F.array(*[F.when(any_match(cols, "(?i)" + p), F.lit(p)) for p in regexes])
+        mine = F.array(*[F.when(text.rlike("(?i)" + p), p) for p in regexes])
         found = F.when(F.col("threat_type") == category, F.filter(mine, lambda x: x.isNotNull())).otherwise(found)
-    hits = rows.select("threat_type", "client_ip", F.explode(found).alias("pattern"))
+    # A pattern that finds several forms of one request counts once.
+    hits = rows.select("id", "threat_type", "client_ip", F.explode(found).alias("pattern")).distinct()
     return hits.groupBy("threat_type", "pattern").agg(
         F.count("*").alias("requests"), F.count_distinct("client_ip").alias("ips"))
 

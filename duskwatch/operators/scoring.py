@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from duskwatch.functions import severity as sev
 from duskwatch.functions.decode import any_match
 from duskwatch.functions.text import html_unescape, url_decode
+from duskwatch.plans.settle import settle
 
 # Payload patterns by class and how much a class weighs.
 PAYLOAD_PATTERNS = {
@@ -260,7 +261,7 @@ def heuristic_score(
     evident = (classes_n >= 1) & ((F.col("_abuse") >= 0.2) | (c >= 0.2) | (a >= 0.5))
     alone = F.when(classes_n >= 2, F.greatest(alone, F.lit(0.65))).when(
         evident, F.greatest(alone, F.lit(0.55))).otherwise(alone)
-    rows = rows.withColumn("_score", _clamp(F.when(t > 0, detected).otherwise(alone)))
+    rows = settle(rows, {"_score": _clamp(F.when(t > 0, detected).otherwise(alone))})
     s = F.col("_score")
     confidence = _clamp(
         F.when(t > 0.7, 0.82 + F.col("_strong") / 5 * 0.14 + F.least(F.lit(0.04), backed * 0.01))
@@ -279,9 +280,14 @@ def heuristic_score(
     factors += [(test, F.lit(k)) for k, (test, _) in context_parts.items()]
     factors += [(d > 0.3, F.lit("ddos_indicator")), (b > 0, F.lit("ip_blacklisted"))]
     listed = F.filter(F.array(*[F.when(test, name) for test, name in factors]), lambda x: x.isNotNull())
+
+    def places(x: Column) -> Column:
+        """Three places, with the noise of the last bits cut first."""
+        return F.round(F.round(x, 9), 3)
+
     return rows.select(
-        *given, F.round(s, 3).alias("score"), F.round(confidence, 3).alias("confidence"), label.alias("severity_label"),
-        F.round(p, 3).alias("payload_score"), F.round(a, 3).alias("agent_score"), F.round(c, 3).alias("context_score"),
+        *given, places(s).alias("score"), places(confidence).alias("confidence"), label.alias("severity_label"),
+        places(p).alias("payload_score"), places(a).alias("agent_score"), places(c).alias("context_score"),
         F.slice(F.array_distinct(listed), 1, 10).alias("risk_factors"))
 
 

@@ -70,6 +70,13 @@ def _any(forms: list[str], pattern: str) -> str:
     return "(" + " OR ".join(f"regexp_matches({f}, '{p}')" for f in forms) + ")"
 
 
+# The texts become columns once, so that patterns are short to write.
+FORM_COLS = {x: f"f{i}" for i, x in enumerate(dict.fromkeys(x for v in (*FORMS.values(), OTHER) for x in v if x != "user_agent"))}
+FORMS = {k: [FORM_COLS.get(x, x) for x in v] for k, v in FORMS.items()}
+OTHER = [FORM_COLS[x] for x in OTHER]
+FORMED = ", ".join(f"{x} AS {c}" for x, c in FORM_COLS.items())
+
+
 TAGGED = _any([_text(ST[0]), _text(ST[1])], r"(?i)</?[a-z]+[\s/>]")
 
 
@@ -89,7 +96,8 @@ JUDGED = {
     "req": """SELECT r.*, l.http_path, CASE WHEN id % 97 = 0 THEN 7 ELSE 0 END AS s_score, id % 53 = 0 AS ip_blocked,
       id % 31 = 0 AS rate_limited FROM requests r JOIN (SELECT id AS lid, http_path FROM logs) l ON l.lid = r.id""",
     "shapes": "SELECT DISTINCT http_path, id % 16 AS id, k % 2 AS k, body, user_agent, s_score, ip_blocked, rate_limited FROM req",
-    "judged": f"SELECT *, {_verdict()} AS threat_type FROM shapes",
+    "formed": f"SELECT *, {FORMED} FROM shapes",
+    "judged": f"SELECT *, {_verdict()} AS threat_type FROM formed",
     "verdicts": """SELECT r.*, j.threat_type FROM req r JOIN judged j ON r.http_path = j.http_path AND r.id % 16 = j.id
       AND r.k % 2 = j.k AND r.body IS NOT DISTINCT FROM j.body AND r.user_agent = j.user_agent
       AND r.s_score = j.s_score AND r.ip_blocked = j.ip_blocked AND r.rate_limited = j.rate_limited""",
@@ -120,7 +128,7 @@ SELECT p.threat_type, p.pattern, count(*) AS requests, count(DISTINCT r.client_i
 FROM req r JOIN pats p ON r.http_path = p.http_path AND r.id % 16 = p.id AND r.k % 2 = p.k
   AND r.body IS NOT DISTINCT FROM p.body AND r.user_agent = p.user_agent
   AND r.s_score = p.s_score AND r.ip_blocked = p.ip_blocked AND r.rate_limited = p.rate_limited GROUP BY 1, 2""",
-    extra={**JUDGED, "pats": PAT_SQL}))
+    extra={**JUDGED, "pats": PAT_SQL}, materialize=("judged",)))
 def pattern_hit_counts(spark, sf):
     return R.pattern_hit_counts(stated(spark, sf))
 
@@ -344,18 +352,16 @@ def scored_requests(spark, sf):
     return S.heuristic_score(r)
 
 
-# Rounding to three places happens at the end on both sides; two places keep ties of the last bit out.
 @query("heuristic_score", sql(["requests", "logs"], """
-SELECT id, round(s, 2) AS score, round(conf, 2) AS confidence, severity_label, round(p, 2) AS payload_score,
-  round(a, 3) AS agent_score, round(c, 2) AS context_score FROM heur""", extra=HEUR))
+SELECT id, round(round(s, 9), 3) AS score, round(round(conf, 9), 3) AS confidence, severity_label, round(round(p, 9), 3) AS payload_score,
+  round(round(a, 9), 3) AS agent_score, round(round(c, 9), 3) AS context_score FROM heur""", extra=HEUR))
 def heuristic_score(spark, sf):
     return scored_requests(spark, sf).select(
-        "id", F.round("score", 2).alias("score"), F.round("confidence", 2).alias("confidence"), "severity_label",
-        F.round("payload_score", 2).alias("payload_score"), "agent_score", F.round("context_score", 2).alias("context_score"))
+        "id", "score", "confidence", "severity_label", "payload_score", "agent_score", "context_score")
 
 
 @query("flag_events", sql(["requests", "logs"], """
-SELECT id, round(s, 3) >= 0.85 AS flagged, CASE WHEN round(s, 3) >= 0.85 THEN 'heuristic' END AS reason FROM heur""",
+SELECT id, round(round(s, 9), 3) >= 0.85 AS flagged, CASE WHEN round(round(s, 9), 3) >= 0.85 THEN 'heuristic' END AS reason FROM heur""",
     extra=HEUR))
 def flag_events(spark, sf):
     return S.flag_events(scored_requests(spark, sf)).select(

@@ -174,7 +174,8 @@ CTES: dict[str, tuple[list[str], str]] = {
 }
 
 
-def sql(uses: list[str], body: str, *, extra: dict[str, str] | None = None, recursive: bool = False) -> str:
+def sql(uses: list[str], body: str, *, extra: dict[str, str] | None = None, recursive: bool = False,
+        materialize: tuple[str, ...] = ()) -> str:
     """``WITH`` the named tables, their dependencies and ``extra`` CTEs, then ``body``."""
     seen: dict[str, str] = {}
 
@@ -192,4 +193,5 @@ def sql(uses: list[str], body: str, *, extra: dict[str, str] | None = None, recu
     if not seen:
         return body
     head = "WITH RECURSIVE " if recursive else "WITH "
-    return head + ",\n".join(f"{n} AS ({t})" for n, t in seen.items()) + "\n" + body
+    keep = {n: "MATERIALIZED " for n in materialize}
+    return head + ",\n".join(f"{n} AS {keep.get(n, '')}({t})" for n, t in seen.items()) + "\n" + body
