@@ -6,7 +6,7 @@ from importlib import import_module
 
 from workload.common import ORACLES, QUERIES
 
-AREAS = ["dashboards", "search", "detectors", "rules", "alerts", "lookups", "ingest", "requests", "evaluation"]
+AREAS = ["dashboards", "search", "detectors", "rules", "alerts", "lookups", "ingest", "requests", "evaluation", "streams"]
 
 for _area in AREAS:
     import_module(f"workload.{_area}")

@@ -45,9 +45,13 @@ def pick(values: list[str], index: Column) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), index.cast("int") + 1)
 
 
-def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+def table(spark: SparkSession, sf: str, name: str, *, stream: bool = False) -> DataFrame:
     configure(spark)
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    path = f"{sf}/{name}.parquet"
+    if stream:
+        # A glob, because a stream over a plain path wants a folder and this may be one file.
+        return spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{sf}/{name}.parque[t]")
+    return spark.read.parquet(path)
 
 
 def user_ip(user: Column) -> Column:
@@ -55,8 +59,8 @@ def user_ip(user: Column) -> Column:
                     (user % 256).cast("string"))
 
 
-def logs(spark: SparkSession, sf: str, *, with_k: bool = False) -> DataFrame:
-    e = table(spark, sf, "events")
+def logs(spark: SparkSession, sf: str, *, with_k: bool = False, stream: bool = False) -> DataFrame:
+    e = table(spark, sf, "events", stream=stream)
     k = F.get_json_object("props", "$.k").cast("int")
     t = F.col("event_type")
     e = e.withColumn("k", k)
@@ -208,8 +212,8 @@ def security_events(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def requests(spark: SparkSession, sf: str) -> DataFrame:
-    rows = logs(spark, sf, with_k=True)
+def requests(spark: SparkSession, sf: str, *, stream: bool = False) -> DataFrame:
+    rows = logs(spark, sf, with_k=True, stream=stream)
     k, i = F.col("k"), F.col("id")
     payload = F.when(k % 2 == 0, pick(ENCODED, i % 16)).otherwise(pick(ENCODED_TWICE, i % 16))
     headers = F.map_filter(F.create_map(
