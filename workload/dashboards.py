@@ -255,3 +255,11 @@ SELECT count(*) AS total_events, count(*) FILTER (blocked = 1) AS threats_blocke
   count(DISTINCT ip) AS unique_ips FROM security_events WHERE {LAST24}"""))
 def event_kpis(spark, sf):
     return D.event_kpis(T.security_events(spark, sf), now=NOW)
+
+
+@query("time_window_filter", sql(["logs"], f"""
+SELECT id, "timestamp", src_ip, action FROM logs
+WHERE "timestamp" BETWEEN TIMESTAMP '{NOW}' - INTERVAL 48 HOUR AND TIMESTAMP '{NOW}'"""))
+def time_window_filter(spark, sf):
+    return D.time_window_filter(T.logs(spark, sf), "timestamp", now=NOW, last_hours=48).select(
+        "id", "timestamp", "src_ip", "action")
