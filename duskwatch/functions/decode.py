@@ -35,14 +35,15 @@ def plain(col: Column) -> Column:
 
 def sql_text(col: Column) -> Column:
     """Squeezed text without SQL comments."""
-    out = F.regexp_replace(squeeze(col), r"/\*.*?\*/", " ")
-    return F.regexp_replace(out, r"--[^\n]*", " ")
+    text = squeeze(col)
+    out = F.regexp_replace(F.regexp_replace(text, r"/\*.*?\*/", " "), r"--[^\n]*", " ")
+    return F.when(col.rlike(r"--|/\*"), out).otherwise(text)
 
 
 def path_text(col: Column) -> Column:
     """Lower case, one kind of slash, none doubled, no null bytes."""
-    out = F.translate(col, "\\\u0000", "/")
-    return F.lower(F.regexp_replace(out, "/+", "/"))
+    out = F.regexp_replace(F.translate(col, "\\\u0000", "/"), "/+", "/")
+    return F.lower(F.when(col.rlike(r"[\\\u0000]|//"), out).otherwise(col))
 
 
 def any_match(cols: list[Column], pattern: str) -> Column:

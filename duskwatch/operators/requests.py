@@ -21,20 +21,29 @@ _TAG = r"(?i)</?[a-z]+[\s/>]"
 LOOPBACK = ["127.0.0.1", "localhost", "::1"]
 
 
-def _forms(requests: DataFrame) -> DataFrame:
-    """All decoded and normalised texts the categories look at, as ``_``-columns."""
+def _forms(requests: DataFrame, ssrf: list[str]) -> DataFrame:
+    """All decoded and normalised texts the categories look at, as ``_``-columns.
+
+    The forms of query and body alone are only made where the whole request
+    already shows one of the ``ssrf`` patterns.
+    """
     text = F.concat(F.coalesce("url", F.lit("")), F.lit(" "), F.coalesce("body", F.lit("")))
     query = F.regexp_extract(F.coalesce("url", F.lit("")), r"\?([^#]*)", 1)
     df = with_decoded(requests, text, "_d", 4, [1, 3, 4])
-    df = with_decoded(df, F.concat(query, F.lit(" "), F.coalesce("body", F.lit(""))), "_q", 4, [4])
     new = {}
-    for c in ("_d0", "_d1", "_d2", "_d3", "_d4", "_d_h3", "_d_h4", "_q0", "_q1", "_q2", "_q3", "_q4", "_q_h4"):
+    for c in ("_d0", "_d1", "_d2", "_d3", "_d4", "_d_h3", "_d_h4"):
         new["_n" + c] = plain(F.col(c))
     for c in ("_d0", "_d1", "_d2", "_d3", "_d_h3"):
         new["_s" + c] = sql_text(F.col(c))
     for c in ("_d0", "_d1", "_d2", "_d3", "_d4"):
         new["_p" + c] = path_text(F.col(c))
-    return df.withColumns(new)
+    df = settle(df, new)
+    if not ssrf:
+        return df
+    seen = any_match([F.col(c) for c in _ANY], any_rlike(ssrf, lowered=True))
+    part = F.when(seen, F.concat(query, F.lit(" "), F.coalesce("body", F.lit(""))))
+    df = with_decoded(df, part, "_q", 4, [4])
+    return settle(df, {"_n" + c: plain(F.col(c)) for c in ("_q0", "_q1", "_q2", "_q3", "_q4", "_q_h4")})
 
 
 _FORMS = {
@@ -45,6 +54,7 @@ _FORMS = {
     "ssrf_attempt": ["_n_q0", "_n_q1", "_n_q2", "_n_q3", "_n_q4", "_n_q_h4"],
     "bot_detected": ["user_agent"],
 }
+_AS_WRITTEN = ["html_injection", "bot_detected"]
 _ANY = ["_n_d0", "_n_d1", "_n_d2", "_n_d3", "_n_d4", "_n_d_h4"]
 
 
@@ -63,7 +73,7 @@ def _given(df: DataFrame, name: str, default) -> Column:
 def _classified(
     requests: DataFrame, patterns: dict[str, list[str]], allowed_paths: list[str], ddos_threshold: int
 ) -> DataFrame:
-    rows = _forms(requests)
+    rows = _forms(requests, patterns.get("ssrf_attempt", []))
     path = _url_path()
     allowed = F.lit(False)
     for p in allowed_paths:
@@ -77,7 +87,7 @@ def _classified(
     tagged = any_match([F.col("_d0"), F.col("_d1")], _TAG)
     internal = F.col("client_ip").isin(LOOPBACK) & path.startswith("/api/v1/")
     for category, regexes in patterns.items():
-        hit = any_match(_columns(category), any_rlike(regexes))
+        hit = any_match(_columns(category), any_rlike(regexes, lowered=category not in _AS_WRITTEN))
         if category == "sql_injection":
             hit = ~tagged & hit
         elif category == "ssrf_attempt":

@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
-from duskwatch.session import checkpoint_root
 from duskwatch.sources import events as E
 from duskwatch.sources import ingest as I
 from workload import lines as L
 from workload import tables as T
 from workload.common import query
 from workload.dashboards import GEO_CTE
+from workload.staging import staging
 from workload.tables_sql import lst, rank, from_rank, sql
 
 NOW = "2024-06-01 00:00:00"
@@ -122,14 +120,6 @@ def training_export(spark, sf):
     return E.training_export(T.security_events(spark, sf))
 
 
-def staging(spark, name: str) -> str:
-    """A fresh folder for data a query derives and reads back."""
-    import uuid
-
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="run-")
-    return f"{checkpoint_root(spark, root)}/{name}-{uuid.uuid4().hex}"
-
-
 @query("benchmark_load", sql(["bench_requests"], """
 SELECT profile, trial, label, status, latency_ms, server_processing_ms FROM bench_requests"""))
 def benchmark_load(spark, sf):

@@ -17,9 +17,10 @@ from duskwatch.streaming import jobs as J
 from workload import lines as L
 from workload import tables as T
 from workload.common import query
-from workload.ingest import JSON_SQL, NOW, staging
+from workload.ingest import JSON_SQL, NOW
 from workload.requests import LIMITS, REPLAY
-from workload.rules import RESET_EXTRA, TEST_THRESHOLDS, THR_ROWS
+from workload.rules import RESET_EXTRA, TEST_THRESHOLDS
+from workload.staging import staging
 from workload.tables_sql import floor_to, rank, sql
 
 DAY = "1 day"
