@@ -28,10 +28,10 @@ def duck():
 
 @pytest.mark.parametrize("name", NAMES)
 def test_matches_sql(spark, duck, name):
-    ours = entry_points.queries()[name](spark, SF).toPandas()
-    theirs = duck.sql(ORACLES[name]).df()
+    ours = entry_points.queries()[name](spark, SF).toArrow().to_pandas()
+    theirs = duck.sql(ORACLES[name]).to_arrow_table().to_pandas()
     assert set(ours.columns) == set(theirs.columns)
-    assert norm(ours.astype(object)) == norm(theirs.astype(object))
+    assert norm(ours) == norm(theirs)
 
 
 def test_every_oracle_has_a_query():
