@@ -1,0 +1,117 @@
+"""One regular expression out of many, tried by their first character.
+
+``a|b|c|...`` makes the matcher try every alternative at every position of the
+text. Alternatives that must begin with a known character are put behind a
+look-ahead for it, so at a position only those that can begin there are tried.
+What is found stays the same.
+"""
+
+from __future__ import annotations
+
+import string
+from collections import defaultdict
+from collections.abc import Iterable
+
+_PLAIN = set(string.ascii_letters + string.digits + "'\"<>%&;=@:_-/!#`~, ")
+_CLOSERS = {"d": set(string.digits)}
+
+
+def split_top(pattern: str) -> list[str]:
+    """Alternatives of a pattern at its outermost level."""
+    parts, depth, in_class, start, i = [], 0, False, 0, 0
+    while i < len(pattern):
+        c = pattern[i]
+        if c == "\\":
+            i += 1
+        elif in_class:
+            in_class = c != "]"
+        elif c == "[":
+            in_class = True
+        elif c in "()":
+            depth += 1 if c == "(" else -1
+        elif c == "|" and depth == 0:
+            parts.append(pattern[start:i])
+            start = i + 1
+        i += 1
+    return [*parts, pattern[start:]]
+
+
+def _group_end(pattern: str) -> int:
+    depth, in_class, i = 0, False, 0
+    while i < len(pattern):
+        c = pattern[i]
+        if c == "\\":
+            i += 1
+        elif in_class:
+            in_class = c != "]"
+        elif c == "[":
+            in_class = True
+        elif c == "(":
+            depth += 1
+        elif c == ")":
+            depth -= 1
+            if depth == 0:
+                return i
+        i += 1
+    return -1
+
+
+def first_chars(pattern: str) -> set[str] | None:
+    """Characters a match can begin with, or None if that is not plain to see."""
+    alternatives = split_top(pattern)
+    if len(alternatives) > 1:
+        sets = [first_chars(a) for a in alternatives]
+        return None if None in sets else set().union(*sets)
+    if pattern.startswith(r"\b"):
+        return first_chars(pattern[2:])
+    if not pattern:
+        return None
+    if pattern.startswith("(?:"):
+        end = _group_end(pattern)
+        if end < 0 or pattern[end + 1:end + 2] in ("?", "*", "{"):
+            return None
+        return first_chars(pattern[3:end])
+    if pattern[0] == "[":
+        end = pattern.find("]")
+        body, chars = pattern[1:end], set()
+        if "\\" in body or "^" in body or "[" in body:
+            return None
+        for span in ("0-9", "a-z", "a-f"):
+            if span in body:
+                chars |= {chr(x) for x in range(ord(span[0]), ord(span[2]) + 1)}
+                body = body.replace(span, "")
+        if "-" in body:
+            return None
+        chars, rest = chars | set(body), end + 1
+    elif pattern[0] == "\\" and len(pattern) > 1:
+        c = pattern[1]
+        if c.isalnum() and c not in _CLOSERS:
+            return None
+        chars, rest = _CLOSERS.get(c, {c}), 2
+    elif pattern[0] in _PLAIN:
+        chars, rest = {pattern[0]}, 1
+    else:
+        return None
+    return None if pattern[rest:rest + 1] in ("?", "*", "{") else chars
+
+
+def _literal(chars: Iterable[str]) -> str:
+    return "[" + "".join(c if c.isalnum() else "\\" + c for c in sorted(chars)) + "]"
+
+
+def by_first_char(patterns: Iterable[str]) -> str:
+    """An alternation equal to ``p1|p2|...``."""
+    at, rest = defaultdict(list), []
+    for p in patterns:
+        for part in split_top(p):
+            chars = first_chars(part)
+            if chars is None:
+                rest.append(part)
+            else:
+                for c in chars:
+                    at[c.lower()].append(part)
+    groups = defaultdict(set)
+    for c, parts in at.items():
+        groups[tuple(parts)].add(c)
+    out = [f"(?={_literal(chars)})(?:" + "|".join(f"(?:{p})" for p in parts) + ")" for parts, chars in groups.items()]
+    return "|".join([*out, *(f"(?:{p})" for p in rest)])

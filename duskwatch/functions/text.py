@@ -8,6 +8,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from duskwatch.functions.alternation import by_first_char
+
 
 def contains_ci(col: Column, needle: str) -> Column:
     """Literal, case-insensitive substring test (null never matches)."""
@@ -69,12 +71,17 @@ def _lower_only(pattern: str) -> bool:
     return not re.search("[A-Z]", re.sub(r"\\.", "", pattern))
 
 
-def any_rlike(patterns: Iterable[str], *, lowered: bool = False) -> str:
-    """One case-insensitive alternation, so a row is matched in one pass.
+def any_rlike(patterns: Iterable[str]) -> str:
+    """One case-insensitive alternation, so a row is matched in one pass."""
+    return "(?i)" + "|".join(f"(?:{p})" for p in patterns)
+
+
+def any_rlike_fast(patterns: Iterable[str], *, lowered: bool = False) -> str:
+    """The same for large sets: alternatives are tried by their first character.
 
     ``lowered`` says that the text is in lower case: patterns in lower case then
-    go without the flag, which matches several times faster.
+    go without the flag, which matches faster.
     """
     patterns = list(patterns)
     flag = "" if lowered and all(_lower_only(p) for p in patterns) else "(?i)"
-    return flag + "|".join(f"(?:{p})" for p in patterns)
+    return flag + by_first_char(patterns)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from duskwatch.functions.decode import any_match, path_text, plain, sql_text, with_decoded
-from duskwatch.functions.text import any_rlike
+from duskwatch.functions.text import any_rlike_fast
 from duskwatch.functions.times import floor_to, from_micros, micros
 from duskwatch.operators.patterns import ALLOWED_PATHS, DEFAULT_PATTERNS, VERDICTS
 from duskwatch.plans.fold import ordered_fold
@@ -40,7 +40,7 @@ def _forms(requests: DataFrame, ssrf: list[str]) -> DataFrame:
     df = settle(df, new)
     if not ssrf:
         return df
-    seen = any_match([F.col(c) for c in _ANY], any_rlike(ssrf, lowered=True))
+    seen = any_match([F.col(c) for c in _ANY], any_rlike_fast(ssrf, lowered=True))
     part = F.when(seen, F.concat(query, F.lit(" "), F.coalesce("body", F.lit(""))))
     df = with_decoded(df, part, "_q", 4, [4])
     return settle(df, {"_n" + c: plain(F.col(c)) for c in ("_q0", "_q1", "_q2", "_q3", "_q4", "_q_h4")})
@@ -87,7 +87,7 @@ def _classified(
     tagged = any_match([F.col("_d0"), F.col("_d1")], _TAG)
     internal = F.col("client_ip").isin(LOOPBACK) & path.startswith("/api/v1/")
     for category, regexes in patterns.items():
-        hit = any_match(_columns(category), any_rlike(regexes, lowered=category not in _AS_WRITTEN))
+        hit = any_match(_columns(category), any_rlike_fast(regexes, lowered=category not in _AS_WRITTEN))
         if category == "sql_injection":
             hit = ~tagged & hit
         elif category == "ssrf_attempt":

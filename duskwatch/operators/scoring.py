@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from duskwatch.functions import severity as sev
 from duskwatch.functions.decode import any_match
-from duskwatch.functions.text import any_rlike, html_unescape, url_decode
+from duskwatch.functions.text import any_rlike_fast, html_unescape, url_decode
 from duskwatch.plans.settle import settle
 
 # Payload patterns by class and how much a class weighs.
@@ -182,8 +182,8 @@ def agent_classes(requests: DataFrame) -> DataFrame:
 
 def _matches(cols: list[Column], regexes: list[str]) -> Column:
     """How many patterns match the lower-case texts; counted only where one of them does."""
-    hits = F.array(*[any_match(cols, any_rlike([p], lowered=True)) for p in regexes])
-    some = any_match(cols, any_rlike(regexes, lowered=True))
+    hits = F.array(*[any_match(cols, any_rlike_fast([p], lowered=True)) for p in regexes])
+    some = any_match(cols, any_rlike_fast(regexes, lowered=True))
     return F.when(some, F.size(F.filter(hits, lambda x: x))).otherwise(0)
 
 
