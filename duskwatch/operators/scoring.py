@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from duskwatch.functions import severity as sev
-from duskwatch.functions.decode import any_match
 from duskwatch.functions.text import any_rlike_fast, html_unescape, url_decode
 from duskwatch.plans.settle import settle
 
@@ -180,11 +179,13 @@ def agent_classes(requests: DataFrame) -> DataFrame:
         F.count("*").alias("requests"), F.count_distinct("client_ip").alias("ips"))
 
 
-def _matches(cols: list[Column], regexes: list[str]) -> Column:
-    """How many patterns match the lower-case texts; counted only where one of them does."""
-    hits = F.array(*[any_match(cols, any_rlike_fast([p], lowered=True)) for p in regexes])
-    some = any_match(cols, any_rlike_fast(regexes, lowered=True))
-    return F.when(some, F.size(F.filter(hits, lambda x: x))).otherwise(0)
+def _matches(texts: Column, regexes: list[str]) -> Column:
+    """How many patterns match one of the lower-case texts; counted only where any does."""
+    def hit(pattern: str) -> Column:
+        return F.exists(texts, lambda t: t.rlike(pattern))
+
+    hits = F.array(*[hit(any_rlike_fast([p], lowered=True)) for p in regexes])
+    return F.when(hit(any_rlike_fast(regexes, lowered=True)), F.size(F.filter(hits, lambda x: x))).otherwise(0)
 
 
 def heuristic_score(
@@ -200,10 +201,9 @@ def heuristic_score(
     given = requests.columns
     rows = with_query_profile(requests.withColumn("_url", F.coalesce("url", F.lit(""))), "_url")
     rows = with_variants(rows.withColumn("_body", F.coalesce("body", F.lit(""))), "_body", "_b")
-    texts = []
-    for c in ("_u0", "_u1", "_u2", "_b0", "_b1", "_b2"):
-        rows = rows.withColumn("_t" + c, F.lower(c))
-        texts.append(F.col("_t" + c))
+    forms = F.array(*[F.lower(c) for c in ("_u0", "_u1", "_u2", "_b0", "_b1", "_b2")])
+    rows = settle(rows, {"_texts": F.array_distinct(F.filter(forms, lambda t: t.isNotNull()))})
+    texts = F.col("_texts")
 
     classes = {c: F.least(F.lit(1.0), _matches(texts, p) * F.lit(0.22)) for c, p in patterns.items()}
     rows = rows.withColumns({f"_c_{c}": v for c, v in classes.items()})
@@ -226,7 +226,7 @@ def heuristic_score(
     ddos = F.coalesce(F.col("ddos_score").cast("double"), F.lit(0.0)) if "ddos_score" in given else F.lit(0.0)
     denied = F.coalesce("blacklisted", F.lit(False)) if "blacklisted" in given else F.lit(False)
     rows = rows.withColumns({
-        "_abuse": abuse, "_sensitive": _matches([low], SENSITIVE_ENDPOINTS),
+        "_abuse": abuse, "_sensitive": _matches(F.array(low), SENSITIVE_ENDPOINTS),
         "_headers": F.lower(headers), "_agent": agent, "_kind": kind,
         "_threat": F.when(threat.isin("none", ""), 0.0).otherwise(F.coalesce(F.try_element_at(table, threat), guess)),
         "_ddos": _clamp(ddos / 10.0), "_denied": F.when(denied, 1.0).otherwise(0.0),

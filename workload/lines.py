@@ -14,7 +14,7 @@ ACTION_WORDS = {"BLOCKED": "denied", "ALLOWED": "permitted", "RATE_LIMITED": "th
 
 def raw_json(spark, sf) -> DataFrame:
     """Field names and time formats vary by id; every hundredth line is broken."""
-    logs = T.logs(spark, sf)
+    logs = T.logs(spark, sf, shared=True)
     t, i = F.col("timestamp"), F.col("id")
 
     def render(when: str, names: dict[str, str], **extra) -> F.Column:
@@ -42,7 +42,7 @@ def raw_json(spark, sf) -> DataFrame:
 
 def raw_syslog(spark, sf) -> DataFrame:
     """RFC 5424 for even ids, RFC 3164 for odd ones, bare text for every hundredth."""
-    logs = T.logs(spark, sf)
+    logs = T.logs(spark, sf, shared=True)
     t, i = F.col("timestamp"), F.col("id")
     kv = F.concat(
         F.lit("action="), "action", F.lit(" src="), "src_ip", F.lit(' dst="'), "dst_ip", F.lit('", method='),
@@ -57,7 +57,7 @@ def raw_syslog(spark, sf) -> DataFrame:
 
 
 def raw_text(spark, sf) -> DataFrame:
-    logs = T.logs(spark, sf)
+    logs = T.logs(spark, sf, shared=True)
 
     def word(table: dict[str, str], c: str) -> F.Column:
         expr = F.lit("")

@@ -106,7 +106,7 @@ JUDGED = {
 
 def stated(spark, sf):
     i = F.col("id")
-    return T.requests(spark, sf).withColumns({
+    return T.requests(spark, sf, shared=True).withColumns({
         "ddos_score": F.when(i % 97 == 0, 7).otherwise(0), "ip_blocked": i % 53 == 0, "rate_limited": i % 31 == 0})
 
 
@@ -346,7 +346,7 @@ HEUR = {
 
 
 def scored_requests(spark, sf):
-    r = T.requests(spark, sf).drop("headers")
+    r = T.requests(spark, sf, shared=True).drop("headers")
     r = r.withColumn("threat_type", F.when(F.col("k") < 55, "none").otherwise(T.pick(T.THREATS, F.col("k") % 15)))
     r = r.withColumn("ddos_score", F.col("k") % 10).withColumn("blacklisted", F.col("id") % 7 == 0)
     return S.heuristic_score(r)

@@ -102,7 +102,7 @@ def _violations(source: str) -> str:
 @query("request_rule_violations", sql(["requests"], _violations("c"), extra={
     "c": "SELECT id, url || ' ' || coalesce(body, '') || ' ' || payload || ' ' || user_agent AS content FROM requests"}))
 def request_rule_violations(spark, sf):
-    r = T.requests(spark, sf)
+    r = T.requests(spark, sf, shared=True)
     content = F.concat_ws(" ", "url", F.coalesce("body", F.lit("")), T.pick(T.PAYLOADS, F.col("id") % 16), "user_agent")
     return R.request_rule_violations(r.withColumn("content", content))
 

@@ -59,8 +59,21 @@ def user_ip(user: Column) -> Column:
                     (user % 256).cast("string"))
 
 
-def logs(spark: SparkSession, sf: str, *, with_k: bool = False, stream: bool = False) -> DataFrame:
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Share out a table that comes in fewer pieces than there are cores.
+
+    For work that costs far more per row than moving the row. A table of many
+    files stays as it is. ``df`` must be a plain scan.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
+def logs(
+    spark: SparkSession, sf: str, *, with_k: bool = False, stream: bool = False, shared: bool = False
+) -> DataFrame:
     e = table(spark, sf, "events", stream=stream)
+    e = spread(e, "event_id") if shared else e
     k = F.get_json_object("props", "$.k").cast("int")
     t = F.col("event_type")
     e = e.withColumn("k", k)
@@ -212,8 +225,8 @@ def security_events(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def requests(spark: SparkSession, sf: str, *, stream: bool = False) -> DataFrame:
-    rows = logs(spark, sf, with_k=True, stream=stream)
+def requests(spark: SparkSession, sf: str, *, stream: bool = False, shared: bool = False) -> DataFrame:
+    rows = logs(spark, sf, with_k=True, stream=stream, shared=shared)
     k, i = F.col("k"), F.col("id")
     payload = F.when(k % 2 == 0, pick(ENCODED, i % 16)).otherwise(pick(ENCODED_TWICE, i % 16))
     headers = F.map_filter(F.create_map(
