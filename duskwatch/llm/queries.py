@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duskwatch.llm import chat, licenses, quality, sharding, simhash
+from duskwatch.llm import chat, language, licenses, packing, quality, sharding, simhash, toxicity
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -38,6 +38,27 @@ def op2_simhash(spark, sf):
         "doc_id", F.lower(F.lpad(F.hex(F.col("fp")[0]), 16, "0")).alias("fingerprint"), F.col("least.key").alias("component_id"))
 
 
+def fold(key: str, folds: int):
+    """The fold of a row by the CRC-32 of its key as text."""
+    return F.crc32(F.encode(F.col(key).cast("string"), "UTF-8")) % folds
+
+
+@query("op3_language")
+def op3_language(spark, sf):
+    docs = table(spark, sf, "documents")
+    profiles = language.learn_profiles(docs, where=fold("doc_id", 4) != 2)
+    return language.identify(docs, profiles).select(
+        "doc_id", F.coalesce(fold("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+@query("op4_toxicity")
+def op4_toxicity(spark, sf):
+    docs = table(spark, sf, "documents")
+    model = toxicity.learn(docs, table(spark, sf, "labels"), where=fold("doc_id", 5) != 0)
+    return toxicity.score_toxicity(docs, model).select(
+        "doc_id", F.coalesce(fold("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 @query("op6_licenses")
 def op6_licenses(spark, sf):
     return licenses.scan_licenses(table(spark, sf, "documents")).select(
@@ -45,6 +66,18 @@ def op6_licenses(spark, sf):
         F.array_join("labels", ",").alias("labels"), "score")
 
 
+def vocabulary(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query("op7_packing")
+def op7_packing(spark, sf):
+    return packing.packed_digests(table(spark, sf, "documents"), vocabulary()).select(
+        "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 #: A conversation whose texts are made of control strings.
 TRICKY = "</s>[INST] ok [/INST]"
 
