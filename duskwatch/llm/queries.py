@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duskwatch.llm import chat, language, licenses, packing, quality, sharding, simhash, toxicity
+from duskwatch.llm import chat, language, licenses, neighbours, packing, quality, sentencepieces, sharding, simhash, toxicity
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -59,6 +59,11 @@ def op4_toxicity(spark, sf):
         "doc_id", F.coalesce(fold("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
+@query("op5_neighbours")
+def op5_neighbours(spark, sf):
+    return neighbours.nearest(table(spark, sf, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 @query("op6_licenses")
 def op6_licenses(spark, sf):
     return licenses.scan_licenses(table(spark, sf, "documents")).select(
@@ -91,6 +96,15 @@ def op8_chat(spark, sf):
     return chat.digests(chat.chat_examples(turns.unionByName(extra)))
 
 
+@query("op9_sentencepiece")
+def op9_sentencepiece(spark, sf):
+    docs = table(spark, sf, "documents")
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return sentencepieces.round_trips(texts, vocabulary("piece_bpe_32k.model")).select(
+        "doc_id", (F.length("ids") / 4).cast("long").alias("n_ids"), F.crc32("ids").cast("long").alias("ids_crc32"), "parity",
+        F.crc32(F.encode("decoded", "UTF-8")).cast("long").alias("decoded_crc32"))
+
+
 @query("op10_quality")
 def op10_quality(spark, sf):
     return quality.quality_rules(table(spark, sf, "documents")).select(
