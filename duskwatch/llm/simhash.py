@@ -79,11 +79,20 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
 
 
 class Forest:
-    """Union-find that reports the unions which joined two trees."""
+    """Union-find that keeps the links which joined two trees.
 
-    def __init__(self, n: int):
+    With ``sure``, links up to that distance are taken as they come and farther ones wait until the
+    end, nearest first, so that trees grow along the nearest links. Waiting links whose ends have
+    been joined meanwhile are dropped, which bounds their number.
+    """
+
+    WAITING = 1 << 22
+
+    def __init__(self, n: int, sure: int | None = None):
         self.parent = np.arange(n)
         self.edges: list[tuple[int, int]] = []
+        self.sure = sure
+        self.waiting: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
     def roots(self) -> np.ndarray:
         while True:
@@ -92,7 +101,29 @@ class Forest:
                 return self.parent
             self.parent = up
 
-    def add(self, a: np.ndarray, b: np.ndarray) -> None:
+    def add(self, a: np.ndarray, b: np.ndarray, distance: np.ndarray) -> None:
+        if self.sure is not None:
+            far = distance > self.sure
+            if far.any():
+                self.waiting.append((a[far], b[far], distance[far]))
+            a, b = a[~far], b[~far]
+        self._join(a, b)
+        if sum(len(w[0]) for w in self.waiting) > self.WAITING:
+            a, b, distance = map(np.concatenate, zip(*self.waiting))
+            roots = self.roots()
+            apart = roots[a] != roots[b]
+            self.waiting = [(a[apart], b[apart], distance[apart])]
+            if apart.sum() > self.WAITING // 2:
+                self.finish()
+
+    def finish(self) -> None:
+        if self.waiting:
+            a, b, distance = map(np.concatenate, zip(*self.waiting))
+            order = np.argsort(distance, kind="stable")
+            self.waiting = []
+            self._join(a[order], b[order])
+
+    def _join(self, a: np.ndarray, b: np.ndarray) -> None:
         roots = self.roots()
         apart = roots[a] != roots[b]
         parent = self.parent
@@ -117,18 +148,17 @@ def _direct(fps, sizes, a, b, radius, first_radius, ratio, forest) -> None:
     step = max(1, BLOCK // max(1, len(b)))
     for at in range(0, len(a), step):
         rows = a[at:at + step]
-        near = np.bitwise_count(fps[rows, 0][:, None] ^ fps[b, 0][None, :]) <= first_radius
-        i, j = np.nonzero(near)
+        apart = np.bitwise_count(fps[rows, 0][:, None] ^ fps[b, 0][None, :])
+        i, j = np.nonzero(apart <= first_radius)
+        distance = apart[i, j].astype(np.int32)
         i, j = rows[i], b[j]
         if fps.shape[1] > 1 and len(i):
-            close = np.bitwise_count(fps[i] ^ fps[j]).sum(axis=1, dtype=np.int32) <= radius
-            i, j = i[close], j[close]
-        if ratio and len(i):
-            small, large = np.minimum(sizes[i], sizes[j]), np.maximum(sizes[i], sizes[j])
-            fits = small >= ratio * large
-            i, j = i[fits], j[fits]
-        if len(i):
-            forest.add(i, j)
+            distance = np.bitwise_count(fps[i] ^ fps[j]).sum(axis=1, dtype=np.int32)
+        near = (distance <= radius) & (i != j)
+        if ratio:
+            near &= np.minimum(sizes[i], sizes[j]) >= ratio * np.maximum(sizes[i], sizes[j])
+        if near.any():
+            forest.add(i[near], j[near], distance[near])
 
 
 def link_tiles(fps, sizes, a, b, radius, first_radius, ratio, forest, parts: int = 2) -> None:
@@ -157,7 +187,8 @@ def link_tiles(fps, sizes, a, b, radius, first_radius, ratio, forest, parts: int
             link_tiles(fps, sizes, tile, tb[m], radius, first_radius, ratio, forest, parts * 2)
 
 
-def near_links(fps: DataFrame, radius: int, first_radius: int | None = None, ratio: float | None = None) -> DataFrame:
+def near_links(fps: DataFrame, radius: int, first_radius: int | None = None, ratio: float | None = None,
+               sure: int | None = None) -> DataFrame:
     """Links between distinct fingerprints at most ``radius`` bits apart: as few as keep them connected.
 
     ``fps`` has distinct rows of ``node`` (long), ``fp`` and ``n_shingles``. With several lanes, two
@@ -168,7 +199,8 @@ def near_links(fps: DataFrame, radius: int, first_radius: int | None = None, rat
     Cells are the bit counts of both halves of the first lane in steps of the radius, and with
     ``ratio`` the size on a logarithmic scale: rows that are near have equal or adjoining cells.
     Cells are cut into tiles of bounded size, and every pair of tiles in adjoining cells is compared
-    in one task, which returns a spanning forest of its links rather than all pairs.
+    in one task, which returns a spanning forest of its links rather than all pairs, along the nearest
+    links if ``sure`` says up to which distance order does not matter.
     """
     first_radius = radius if first_radius is None else first_radius
     width = first_radius + 1
@@ -212,33 +244,54 @@ def near_links(fps: DataFrame, radius: int, first_radius: int | None = None, rat
         sizes = group.column("n_shingles").to_numpy()
         nodes = group.column("node").to_numpy()
         every = np.arange(len(side))
-        forest = Forest(len(side))
+        forest = Forest(len(side), sure)
         a, b = (every, every) if not side.max() else (every[side == 1], every[side == 2])
         link_tiles(words, sizes, a, b, radius, first_radius, ratio, forest)
+        forest.finish()
         u, v = zip(*forest.edges) if forest.edges else ((), ())
         return pa.table({"u": pa.array(nodes[list(u)], pa.int64()), "v": pa.array(nodes[list(v)], pa.int64())})
 
     return sent.groupBy("pair").applyInArrow(compare, "u long, v long")
 
 
+def similar(links: DataFrame, nodes: DataFrame, docs: DataFrame, key: str, text: str, size: int, least: float) -> DataFrame:
+    """The links whose texts have a Jaccard similarity of ``least`` or more: exact, over distinct shingles."""
+    ends = links.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(
+        nodes.select("node", F.col("least.row_hash").alias("_row_hash")), "node")
+    texts = docs.select(F.xxhash64(key, text).alias("_row_hash"), F.col(text).alias("_text")).join(ends, "_row_hash")
+    sets = map_rows(texts, ["node", "_text"], "node long, shingles array<long>",
+                    lambda n, t: (n, np.unique(shingle_hashes(t, size)).view(np.int64).tolist()))
+    sets = sets.groupBy("node").agg(F.first("shingles").alias("shingles"))
+    pairs = links.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u").join(
+        sets.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v")
+    shared = F.size(F.array_intersect("a", "b"))
+    union = F.size("a") + F.size("b") - shared
+    return pairs.where((union == 0) | (shared >= F.lit(least) * union)).select("u", "v")
+
+
 def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 3, lanes: int = 1, radius: int = 3,
-                first_radius: int | None = None, ratio: float | None = None) -> DataFrame:
+                first_radius: int | None = None, similarity: float | None = None) -> DataFrame:
     """The near-duplicate group of every row.
 
     A-Z are lower-cased; shingles of ``size`` words, repeats included, vote for the bits of a
     fingerprint of 64 ``lanes`` bits. Equal fingerprints collapse first, whatever their number, and
-    distinct ones are compared in tiles (``near_links``); groups are connected components.
+    distinct ones are compared in tiles (``near_links``); groups are connected components. With
+    ``similarity``, links count only if the shingle sets have that Jaccard similarity.
 
     Columns: key, row_hash, fp, least: the smallest (key, row_hash) of the group, with null keys last.
     Null texts and texts without words have fingerprint zero and are linked like others. Rows
     with a null key take part; repeated rows are one group; other columns are ignored.
     """
     rows = frozen(fingerprints(docs, key, text, size, lanes).withColumn(
-        "node", F.col("fp")[0] if lanes == 1 and not ratio else F.xxhash64("fp", "n_shingles")))
+        "node", F.xxhash64("fp", "n_shingles") if similarity else F.col("fp")[0]))
     ordered = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.col("row_hash").alias("row_hash"))
     nodes = frozen(rows.groupBy("node").agg(
         F.first("fp").alias("fp"), F.first("n_shingles").alias("n_shingles"), F.min(ordered).alias("least")))
-    roots = components(near_links(nodes, radius, first_radius, ratio))
+    # Repeats of a shingle count in sizes and not in sets, so sizes may differ somewhat more than sets.
+    links = near_links(nodes, radius, first_radius, similarity and similarity * 0.95, similarity and radius // 2)
+    if similarity:
+        links = similar(frozen(links), nodes, docs, key, text, size, similarity)
+    roots = components(links)
     linked = roots.join(nodes.select("node", "least"), "node")
     smallest = linked.groupBy("root").agg(F.min("least").alias("smallest"))
     joined = linked.join(smallest, "root").select("node", "smallest")
@@ -252,19 +305,20 @@ def bits_for(similarity: float, bits: int) -> int:
     return round(bits * math.acos(2 * similarity / (1 + similarity)) / math.pi)
 
 
-#: For whole-text near-duplicates: lanes of 64 bits, and how far above the expected distance
-#: of a pair at the limit still counts as near (its standard deviation is 8 bits).
-WIDE_LANES, WIDE_SLACK, FIRST_RADIUS = 8, 8, 21
+#: For whole-text near-duplicates: lanes of 64 bits, how far above the expected distance of a pair at
+#: the limit a link is still looked at (its standard deviation is 8 bits), and the bits that the first
+#: lanes of such a pair may differ in (expected 10, standard deviation 3).
+WIDE_LANES, WIDE_SLACK, FIRST_RADIUS = 8, 24, 21
 
 
 def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of ``docs``, columns unchanged, with one row kept of each near-duplicate group.
 
-    Fingerprints of 512 bits over 5-word shingles estimate the Jaccard similarity; rows at
-    ``similarity`` or more are linked, and of each group the one with the smallest key stays.
+    Fingerprints of 512 bits over 5-word shingles propose links, which are checked by the exact
+    Jaccard similarity of the shingle sets; of each group the row with the smallest key stays.
     """
     radius = bits_for(similarity, 64 * WIDE_LANES) + WIDE_SLACK
-    groups = near_groups(docs, key, text, size, WIDE_LANES, radius, FIRST_RADIUS, similarity * 0.95)
+    groups = near_groups(docs, key, text, size, WIDE_LANES, radius, FIRST_RADIUS, similarity)
     kept = groups.select(F.col("least.row_hash").alias("_row_hash")).distinct()
     once = Window.partitionBy("_row_hash").orderBy("_row_hash")
     single = docs.withColumn("_row_hash", F.xxhash64(key, text)).withColumn("_nth", F.row_number().over(once)).where("_nth = 1")
