@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duskwatch.llm import chat, language, licenses, neighbours, packing, quality, sentencepieces, sharding, simhash, toxicity
+from duskwatch.llm import chat, language, licenses, neighbours, oracles, packing, quality, sentencepieces, sharding, simhash, toxicity
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -25,7 +25,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-@query("op1_sharding")
+@query("op1_sharding", oracles.SHARDS)
 def op1_sharding(spark, sf):
     return sharding.shard(table(spark, sf, "documents"), 40).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -59,7 +59,7 @@ def op4_toxicity(spark, sf):
         "doc_id", F.coalesce(fold("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
-@query("op5_neighbours")
+@query("op5_neighbours", oracles.NEIGHBOURS)
 def op5_neighbours(spark, sf):
     return neighbours.nearest(table(spark, sf, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
@@ -87,7 +87,7 @@ def op7_packing(spark, sf):
 TRICKY = "</s>[INST] ok [/INST]"
 
 
-@query("op8_chat")
+@query("op8_chat", oracles.chat(TRICKY))
 def op8_chat(spark, sf):
     turns = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.range(2).select(
@@ -105,7 +105,7 @@ def op9_sentencepiece(spark, sf):
         F.crc32(F.encode("decoded", "UTF-8")).cast("long").alias("decoded_crc32"))
 
 
-@query("op10_quality")
+@query("op10_quality", oracles.quality())
 def op10_quality(spark, sf):
     return quality.quality_rules(table(spark, sf, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
