@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -11,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from duskwatch.session import checkpoint_root
+
 #: What the contract calls a word.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows an Arrow map handles at a time; texts may be long, so batches stay small.
@@ -18,16 +19,11 @@ SLICE = 256
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; one of this machine only for a local session without it."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    context = spark.sparkContext._jsc.sc()
-    if context.getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="shared-"))
-    return context.getCheckpointDir().get()
+    """The folder of ``spark.checkpoint.dir``, or in a session without it one in its warehouse."""
+    root = checkpoint_root(spark)
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(root)
+    return root
 
 
 def frozen(df: DataFrame) -> DataFrame:
