@@ -43,3 +43,12 @@ def plus_seconds(col: Column, seconds: Column | float) -> Column:
 
 def seconds_between(later: Column, earlier: Column) -> Column:
     return (micros(later) - micros(earlier)) / F.lit(1_000_000.0)
+
+
+#: Later than any end there is.
+FOREVER = "9999-12-31 00:00:00"
+
+
+def ends_at(expires: Column, revoked: Column) -> Column:
+    """End of an interval that expires or is revoked, whatever comes first; never, if neither is known."""
+    return F.least(F.coalesce(revoked, at(FOREVER)), F.coalesce(expires, at(FOREVER)))

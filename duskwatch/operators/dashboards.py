@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from duskwatch.functions.net import is_private
-from duskwatch.functions.times import at
+from duskwatch.functions.times import at, ends_at
 from duskwatch.schema import ACTIVE_ALERT_STATUSES, OPEN_INCIDENT_STATUSES
 
 
@@ -57,7 +57,7 @@ def soc_kpis(
         F.count_if(in_window).alias("total_alerts"),
         F.count_if(F.col("status").isin(ACTIVE_ALERT_STATUSES)).alias("active_alerts"))
     w_inc = incidents.agg(F.count_if(F.col("status").isin(OPEN_INCIDENT_STATUSES)).alias("open_incidents"))
-    running = (F.col("created_at") <= at(now)) & (F.coalesce("revoked_at", "expires_at") > at(now))
+    running = (F.col("created_at") <= at(now)) & (ends_at(F.col("expires_at"), F.col("revoked_at")) > at(now))
     w_resp = responses.agg(F.count_if(running).alias("active_blocks"))
     out = w_logs.withColumn("_k", F.lit(1))
     for other in (w_alerts, w_inc, w_resp):

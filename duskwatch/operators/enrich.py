@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from duskwatch.functions import net
-from duskwatch.functions.times import micros, seconds_between
+from duskwatch.functions.times import FOREVER, at, ends_at, micros, seconds_between
 from duskwatch.plans.ranks import exact_rank_values
 
 # Attack type -> tactic, technique, technique name.
@@ -72,35 +74,47 @@ def mitre_coverage(logs: DataFrame, alerts: DataFrame) -> DataFrame:
     )
 
 
+def _prefixes(low: int, high: int) -> list[str]:
+    """The fewest hexadecimal prefixes that cover all 128-bit numbers from ``low`` to ``high``."""
+    out = []
+    while low <= high:
+        digits = 0
+        while digits < 32 and low % 16 ** (digits + 1) == 0 and low + 16 ** (digits + 1) - 1 <= high:
+            digits += 1
+        out.append(f"{low:032x}"[: 32 - digits])
+        low += 16 ** digits
+    return out
+
+
 def join_ranges(ips: DataFrame, ranges: DataFrame, *, ip: str, cols: list[str]) -> DataFrame:
-    """Attach the range that holds each distinct IPv4 address.
+    """Attach the range that holds each distinct address, IPv4 or IPv6.
 
-    ``ranges`` has inclusive bigint ``start`` and ``end`` and does not overlap
-    itself. Addresses and range pieces meet per /16 block and the last start at
-    or below an address decides, so a block costs its own size (at most 65 536
-    addresses and as many pieces) and never addresses times ranges.
+    ``ranges`` has inclusive ``start`` and ``end``, IPv4 as numbers or either kind as text,
+    and does not overlap itself. A range is cut into hexadecimal prefixes of address keys and an
+    address is looked up by each of its own prefixes (9 for IPv4, 32 for IPv6), which is an
+    equality join whose size is that of the two tables, however wide the ranges are.
     """
-    width = 1 << 16
-    distinct = ips.select(F.col(ip).alias("_ip")).filter(net.is_ipv4(F.col("_ip"))).distinct()
-    points = distinct.select(
-        "_ip", net.ip_number(F.col("_ip")).alias("_at"), F.lit(None).cast("bigint").alias("_end"),
-        *[F.lit(None).cast(ranges.schema[c].dataType).alias(c) for c in cols],
-    )
-    blocks = F.sequence(F.floor(F.col("start") / width), F.floor(F.col("end") / width))
-    pieces = ranges.select("start", "end", *cols, F.explode(blocks).alias("_block")).select(
-        F.lit(None).cast("string").alias("_ip"),
-        F.greatest("start", F.col("_block") * width).alias("_at"),
-        F.col("end").alias("_end"), *cols,
-    )
-    both = points.unionByName(pieces).withColumn("_block", F.floor(F.col("_at") / width))
-    w = (Window.partitionBy("_block").orderBy("_at", F.col("_ip").asc_nulls_first())
-         .rowsBetween(Window.unboundedPreceding, 0))
-    piece = F.last(F.when(F.col("_ip").isNull(), F.struct("_end", *cols)), ignorenulls=True).over(w)
-    return (
-        both.withColumn("_r", piece)
-        .filter(F.col("_ip").isNotNull() & (F.col("_at") <= F.col("_r._end")))
-        .select(F.col("_ip").alias(ip), *[F.col(f"_r.{c}").alias(c) for c in cols])
-    )
+    number = ranges.schema["start"].dataType.simpleString() != "string"
+    key = net.number_key if number else net.ip_key
+    bounds = ranges.select(key(F.col("start")).alias("_low"), key(F.col("end")).alias("_high"), *cols).filter(
+        "_low is not null and _high is not null")
+    schema = T.StructType([T.StructField("_prefix", T.StringType()), *[ranges.schema[c] for c in cols]])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(p, i) for i, (low, high) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+                     for p in _prefixes(int(low, 16), int(high, 16))]
+            rows = pa.array([i for _, i in found], pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([p for p, _ in found], pa.string()), *[c.take(rows) for c in batch.columns[2:]]],
+                names=["_prefix", *cols])
+
+    pieces = bounds.mapInArrow(cut, schema)
+    points = ips.select(F.col(ip).alias("_ip")).distinct().withColumn("_at", net.ip_key(F.col("_ip"))).filter("_at is not null")
+    shortest = F.when(net.is_ipv4(F.col("_ip")), 24).otherwise(1)
+    looked_up = points.select("_ip", F.explode(F.transform(
+        F.sequence(shortest, F.lit(32)), lambda n: F.substring(F.col("_at"), F.lit(1), n))).alias("_prefix"))
+    return looked_up.join(pieces, "_prefix").select(F.col("_ip").alias(ip), *cols)
 
 
 def geo_enrich(logs: DataFrame, geo_ranges: DataFrame, *, ip: str = "src_ip") -> DataFrame:
@@ -171,47 +185,47 @@ def ip_reputation(
     )
 
 
-def blocked_traffic(
-    requests: DataFrame, blocks: DataFrame, *, ip: str = "src_ip",
-    max_block_seconds: int = 86400, tile_seconds: int = 3600,
-) -> DataFrame:
+def blocked_traffic(requests: DataFrame, blocks: DataFrame, *, ip: str = "src_ip", tile_seconds: int = 60) -> DataFrame:
     """Requests that arrive while their address is blocked.
 
     The latest block at or before the request decides; it must be neither
-    expired nor revoked by then. An as-of join by (address, time tile): every
-    tile is given the last block that precedes it, so tiles of one busy address
-    are worked on apart from each other and nothing is paired up.
+    expired nor revoked by then, and a block without an end holds for good. An as-of join by
+    (address, time tile): a window with one row per address and tile hands the last
+    block on to every later tile that has requests, however long ago it began; then tiles of
+    one busy address are worked on apart from each other and nothing is paired up.
+    ``blocked_until`` is null for a block without an end.
     """
     size = tile_seconds * 1_000_000
     block = F.struct(micros(F.col("created_at")).alias("us"), "block_id",
-                     F.least(F.coalesce("revoked_at", "expires_at"), "expires_at").alias("until"))
-    starts = blocks.select(F.col("ip").alias("_ip"), block.alias("_b")).withColumn(
-        "_tile", F.floor(F.col("_b.us") / size))
-    last = starts.groupBy("_ip", "_tile").agg(F.max("_b").alias("_b"))
-    ahead = math.ceil(max_block_seconds / tile_seconds) + 1
-    carried = (
-        last.withColumn("_tile", F.explode(F.sequence(F.col("_tile") + 1, F.col("_tile") + ahead)))
-        .groupBy("_ip", "_tile").agg(F.max("_b").alias("_b"))
-    )
+                     ends_at(F.col("expires_at"), F.col("revoked_at")).alias("until"))
+    starts = blocks.select(F.col("ip").alias("_ip"), block.alias("_b")).withColumn("_tile", F.floor(F.col("_b.us") / size))
     reqs = requests.select(
         F.col(ip).alias("_ip"), "id", "timestamp", micros(F.col("timestamp")).alias("_us"),
     ).withColumn("_tile", F.floor(F.col("_us") / size))
+    tiles = starts.unionByName(reqs.select("_ip", "_tile").distinct(), allowMissingColumns=True).groupBy(
+        "_ip", "_tile").agg(F.max("_b").alias("_own"))
+    earlier = Window.partitionBy("_ip").orderBy("_tile").rowsBetween(Window.unboundedPreceding, -1)
+    carried = tiles.withColumn("_b", F.last("_own", ignorenulls=True).over(earlier)).filter("_b is not null").drop("_own")
     marks = starts.unionByName(carried).select("_ip", "_tile", "_b", F.col("_b.us").alias("_us"))
     both = reqs.unionByName(marks, allowMissingColumns=True)
     w = (Window.partitionBy("_ip", "_tile")
          .orderBy("_us", F.col("id").isNotNull(), F.col("_b.block_id"), "id")
          .rowsBetween(Window.unboundedPreceding, 0))
+    until = F.col("_last.until")
     return (
         both.withColumn("_last", F.last("_b", ignorenulls=True).over(w))
-        .filter(F.col("id").isNotNull() & (F.col("timestamp") < F.col("_last.until")))
-        .select("id", F.col("_ip").alias(ip), "timestamp",
-                F.col("_last.block_id").alias("block_id"), F.col("_last.until").alias("blocked_until"))
+        .filter(F.col("id").isNotNull() & (F.col("timestamp") < until))
+        .select("id", F.col("_ip").alias(ip), "timestamp", F.col("_last.block_id").alias("block_id"),
+                F.when(until < at(FOREVER), until).alias("blocked_until"))
     )
 
 
 def alert_pipeline_delay(alerts: DataFrame, logs: DataFrame) -> DataFrame:
-    """Delay from the last received log of an alert to the alert, in ms: mean and p95."""
-    ids = alerts.select("id", "created_at", F.explode("correlated_log_ids").alias("log_id"))
+    """Delay from the last received log of an alert to the alert, in ms: mean and p95.
+
+    ``alerts`` has one row for each log of an alert: id, created_at, log_id.
+    """
+    ids = alerts.select("id", "created_at", "log_id")
     got = logs.select(F.col("id").alias("log_id"), "received_at")
     per_alert = ids.join(got, "log_id").groupBy("id", "created_at").agg(
         F.max("received_at").alias("last_received"))

@@ -37,10 +37,11 @@ def detection_quality(rows: DataFrame) -> DataFrame:
 
 def latency_percentiles(rows: DataFrame) -> DataFrame:
     """p50 and p95 of answered requests and throughput, per profile and trial."""
+    # A benchmark has a handful of profiles and trials.
     ranks = exact_rank_values(rows.filter("status > 0"), groups=RUN, value="latency_ms",
-                              ps={"p50_ms": 0.5, "p95_ms": 0.95})
+                              ps={"p50_ms": 0.5, "p95_ms": 0.95}, few_groups=True)
     server = exact_rank_values(rows, groups=RUN, value="server_processing_ms",
-                               ps={"server_p50_ms": 0.5, "server_p95_ms": 0.95})
+                               ps={"server_p50_ms": 0.5, "server_p95_ms": 0.95}, few_groups=True)
     seconds = F.sum("latency_ms") / 1000.0
     load = rows.groupBy(*RUN).agg(F.when(seconds > 0, F.round(F.count("*") / seconds, 2)).otherwise(0.0)
                                   .alias("throughput_req_per_sec"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from duskwatch.functions.times import at, from_micros, micros, plus_seconds
+from duskwatch.functions.times import at, ends_at, from_micros, micros, plus_seconds
 from duskwatch.plans.fold import ordered_fold
 
 # Short action names and the defensive ones among them.
@@ -185,10 +185,10 @@ def playbook_notices(alerts: DataFrame, playbooks: list[dict] | None = None) ->
 
 
 def response_status(responses: DataFrame, *, now: str) -> DataFrame:
-    """State of every response that exists at ``now``."""
+    """State of every response that exists at ``now``; one without an end stays active until it is revoked."""
     t = at(now)
-    status = (F.when(F.col("revoked_at") <= t, "REVOKED").when(F.col("expires_at") <= t, "EXPIRED")
-              .otherwise("ACTIVE"))
+    running = ends_at(F.col("expires_at"), F.col("revoked_at")) > t
+    status = F.when(running, "ACTIVE").when(F.col("revoked_at") <= t, "REVOKED").otherwise("EXPIRED")
     return responses.filter(F.col("created_at") <= t).withColumn("status", status)
 
 

@@ -18,13 +18,11 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def checkpoint_root(spark: SparkSession, fallback: str | None = None) -> str:
-    """Folder for stream checkpoints and staged tables.
+def checkpoint_root(spark: SparkSession) -> str:
+    """Folder for stream checkpoints and staged tables that driver and executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``; ``fallback`` is for a
-    session that sets none, such as a test on one machine.
+    The cluster names it in ``spark.checkpoint.dir``; a session without it uses its
+    warehouse, which is shared as well.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or fallback
-    if not root:
-        raise ValueError("set spark.checkpoint.dir to a shared folder")
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     return root.rstrip("/")

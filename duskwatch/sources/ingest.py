@@ -87,18 +87,40 @@ def _typed(values: dict[str, Column]) -> list[Column]:
 
 
 def parse_time(text: Column) -> Column:
-    """ISO times with T or space, fraction and Z optional, or the web-server log format."""
-    iso = F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}"), text.try_cast("timestamp"))
+    """A time in one of the usual spellings, null for any other text.
+
+    ISO (T or space; date alone; fraction and zone optional), seconds or milliseconds since 1970, the
+    web-server log format, mail headers, and ``TIME_FORMATS``.
+    """
+    iso = F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2})?|$)"), text.try_cast("timestamp"))
+    number = F.when(text.rlike(r"^\d{9,10}(\.\d+)?$"), text.cast("double") * 1e6).when(
+        text.rlike(r"^\d{12,13}$"), text.cast("double") * 1e3)
     web = F.when(text.rlike(r"^\d{2}/[A-Za-z]{3}/\d{4}:"),
                  F.try_to_timestamp(text, F.lit("dd/MMM/yyyy:HH:mm:ss Z")))
-    return F.coalesce(iso, web).cast("timestamp_ntz")
+    # Names of days say nothing that the date does not; zones by name are the few of mail headers.
+    plain = F.regexp_replace(F.regexp_replace(text, r"^(Mon|Tue|Wed|Thu|Fri|Sat|Sun),?\s+", ""), r"\s*(GMT|UTC|Z)$", " +0000")
+    plain = F.regexp_replace(plain, r"\s+", " ")
+    zoned = F.when(plain.rlike(r"[+-]\d{4}$"), plain).otherwise(F.concat(plain, F.lit(" +0000")))
+    others = [F.when(text.rlike(shape), F.try_to_timestamp(zoned, F.lit(f"{pattern} Z"))) for shape, pattern in TIME_FORMATS]
+    return F.coalesce(iso, F.timestamp_micros(number.cast("bigint")), web, *others).cast("timestamp_ntz")
+
+
+#: Shapes of other spellings and their patterns; a zone may follow.
+TIME_FORMATS = [
+    (r"^([A-Za-z]{3}, )?\d{1,2} [A-Za-z]{3} \d{4} \d{1,2}:\d{2}:\d{2}", "d MMM yyyy H:mm:ss"),
+    (r"^([A-Za-z]{3} )?[A-Za-z]{3} +\d{1,2},? \d{4} \d{1,2}:\d{2}:\d{2}", "MMM d[,] yyyy H:mm:ss"),
+    (r"^([A-Za-z]{3} )?[A-Za-z]{3} +\d{1,2} \d{1,2}:\d{2}:\d{2} \d{4}", "MMM d H:mm:ss yyyy"),
+    (r"^\d{4}/\d{1,2}/\d{1,2} \d{1,2}:\d{2}:\d{2}", "yyyy/M/d H:mm:ss"),
+    (r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}:\d{2}", "M/d/yyyy H:mm:ss"),
+]
 
 
 def parse_json_lines(lines: DataFrame, *, now: str) -> DataFrame:
     """JSON objects, one per line, with the usual spellings of the field names.
 
     If a record has a field under several names, its canonical name counts,
-    else the first alias. Not an object, or a confidence that is no number: not ok.
+    else the first alias. Not an object, a confidence that is no number or a time that cannot
+    be read: not ok. Only a record without a time gets ``now``.
     """
     names = {f.name: [f.name, *JSON_ALIASES.get(f.name, [])] for f in _FIELDS}
     names["timestamp"] = ["timestamp", *JSON_ALIASES["timestamp"]]
@@ -118,10 +140,12 @@ def parse_json_lines(lines: DataFrame, *, now: str) -> DataFrame:
     values["protocol"] = F.upper(values["protocol"])
     conf = values["confidence"]
     is_object = F.ltrim("line").startswith("{") & F.try_parse_json("line").isNotNull()
-    ok = is_object & (conf.isNull() | conf.try_cast("double").isNotNull())
+    written = F.nullif(F.trim(field("timestamp")), F.lit(""))
+    time = parse_time(written)
+    ok = is_object & (conf.isNull() | conf.try_cast("double").isNotNull()) & (written.isNull() | time.isNotNull())
     return rows.select(
         "line", F.coalesce(ok, F.lit(False)).alias("ok"),
-        F.coalesce(parse_time(field("timestamp")), at(now)).alias("timestamp"), *_typed(values),
+        F.coalesce(time, at(now)).alias("timestamp"), *_typed(values),
         F.coalesce(field("raw_log"), F.col("line")).alias("raw_log"),
         F.lit(None).cast("string").alias("ingestion_pipeline"))
 
@@ -239,7 +263,10 @@ def canonical_logs(
     Without ``geo_ranges`` locations stay null, for streams that are located
     when they are read.
     """
-    rows = normalise(parsed.filter("ok"))
+    # Equal lines are rows of their own, so the place in the input is part of the id. It is taken
+    # before any shuffle: a task that runs again gives the same ids.
+    rows = normalise(parsed.filter("ok").withColumn("_place", F.monotonically_increasing_id()))
+    rows = rows.withColumn("id", F.xxhash64("raw_log", "timestamp", "src_ip", "_place")).drop("_place")
     # ATT&CK goes by the attack as written; unknown spellings map to nothing.
     rows = mitre_enrich(rows).drop("technique_name")
     for c in ("geo_country", "geo_city", "geo_asn"):
@@ -250,9 +277,7 @@ def canonical_logs(
         rows = geo_enrich(rows, geo_ranges)
     received = received_at if isinstance(received_at, Column) else at(received_at)
     rows = rows.withColumns({
-        "received_at": received, "source_format": F.lit(source_format), "tier": F.lit("hot"),
-        "id": F.xxhash64("raw_log", "timestamp", "src_ip"),
-    })
+        "received_at": received, "source_format": F.lit(source_format), "tier": F.lit("hot")})
     return rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in LOGS])
 
 

@@ -365,7 +365,7 @@ def response_status(spark, sf):
 
 @query("active_responses", sql(["blocks"], f"""
 SELECT *, 'ACTIVE' AS status FROM blocks WHERE created_at <= TIMESTAMP '{END}'
-AND coalesce(revoked_at, expires_at) > TIMESTAMP '{END}'"""))
+AND (expires_at IS NULL OR expires_at > TIMESTAMP '{END}') AND (revoked_at IS NULL OR revoked_at > TIMESTAMP '{END}')"""))
 def active_responses(spark, sf):
     return P.active_responses(T.blocks(spark, sf), now=END)
 

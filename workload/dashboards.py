@@ -38,7 +38,8 @@ SELECT * FROM
     count(*) FILTER (status IN ('NEW', 'ACKNOWLEDGED')) AS active_alerts FROM alerts) b,
  (SELECT count(*) FILTER (status IN ('NEW', 'INVESTIGATING')) AS open_incidents FROM incidents) c,
  (SELECT count(*) FILTER (created_at <= TIMESTAMP '{END}'
-    AND coalesce(revoked_at, expires_at) > TIMESTAMP '{END}') AS active_blocks FROM blocks) d"""))
+    AND (expires_at IS NULL OR expires_at > TIMESTAMP '{END}') AND (revoked_at IS NULL OR revoked_at > TIMESTAMP '{END}'))
+    AS active_blocks FROM blocks) d"""))
 def soc_kpis(spark, sf):
     return D.soc_kpis(T.logs(spark, sf), T.alerts(spark, sf), T.incidents(spark, sf),
                       T.blocks(spark, sf), start=START, end=END, now=END)

@@ -68,11 +68,12 @@ def ip_reputation(spark, sf):
 
 
 @query("blocked_traffic", sql(["logs", "blocks"], """
-SELECT id, src_ip, "timestamp", block_id, least(coalesce(revoked_at, expires_at), expires_at) AS blocked_until
+SELECT id, src_ip, "timestamp", block_id, CASE WHEN expires_at IS NULL THEN revoked_at WHEN revoked_at < expires_at THEN revoked_at
+  ELSE expires_at END AS blocked_until
 FROM (SELECT l.id, l.src_ip, l."timestamp", b.*, row_number() OVER (
         PARTITION BY l.id ORDER BY b.created_at DESC, b.block_id DESC) AS rn
       FROM logs l JOIN blocks b ON l.src_ip = b.ip AND b.created_at <= l."timestamp")
-WHERE rn = 1 AND "timestamp" < least(coalesce(revoked_at, expires_at), expires_at)"""))
+WHERE rn = 1 AND (expires_at IS NULL OR "timestamp" < expires_at) AND (revoked_at IS NULL OR "timestamp" < revoked_at)"""))
 def blocked_traffic(spark, sf):
     return N.blocked_traffic(T.logs(spark, sf), T.blocks(spark, sf))
 
@@ -83,7 +84,7 @@ P95 = "list_sort(list({v}))[CAST(floor(0.95 * (count({v}) - 1)) AS INTEGER) + 1]
 @query("alert_pipeline_delay", sql(["alerts", "alert_log_ids", "logs"], f"""
 SELECT count(*) AS alerts_measured, round(avg(ms), 2) AS avg_delay_ms, round({P95.format(v='ms')}, 2) AS p95_delay_ms
 FROM (SELECT a.id, (epoch_us(any_value(a.created_at)) - epoch_us(max(l.received_at))) / 1000000.0::DOUBLE * 1000.0 AS ms
-  FROM alerts a JOIN (SELECT alert_id, unnest(correlated_log_ids) AS log_id FROM alert_log_ids) x ON x.alert_id = a.id
+  FROM alerts a JOIN alert_log_ids x ON x.alert_id = a.id
   JOIN logs l ON l.id = x.log_id GROUP BY a.id)"""))
 def alert_pipeline_delay(spark, sf):
     ids = T.alert_log_ids(spark, sf).withColumnRenamed("alert_id", "id")

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from duskwatch.session import checkpoint_root
 
 
 def staging(spark, name: str) -> str:
-    """A fresh folder below the cluster's shared folder (a local one where none is set)."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="run-")
-    return f"{checkpoint_root(spark, root)}/{name}-{uuid.uuid4().hex}"
+    """A fresh folder below the folder that all executors share."""
+    return f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from duskwatch.functions import severity as sev
 from duskwatch.functions.times import floor_to, plus_seconds
 from duskwatch.operators.enrich import mitre_map
-from duskwatch.plans.tiles import first_n
 from duskwatch.session import configure
 
 ATTACKS = [
@@ -140,14 +139,12 @@ def alerts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def alert_log_ids(spark: SparkSession, sf: str) -> DataFrame:
-    """alert id -> its first 50 log ids, oldest first."""
+    """alert id -> the ids of all its logs, one row each."""
     rows = logs(spark, sf).filter(F.col("attack_type") != "NONE").select(
-        "src_ip", "attack_type", floor_to(F.col("timestamp"), 86400).alias("day"), "timestamp", "id")
+        "src_ip", "attack_type", floor_to(F.col("timestamp"), 86400).alias("day"), "id")
     keys = ["src_ip", "attack_type", "day"]
     firsts = rows.groupBy(*keys).agg(F.min("id").alias("alert_id"))
-    capped = first_n(rows, keys, ["timestamp", "id"], 50)
-    ids = capped.groupBy(*keys).agg(F.array_sort(F.collect_list("id")).alias("correlated_log_ids"))
-    return firsts.join(ids, keys).select("alert_id", "correlated_log_ids")
+    return firsts.join(rows, keys).select("alert_id", F.col("id").alias("log_id"))
 
 
 def incidents(spark: SparkSession, sf: str) -> DataFrame:
@@ -256,8 +253,8 @@ def blocks(spark: SparkSession, sf: str) -> DataFrame:
     t, k = F.col("timestamp"), F.col("k")
     return rows.select(
         F.col("id").alias("block_id"), F.col("src_ip").alias("ip"), t.alias("created_at"),
-        plus_seconds(t, 86400).alias("expires_at"),
-        F.when(k % 5 == 0, plus_seconds(t, 6 * 3600)).alias("revoked_at"),
+        F.when(k % 6 == 1, plus_seconds(t, 72 * 3600)).when(k % 6 != 0, plus_seconds(t, 86400)).alias("expires_at"),
+        F.when(k % 5 == 0, plus_seconds(t, 6 * 3600)).when(k % 5 == 1, plus_seconds(t, 80 * 3600)).alias("revoked_at"),
         F.concat(F.lit("Auto: "), F.col("attack_type")).alias("reason"),
         F.when(k % 2 == 0, "auto").otherwise("manual").alias("reason_type"),
         pick(["IP_BLOCK", "TEMP_BAN", "RATE_LIMIT"], k % 3).alias("action"),

@@ -82,13 +82,8 @@ CTES: dict[str, tuple[list[str], str]] = {
           mitre_tactic, mitre_technique
         FROM alerts0 a LEFT JOIN mitre m ON a.attack_type = m.attack_type"""),
     "alert_log_ids": (["logs"], f"""
-        SELECT min(id) AS alert_id,
-          list_sort(list(id ORDER BY rn) FILTER (rn <= 50)) AS correlated_log_ids
-        FROM (SELECT *, {floor_to('"timestamp"', 86400)} AS day, row_number() OVER (
-                PARTITION BY src_ip, attack_type, {floor_to('"timestamp"', 86400)}
-                ORDER BY "timestamp", id) AS rn
-              FROM logs WHERE attack_type <> 'NONE')
-        GROUP BY src_ip, attack_type, day"""),
+        SELECT min(id) OVER (PARTITION BY src_ip, attack_type, {floor_to('"timestamp"', 86400)}) AS alert_id, id AS log_id
+        FROM logs WHERE attack_type <> 'NONE'"""),
     "incidents": (["alerts"], f"""
         SELECT id, 'in-' || CAST(id AS VARCHAR) AS incident_uid,
           'Auto-escalated: ' || src_ip AS title, 'Source IP: ' || src_ip AS description,
@@ -140,8 +135,8 @@ CTES: dict[str, tuple[list[str], str]] = {
         FROM logs"""),
     "blocks": (["logs"], f"""
         SELECT id AS block_id, src_ip AS ip, "timestamp" AS created_at,
-          {plus('"timestamp"', 86400)} AS expires_at,
-          CASE WHEN k % 5 = 0 THEN {plus('"timestamp"', 21600)} END AS revoked_at,
+          CASE WHEN k % 6 = 1 THEN "timestamp" + INTERVAL 72 HOUR WHEN k % 6 <> 0 THEN "timestamp" + INTERVAL 24 HOUR END AS expires_at,
+          CASE WHEN k % 5 = 0 THEN "timestamp" + INTERVAL 6 HOUR WHEN k % 5 = 1 THEN "timestamp" + INTERVAL 80 HOUR END AS revoked_at,
           'Auto: ' || attack_type AS reason,
           CASE WHEN k % 2 = 0 THEN 'auto' ELSE 'manual' END AS reason_type,
           {pick(['IP_BLOCK', 'TEMP_BAN', 'RATE_LIMIT'], 'k % 3')} AS action
