@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from duskwatch.functions.text import html_unescape, squeeze, url_decode
+from duskwatch.functions.text import html_unescape, matches, squeeze, url_decode
 
 
 def with_decoded(df: DataFrame, text: Column, name: str, passes: int, html_after: list[int]) -> DataFrame:
@@ -46,6 +46,6 @@ def path_text(col: Column) -> Column:
     return F.lower(F.when(col.rlike(r"[\\\u0000]|//"), out).otherwise(col))
 
 
-def any_match(cols: list[Column], pattern: str) -> Column:
-    """True if one of the texts matches; null texts do not."""
-    return reduce(lambda a, b: a | b, [F.coalesce(c.rlike(pattern), F.lit(False)) for c in cols])
+def any_match(cols: list[Column], patterns: list[str], *, lowered: bool = False) -> Column:
+    """True if one of the texts matches one of the patterns; null texts do not."""
+    return reduce(lambda a, b: a | b, [matches(c, patterns, lowered=lowered) for c in cols])

@@ -10,14 +10,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from duskwatch.functions.decode import any_match, path_text, plain, sql_text, with_decoded
-from duskwatch.functions.text import any_rlike_fast
 from duskwatch.functions.times import floor_to, from_micros, micros
 from duskwatch.operators.patterns import ALLOWED_PATHS, DEFAULT_PATTERNS, VERDICTS
-from duskwatch.plans.fold import ordered_fold
+from duskwatch.plans.fold import anchored, ordered_fold
 from duskwatch.plans.settle import settle
 from duskwatch.plans.tiles import first_n
 
-_TAG = r"(?i)</?[a-z]+[\s/>]"
+_TAG = r"</?[a-z]+[\s/>]"
 LOOPBACK = ["127.0.0.1", "localhost", "::1"]
 
 
@@ -40,7 +39,7 @@ def _forms(requests: DataFrame, ssrf: list[str]) -> DataFrame:
     df = settle(df, new)
     if not ssrf:
         return df
-    seen = any_match([F.col(c) for c in _ANY], any_rlike_fast(ssrf, lowered=True))
+    seen = any_match([F.col(c) for c in _ANY], ssrf, lowered=True)
     part = F.when(seen, F.concat(query, F.lit(" "), F.coalesce("body", F.lit(""))))
     df = with_decoded(df, part, "_q", 4, [4])
     return settle(df, {"_n" + c: plain(F.col(c)) for c in ("_q0", "_q1", "_q2", "_q3", "_q4", "_q_h4")})
@@ -84,10 +83,10 @@ def _classified(
         .when(_given(requests, "ip_blocked", False), "blocked_ip")
         .when(_given(requests, "rate_limited", False), "rate_limit_exceeded")
     )
-    tagged = any_match([F.col("_d0"), F.col("_d1")], _TAG)
+    tagged = any_match([F.col("_d0"), F.col("_d1")], [_TAG])
     internal = F.col("client_ip").isin(LOOPBACK) & path.startswith("/api/v1/")
     for category, regexes in patterns.items():
-        hit = any_match(_columns(category), any_rlike_fast(regexes, lowered=category not in _AS_WRITTEN))
+        hit = any_match(_columns(category), regexes, lowered=category not in _AS_WRITTEN)
         if category == "sql_injection":
             hit = ~tagged & hit
         elif category == "ssrf_attempt":
@@ -141,29 +140,78 @@ FLOOD_TOOLS = ["hping", "slowloris", "hulk", "rudy", "loic", "hoic", "slowhttpte
                "thc-ssl-dos"]
 
 
+def _connections(rows: DataFrame, segment_seconds: int) -> DataFrame:
+    """What is known of each (address, second) before its first request.
+
+    One row per address and second goes through an ordered fold that finds the segments: one begins
+    with the first request later than ``segment_seconds`` after the start of the one before.
+    Counts and extremes of the seconds before are running sums over those rows, and the last
+    URLs come from the last rows of up to 19 seconds before.
+    """
+    per_second = rows.groupBy("_ip", "_second").agg(
+        F.count("*").alias("_c"), F.min("_us").alias("_from"), F.min("method").alias("_low"), F.max("method").alias("_high"))
+    base = anchored(segment_seconds)
+
+    def step(state, row):
+        state, emitted = base(state, row)
+        return state, [(*emitted[0], *row[1:])]
+
+    segments = ordered_fold(
+        per_second, keys=["_ip"], order=["_second"], values=["_c", "_from", "_low", "_high"],
+        out=[("_second", "bigint"), ("_anchor", "bigint"), ("_c", "bigint"), ("_from", "bigint"), ("_low", "string"),
+             ("_high", "string")], step=step)
+    inside = Window.partitionBy("_ip", "_anchor").orderBy("_second")
+    before = inside.rowsBetween(Window.unboundedPreceding, -1)
+    seconds = segments.select(
+        "_ip", "_second", "_anchor", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_n0"),
+        F.min("_low").over(before).alias("_low0"), F.max("_high").over(before).alias("_high0"),
+        F.min("_from").over(inside.rowsBetween(Window.unboundedPreceding, 0)).alias("_first"))
+    whole = segments.groupBy("_ip", "_anchor").agg(
+        F.sum("_c").alias("n"), F.min("_low").alias("low"), F.max("_high").alias("high"), F.min("_from").alias("first"))
+    earlier = whole.select("_ip", "_anchor", F.lag(F.struct("n", "low", "high", "first")).over(
+        Window.partitionBy("_ip").orderBy("_anchor")).alias("_prior"))
+    last = first_n(rows.select("_ip", "_second", (-F.col("_us")).alias("_back"), (-F.col("id")).alias("_id"), "url"),
+                   ["_ip", "_second"], ["_back", "_id"], 19)
+    tails = last.groupBy("_ip", "_second").agg(F.transform(
+        F.reverse(F.array_sort(F.collect_list(F.struct("_back", "_id", "url")))), lambda x: x["url"]).alias("_tail"))
+    recent = Window.partitionBy("_ip").orderBy("_second").rowsBetween(-19, -1)
+    tails = tails.select("_ip", "_second", F.flatten(F.collect_list("_tail").over(recent)).alias("_urls0"))
+    return seconds.join(earlier, ["_ip", "_anchor"]).join(tails, ["_ip", "_second"])
+
+
 def ddos_score(requests: DataFrame, *, segment_seconds: int = 3600, repeated_agent: int = 100) -> DataFrame:
     """Flood score of each request from what its address did so far.
 
-    Ten indicators; what is remembered of an address restarts at every full
-    ``segment_seconds``, so one address is worked on in as many pieces as it has
-    segments. The count of a user agent runs over the whole table: its
-    ``repeated_agent``-th use is looked up, and later uses count as repeated.
+    Ten indicators. The connection of an address (its count, methods and first request) restarts
+    with the first request that comes more than ``segment_seconds``, counted in whole seconds, after its start;
+    that request itself is still judged by the old one. The list of its last 20 URLs and the count of a
+    user agent never restart. An address is worked on second by second, so a busy one is
+    spread over as many tasks as it has seconds. The ``repeated_agent``-th use of a user agent is
+    looked up, and later uses count as repeated.
     """
     ua = F.coalesce("user_agent", F.lit("unknown"))
-    rows = requests.withColumn("_ua", ua).withColumn("_us", micros(F.col("timestamp"))).withColumn(
-        "_seg", F.floor(F.col("_us") / (segment_seconds * 1_000_000)))
+    rows = requests.withColumn("_ua", ua).withColumn("_us", micros(F.col("timestamp"))).withColumns({
+        "_second": F.floor(F.col("_us") / 1_000_000), "_ip": F.coalesce("client_ip", F.lit(""))})
+    known = _connections(rows, segment_seconds)
     uses = first_n(rows.select("_ua", "_us", "id"), ["_ua"], ["_us", "id"], repeated_agent)
     limit = uses.groupBy("_ua").agg(
         F.count("*").alias("_n"), F.max(F.struct("_us", "id")).alias("_last")
     ).filter(F.col("_n") == repeated_agent).select("_ua", "_last")
-    rows = rows.join(limit, "_ua", "left")
-    order = Window.partitionBy("client_ip", "_seg").orderBy("_us", "id")
+    rows = rows.join(limit, "_ua", "left").join(known, ["_ip", "_second"])
+    order = Window.partitionBy("_ip", "_second").orderBy("_us", "id")
     so_far = order.rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumns({
-        "_n": F.row_number().over(order),
-        "_first": F.min("_us").over(so_far),
-        "_methods": F.size(F.collect_set("method").over(so_far)),
-        "_urls": F.size(F.collect_set("url").over(order.rowsBetween(-19, 0))),
+        "_row": F.row_number().over(order), "_low": F.min("method").over(so_far), "_high": F.max("method").over(so_far),
+        "_own": F.collect_list("url").over(order.rowsBetween(-19, 0)),
+    })
+    restarts = (F.col("_n0") == 0) & (F.col("_row") == 1) & F.col("_prior").isNotNull()
+    old = F.col("_prior")
+    rows = rows.withColumns({
+        "_n": F.when(restarts, old["n"] + 1).otherwise(F.col("_n0") + F.col("_row")),
+        "_first": F.when(restarts, old["first"]).otherwise(F.col("_first")),
+        "_low": F.least("_low", F.when(restarts, old["low"]).otherwise(F.col("_low0"))),
+        "_high": F.greatest("_high", F.when(restarts, old["high"]).otherwise(F.col("_high0"))),
+        "_urls": F.reverse(F.slice(F.reverse(F.concat("_urls0", "_own")), 1, 20)),
     })
 
     def points(test: Column, n: int) -> Column:
@@ -182,8 +230,8 @@ def ddos_score(requests: DataFrame, *, segment_seconds: int = 3600, repeated_age
     parts = {
         "agent": points(empty | ((F.length(u) < 10) & ~F.contains(u, F.lit("Mozilla"))), 1),
         "repeated_agent": points(F.struct("_us", "id") > F.col("_last"), 1),
-        "hammering": points((F.least(n, F.lit(20)) >= 10) & (F.col("_urls") <= 2), 2),
-        "methods": points((F.col("_methods") > 1) & (n > 20), 1),
+        "hammering": points((F.size("_urls") >= 10) & (F.size(F.array_distinct("_urls")) <= 2), 2),
+        "methods": points((F.col("_low") != F.col("_high")) & (n > 20), 1),
         "headers": points(missing >= 2, 1),
         "frequency": points((elapsed > 0) & (n / elapsed > 10), 2),
         "empty_body": points(F.col("method").isin("POST", "PUT")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from duskwatch.functions import severity as sev
-from duskwatch.functions.text import any_rlike_fast, html_unescape, url_decode
+from duskwatch.functions.text import html_unescape, matches, url_decode
 from duskwatch.plans.settle import settle
 
 # Payload patterns by class and how much a class weighs.
@@ -181,11 +181,11 @@ def agent_classes(requests: DataFrame) -> DataFrame:
 
 def _matches(texts: Column, regexes: list[str]) -> Column:
     """How many patterns match one of the lower-case texts; counted only where any does."""
-    def hit(pattern: str) -> Column:
-        return F.exists(texts, lambda t: t.rlike(pattern))
+    def hit(patterns: list[str]) -> Column:
+        return F.exists(texts, lambda t: matches(t, patterns, lowered=True))
 
-    hits = F.array(*[hit(any_rlike_fast([p], lowered=True)) for p in regexes])
-    return F.when(hit(any_rlike_fast(regexes, lowered=True)), F.size(F.filter(hits, lambda x: x))).otherwise(0)
+    hits = F.array(*[hit([p]) for p in regexes])
+    return F.when(hit(regexes), F.size(F.filter(hits, lambda x: x))).otherwise(0)
 
 
 def heuristic_score(

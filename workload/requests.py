@@ -65,6 +65,13 @@ FORMS = {
 OTHER = [_n(_text(v)) for v in (*ST, _h(4))]
 
 
+def _re2(pattern: str) -> str:
+    """The one pattern that refers to its own group, written out for both quotes."""
+    if r"\1" not in pattern:
+        return pattern
+    return "|".join(pattern.replace(r"(\'|\")", q).replace(r"\1", q) for q in ("'", '"'))
+
+
 def _any(forms: list[str], pattern: str) -> str:
     p = pattern.replace("'", "''")
     return "(" + " OR ".join(f"regexp_matches({f}, '{p}')" for f in forms) + ")"
@@ -85,7 +92,7 @@ def _verdict() -> str:
              "WHEN rate_limited THEN 'rate_limit_exceeded'"]
     for c, ps in DEFAULT_PATTERNS.items():
         guard = f"NOT {TAGGED} AND " if c == "sql_injection" else ""
-        parts.append(f"WHEN {guard}{_any(FORMS.get(c, OTHER), any_rlike(ps))} THEN '{c}'")
+        parts.append(f"WHEN {guard}{_any(FORMS.get(c, OTHER), any_rlike(map(_re2, ps)))} THEN '{c}'")
     return "CASE " + "\n".join(parts) + " ELSE 'none' END"
 
 
@@ -119,8 +126,8 @@ def classify_requests(spark, sf):
 
 PAT_SQL = " UNION ALL ".join(
     f"SELECT '{c}' AS threat_type, '{p.replace(chr(39), chr(39) * 2)}' AS pattern, http_path, id, k, body, user_agent, "
-    f"s_score, ip_blocked, rate_limited FROM judged WHERE threat_type = '{c}' AND {_any(FORMS.get(c, OTHER), '(?i)' + p)}"
-    for c, ps in DEFAULT_PATTERNS.items() for p in ps)
+    f"s_score, ip_blocked, rate_limited FROM judged WHERE threat_type = '{c}' AND {_any(FORMS.get(c, OTHER), '(?i)' + _re2(p))}"
+    for c, ps in DEFAULT_PATTERNS.items() for p in dict.fromkeys(ps))
 
 
 @query("pattern_hit_counts", sql(["requests", "logs"], """
@@ -133,30 +140,61 @@ def pattern_hit_counts(spark, sf):
     return R.pattern_hit_counts(stated(spark, sf))
 
 
-SEG = 30 * 86400
-
-
 def _pt(test: str, n: int) -> str:
     return f"CASE WHEN {test} THEN {n} ELSE 0 END"
 
 
-@query("ddos_score", sql(["requests"], f"""
+# Segments by a chain over the seconds of each address; the requests of a segment are numbered, and its
+# first one is judged by the totals of the segment before.
+FLOOD = {
+    "fr": """SELECT * EXCLUDE (url), CASE WHEN client_ip LIKE '%1' THEN '/same' ELSE url END AS url, "timestamp" AS t,
+      epoch_us("timestamp") // 1000000 AS s FROM requests""",
+    "fs": "SELECT *, row_number() OVER (PARTITION BY client_ip ORDER BY s) AS rn FROM (SELECT DISTINCT client_ip, s FROM fr)",
+    "fc": """SELECT client_ip, rn, s, s AS seg FROM fs WHERE rn = 1 UNION ALL
+      SELECT n.client_ip, n.rn, n.s, CASE WHEN n.s - c.seg > {0} THEN n.s ELSE c.seg END
+      FROM fc c JOIN fs n ON n.client_ip = c.client_ip AND n.rn = c.rn + 1""",
+    "fn": """SELECT r.*, seg, row_number() OVER w AS n0, min(t) OVER w AS first0, count(DISTINCT method) OVER w AS methods0,
+      list(url) OVER (PARTITION BY r.client_ip ORDER BY t, id ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS urls,
+      row_number() OVER (PARTITION BY user_agent ORDER BY t, id) AS ua_n
+      FROM fr r JOIN fc c ON c.client_ip = r.client_ip AND c.s = r.s
+      WINDOW w AS (PARTITION BY r.client_ip, seg ORDER BY t, id ROWS UNBOUNDED PRECEDING)""",
+    "fg": """SELECT client_ip, seg, lag(n) OVER w AS pn, lag(first) OVER w AS pfirst, lag(ms) OVER w AS pms FROM (
+      SELECT client_ip, seg, count(*) AS n, min(t) AS first, list(DISTINCT method) AS ms FROM fn GROUP BY 1, 2)
+      WINDOW w AS (PARTITION BY client_ip ORDER BY seg)""",
+    "fl": """SELECT f.*, CASE WHEN n0 = 1 AND pn IS NOT NULL THEN pn + 1 ELSE n0 END AS n,
+      CASE WHEN n0 = 1 AND pn IS NOT NULL THEN pfirst ELSE first0 END AS first,
+      CASE WHEN n0 = 1 AND pn IS NOT NULL THEN len(list_distinct(list_append(pms, method))) ELSE methods0 END AS methods
+      FROM fn f JOIN fg USING (client_ip, seg)""",
+}
+
+
+def flood(seconds: int) -> dict[str, str]:
+    return {**FLOOD, "fc": FLOOD["fc"].format(seconds)}
+
+
+FLOOD_SQL = f"""
 SELECT id, client_ip, CAST({" + ".join([
     _pt("user_agent IN ('', 'unknown', '-') OR (length(user_agent) < 10 AND NOT contains(user_agent, 'Mozilla'))", 1),
-    _pt("ua_n > 100", 1), _pt("least(n, 20) >= 10 AND urls <= 2", 2), _pt("methods > 1 AND n > 20", 1),
+    _pt("ua_n > 100", 1), _pt("len(urls) >= 10 AND len(list_distinct(urls)) <= 2", 2), _pt("methods > 1 AND n > 20", 1),
     _pt("(k % 2 <> 0)::INT + (k % 3 <> 0)::INT + (k % 5 <> 0)::INT >= 2", 1),
     _pt("t > first AND n / ((epoch_us(t) - epoch_us(first)) / 1e6) > 10", 2),
     _pt("method IN ('POST', 'PUT') AND k % 4 = 0", 1), _pt("length(split_part(url, '?', 2)) > 500", 1),
-    _pt("k % 2 = 1 AND n > 50", 1)])} AS INTEGER) AS ddos_score
-FROM (SELECT *, row_number() OVER w AS n, min(t) OVER w AS first, count(DISTINCT method) OVER w AS methods,
-  count(DISTINCT url) OVER (PARTITION BY client_ip, seg ORDER BY t, id ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS urls,
-  row_number() OVER (PARTITION BY user_agent ORDER BY t, id) AS ua_n
-FROM (SELECT * EXCLUDE (url), CASE WHEN client_ip LIKE '%1' THEN '/same' ELSE url END AS url, "timestamp" AS t,
-  epoch_us("timestamp") // {SEG * 1000000} AS seg FROM requests)
-WINDOW w AS (PARTITION BY client_ip, seg ORDER BY t, id ROWS UNBOUNDED PRECEDING))"""))
+    _pt("k % 2 = 1 AND n > 50", 1)])} AS INTEGER) AS ddos_score FROM fl"""
+
+
+def flooding(spark, sf):
+    return T.requests(spark, sf).withColumn("url", F.when(F.col("client_ip").endswith("1"), "/same").otherwise(F.col("url")))
+
+
+@query("ddos_score", sql(["requests"], FLOOD_SQL, extra=flood(3600), recursive=True))
 def ddos_score(spark, sf):
-    r = T.requests(spark, sf).withColumn("url", F.when(F.col("client_ip").endswith("1"), "/same").otherwise(F.col("url")))
-    return R.ddos_score(r, segment_seconds=SEG).select("id", "client_ip", "ddos_score")
+    return R.ddos_score(flooding(spark, sf)).select("id", "client_ip", "ddos_score")
+
+
+@query("ddos_score_days", sql(["requests"], FLOOD_SQL, extra=flood(5 * 86400), recursive=True))
+def ddos_score_days(spark, sf):
+    """With segments as long as the test rows are dense, so that counts build up."""
+    return R.ddos_score(flooding(spark, sf), segment_seconds=5 * 86400).select("id", "client_ip", "ddos_score")
 
 
 LIMITS = {"limit": 4, "window": 86400, "burst": 2, "burst_window": 3600, "block_seconds": 7200}
