@@ -145,6 +145,19 @@ def alert_members(hits: DataFrame, *, window_seconds: int = 900, resolution: flo
         _uid(F.col("alert_key"), F.col("anchor_us")).alias("alert_uid"), "log_id").distinct()
 
 
+def incident_members(
+    alerts: DataFrame, *, window_seconds: int = 3600, sources: tuple[str, ...] = ("rule",)
+) -> DataFrame:
+    """Which alert belongs to which incident of ``incident_escalation``, one row per pair."""
+    rows = alerts.filter(
+        F.col("severity").isin("HIGH", "CRITICAL") & F.col("detection_source").isin(*sources)
+    ).select("alert_uid", F.coalesce("src_ip", F.lit("")).alias("_ip"), micros(F.col("created_at")).alias("us"))
+    anchors = ordered_fold(
+        rows.select("_ip", "us").distinct(), keys=["_ip"], order=["us"], values=[],
+        out=[("us", "bigint"), ("anchor_us", "bigint")], step=anchored(window_seconds * 1_000_000))
+    return rows.join(anchors, ["_ip", "us"]).select("alert_uid", _uid(F.col("_ip"), F.col("anchor_us")).alias("incident_uid"))
+
+
 def incident_escalation(
     alerts: DataFrame, *, window_seconds: int = 3600, sources: tuple[str, ...] = ("rule",)
 ) -> DataFrame:

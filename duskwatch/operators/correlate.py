@@ -102,11 +102,10 @@ def never_falls(rank: Column, order: Column, ranks: int = 5) -> Column:
 
 def session_escalation(
     logs: DataFrame, *, min_rows: int = 3, ends_at_least: str = "HIGH", cycle: float | None = 60,
-    max_ids: int = 50,
 ) -> DataFrame:
     """Sessions whose severity never falls and that end at HIGH or above.
 
-    The finding lists its first ``max_ids`` log ids; all rows count.
+    The finding lists the ids of all rows of its session and cycle.
     """
     rows = in_cycles(logs.filter("session_id <> ''"), cycle)
     rank, order = sev.rank(F.col("severity")), F.struct("timestamp", "id")
@@ -117,7 +116,7 @@ def session_escalation(
     ).filter((F.col("event_count") >= min_rows) & F.col("_rising")
              & (F.col("_end") >= sev.rank(F.lit(ends_at_least))))
     return as_hits(
-        with_log_ids(found, rows, SESSION, max_ids), source="correlation.session",
+        with_log_ids(found, rows, SESSION, None), source="correlation.session",
         rule_id="correlation.session", title="Escalating severity in session", severity="HIGH",
         confidence=0.75, mitre_tactic="Privilege Escalation", mitre_technique="T1068")
 

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import (
-    IDF, CountVectorizer, MaxAbsScaler, NGram, OneHotEncoder, RegexTokenizer, SQLTransformer, StringIndexer,
+    IDF, CountVectorizer, MaxAbsScaler, NGram, Normalizer, OneHotEncoder, RegexTokenizer, SQLTransformer, StringIndexer,
     VectorAssembler,
 )
 from pyspark.ml.functions import vector_to_array
@@ -52,21 +52,25 @@ def prepare_features(rows: DataFrame) -> DataFrame:
     return rows.withColumns(out)
 
 
-def severity_pipeline() -> Pipeline:
-    """Word and word-pair weights, one-hot categories and scaled numbers into a logistic regression."""
+def severity_pipeline(rows: int) -> Pipeline:
+    """Word and word-pair weights of unit length, one-hot categories and scaled numbers into a logistic regression.
+
+    The penalty on the weights is that of one more row among ``rows``.
+    """
     return Pipeline(stages=[
         RegexTokenizer(inputCol="combined_text", outputCol="_words", pattern=r"\b\w\w+\b", gaps=False),
         NGram(n=2, inputCol="_words", outputCol="_pairs"),
         SQLTransformer(statement="SELECT *, concat(_words, _pairs) AS _terms FROM __THIS__"),
         CountVectorizer(inputCol="_terms", outputCol="_counts", vocabSize=VOCABULARY, minDF=1.0),
-        IDF(inputCol="_counts", outputCol="_tfidf"),
+        IDF(inputCol="_counts", outputCol="_weighted"),
+        Normalizer(inputCol="_weighted", outputCol="_tfidf", p=2.0),
         StringIndexer(inputCols=CATEGORIES, outputCols=[f"_i_{c}" for c in CATEGORIES], handleInvalid="keep"),
         OneHotEncoder(inputCols=[f"_i_{c}" for c in CATEGORIES], outputCols=[f"_o_{c}" for c in CATEGORIES]),
         VectorAssembler(inputCols=NUMBERS, outputCol="_numbers"),
         MaxAbsScaler(inputCol="_numbers", outputCol="_scaled"),
         VectorAssembler(inputCols=["_tfidf", *[f"_o_{c}" for c in CATEGORIES], "_scaled"], outputCol="features"),
         LogisticRegression(labelCol="label_index", featuresCol="features", weightCol="class_weight", maxIter=50,
-                           family="multinomial"),
+                           regParam=1.0 / max(rows, 1), family="multinomial"),
     ])
 
 
@@ -74,19 +78,19 @@ def _indexed(rows: DataFrame) -> DataFrame:
     return prepare_features(rows).withColumn("label_index", sev.rank(F.col("label")).cast("double"))
 
 
-def train_severity_model(rows: DataFrame, *, key: list[str]) -> tuple[PipelineModel, DataFrame]:
+def train_severity_model(rows: DataFrame, *, key: list[str], test: Column | None = None) -> tuple[PipelineModel, DataFrame]:
     """Fit on four fifths of the rows and report per class on the rest.
 
-    Rows are split by a hash of their key, so the split is the same every time.
+    Rows are split by a hash of their key, so the split is the same every time, or by ``test``.
     Classes weigh alike. Returns the model and a report with one row per class.
     """
-    frame = _indexed(rows).withColumn("_test", F.pmod(F.xxhash64(*key), F.lit(5)) == 0)
+    frame = _indexed(rows).withColumn("_test", F.pmod(F.xxhash64(*key), F.lit(5)) == 0 if test is None else test)
     train, test = frame.filter(~F.col("_test")), frame.filter("_test")
     counts = train.groupBy("label_index").agg(F.count("*").alias("_n"))
     total = counts.agg(F.sum("_n").alias("_all"), F.count("*").alias("_k")).withColumn("_j", F.lit(1))
     weights = counts.withColumn("_j", F.lit(1)).join(total, "_j").select(
         "label_index", (F.col("_all") / (F.col("_k") * F.col("_n"))).alias("class_weight"))
-    model = severity_pipeline().fit(train.join(F.broadcast(weights), "label_index"))
+    model = severity_pipeline(train.count()).fit(train.join(F.broadcast(weights), "label_index"))
     return model, class_report(model.transform(test))
 
 
@@ -177,12 +181,11 @@ def train_anomaly_model(
     """
     frame = prepare_features(rows).select(*key, *features)
     n = max(1, frame.count())
-    wanted = 2 * trees * sample
-    h = F.xxhash64(*key)
-    if n > wanted:
-        drawn = frame.filter(F.pmod(h, F.lit(n)) < wanted).withColumn("_copy", F.lit(0))
-    else:
-        drawn = frame.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(wanted // n))))
+    # Every row comes as often as its share of twice the rows that the trees need, fractions by hash.
+    share = 2 * trees * sample / n
+    part = F.pmod(F.xxhash64(*key), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    times = F.floor(F.lit(share)) + F.when(part < share - math.floor(share), 1).otherwise(0)
+    drawn = frame.withColumn("_copy", F.explode(F.filter(F.sequence(F.lit(0), F.lit(math.floor(share))), lambda i: i < times)))
     dealt = drawn.withColumn("_h", F.xxhash64(*key, "_copy", F.lit(1))).withColumn(
         "tree", F.pmod(F.xxhash64("_h"), F.lit(trees)).cast("int"))
     chosen = first_n(dealt, ["tree"], ["_h", *key], sample).select("tree", *features)

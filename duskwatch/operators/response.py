@@ -107,14 +107,16 @@ def _actions(spark, playbooks: list[dict] | None) -> DataFrame:
 def playbook_runs(alerts: DataFrame, playbooks: list[dict] | None = None) -> DataFrame:
     """Playbook executions: a playbook rests ``cooldown_seconds`` per address after it ran.
 
-    Alerts of one second and address count as one trigger, that of the lowest id.
+    Alerts of one second and address count as one trigger, that of the lowest id, except for playbooks
+    without a rest, which run for every alert.
     """
     books = [p for p in (PLAYBOOKS if playbooks is None else playbooks) if p.get("active", True)]
     cooldowns = {i: p.get("cooldown_seconds") or 0 for i, p in enumerate(books)}
     matched = playbook_matches(alerts, playbooks)
+    restless = F.col("playbook_no").isin([i for i, c in cooldowns.items() if not c])
     steps = matched.groupBy(
-        "src_ip", "playbook_no", "playbook_id",
-        F.floor(micros(F.col("created_at")) / 1_000_000).alias("second")).agg(F.min("id").alias("alert_id"))
+        "src_ip", "playbook_no", "playbook_id", F.floor(micros(F.col("created_at")) / 1_000_000).alias("second"),
+        F.when(restless, F.col("id")).alias("_each")).agg(F.min("id").alias("alert_id"))
 
     def step(last, row):
         second, no, pid, alert = row

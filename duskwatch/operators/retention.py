@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from duskwatch.functions.times import at
 
 
+TIERS = ["hot", "warm", "cold"]
+
+
 def _cut(now: str, days: float):
     return at(dt.datetime.fromisoformat(str(now)) - dt.timedelta(days=days))
 
@@ -44,24 +47,51 @@ def tier_stats(logs: DataFrame) -> DataFrame:
                     F.count("*").alias("total"))
 
 
+def _folders(spark: SparkSession, path: str) -> dict[str, set[str]]:
+    """The days that each tier folder of a log table has."""
+    jvm = spark._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    days: dict[str, set[str]] = {}
+    for tier in TIERS:
+        folder = jvm.org.apache.hadoop.fs.Path(f"{path}/tier={tier}")
+        found = fs.listStatus(folder) if fs.exists(folder) else []
+        days[tier] = {f.getPath().getName().partition("=")[2] for f in found if "=" in f.getPath().getName()}
+    return days
+
+
 def age_table(
     spark: SparkSession, path: str, staged: str, *, now: str, hot_days: float = 7, warm_days: float = 30,
     cold_days: float = 365,
-) -> None:
-    """Run one cycle on a log table laid out by ``day``.
-
-    Only days old enough to change are read. Their new rows are written to
-    ``staged`` first, which cuts the lineage from the files that are then
-    replaced, and days without remaining rows are emptied.
+) -> dict[str, list[str]]:
+    """Run one cycle on a log table laid out by ``tier`` and ``day``.
+
+    Only days with rows on the wrong side of a border are read; days that are past the
+    last border as a whole are removed without being read. The new rows of the days read go to
+    ``staged`` first, which cuts the lineage from the files that are then replaced: every
+    folder of such a day is written whole, so a cycle that is run again ends the same, and folders
+    that have no rows left are removed last. Returns the days read and removed.
     """
-    old = spark.read.parquet(path).filter(F.col("day") <= F.to_date(_cut(now, hot_days)))
-    new = retention_tiers(old, now=now, hot_days=hot_days, warm_days=warm_days, cold_days=cold_days)
-    new.write.mode("overwrite").parquet(staged)
-    kept = spark.read.parquet(staged)
-    gone = [r.day for r in kept.groupBy("day").agg(F.min(F.col("purged")).alias("all")).filter("all").select("day").collect()]
-    (kept.filter(~F.col("purged")).drop("moved_warm", "moved_cold", "purged")
-     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path))
+    have = _folders(spark, path)
+    border = {tier: dt.datetime.fromisoformat(str(now)) - dt.timedelta(days=n)
+              for tier, n in zip(TIERS, (hot_days, warm_days, cold_days))}
+    late = {tier: {d for d in have[tier] if dt.datetime.fromisoformat(d) < border[tier]} for tier in TIERS}
+    whole = {d for d in late["cold"] if dt.datetime.fromisoformat(d) + dt.timedelta(days=1) <= border["cold"]}
+    whole -= have["hot"] | have["warm"]
+    read = sorted(set().union(*late.values()) - whole)
+    gone = [(t, d) for t in TIERS for d in whole & have[t]]
+    if read:
+        rows = spark.read.parquet(path)
+        schema = rows.schema
+        days = rows.filter(F.col("day").isin([dt.date.fromisoformat(d) for d in read]))
+        new = retention_tiers(days, now=now, hot_days=hot_days, warm_days=warm_days, cold_days=cold_days)
+        new.filter(~F.col("purged")).select(*schema.fieldNames()).write.mode("overwrite").parquet(staged)
+        kept = spark.read.schema(schema).parquet(staged)
+        kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("tier", "day").parquet(path)
+        left = {(r.tier, str(r.day)) for r in kept.select("tier", "day").distinct().collect()}  # three for each day read
+        gone += [(t, d) for t in TIERS for d in read if d in have[t] and (t, d) not in left]
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for day in gone:
-        folder = jvm.org.apache.hadoop.fs.Path(f"{path}/day={day}")
+    for tier, day in gone:
+        folder = jvm.org.apache.hadoop.fs.Path(f"{path}/tier={tier}/day={day}")
         folder.getFileSystem(conf).delete(folder, True)
+    return {"read": read, "removed": sorted(whole)}

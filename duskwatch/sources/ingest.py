@@ -298,5 +298,5 @@ def ingest_report(parsed: dict[str, DataFrame]) -> DataFrame:
 
 
 def append_logs(logs: DataFrame, path: str) -> None:
-    """Append to the log table, laid out by day so that time filters prune files."""
-    logs.withColumn("day", F.to_date("timestamp")).write.mode("append").partitionBy("day").parquet(path)
+    """Append to the log table, laid out by tier and day, so that time filters and ageing prune files."""
+    logs.withColumn("day", F.to_date("timestamp")).write.mode("append").partitionBy("tier", "day").parquet(path)

@@ -128,17 +128,17 @@ def test_blocked_traffic_against_brute_force(spark, seed):
     blocks = []
     for i in range(15):
         c = rng.randrange(0, 9000)
-        blocks.append((i, rng.choice("ab"), at(c), at(c + 3600), at(c + 60) if i % 3 == 0 else None))
+        blocks.append((i, rng.choice("ab"), at(c), at(c + 3600) if i % 4 else None, at(c + 60) if i % 3 == 0 else None))
     got = {(r.id, r.block_id) for r in enrich.blocked_traffic(
         spark.createDataFrame(reqs, "id bigint, timestamp timestamp_ntz, src_ip string"),
         spark.createDataFrame(blocks, "block_id bigint, ip string, created_at timestamp_ntz, expires_at timestamp_ntz, "
-                                      "revoked_at timestamp_ntz"), max_block_seconds=3600, tile_seconds=600).collect()}
+                                      "revoked_at timestamp_ntz"), tile_seconds=600).collect()}
     want = set()
     for i, t, ip in reqs:
         before = [b for b in blocks if b[1] == ip and b[2] <= t]
         if before:
             b = max(before, key=lambda b: (b[2], b[0]))
-            if t < min(b[4] or b[3], b[3]):
+            if t < min(b[4] or at(10 ** 9), b[3] or at(10 ** 9)):
                 want.add((i, b[0]))
     assert got == want
 
@@ -275,9 +275,18 @@ def test_age_table_moves_and_purges(spark, tmp_path):
     rows = log_frame(spark, [(d, d * 86400, "a", {}) for d in range(10)]).withColumn("tier", F.lit("hot"))
     path = str(tmp_path / "logs")
     ingest.append_logs(rows, path)
-    retention.age_table(spark, path, str(tmp_path / "staged"), now="2024-01-11", hot_days=3, warm_days=5, cold_days=8)
-    got = {r.id: r.tier for r in spark.read.parquet(path).collect()}
+    ages = {"hot_days": 3, "warm_days": 5, "cold_days": 8}
+
+    def cycle(now):
+        report = retention.age_table(spark, path, str(tmp_path / "staged"), now=now, **ages)
+        return report, {r.id: r.tier for r in spark.read.parquet(path).collect()}
+
+    _, got = cycle("2024-01-11")
     assert got == {2: "cold", 3: "cold", 4: "cold", 5: "warm", 6: "warm", 7: "hot", 8: "hot", 9: "hot"}
+    report, got = cycle("2024-01-12")
+    assert got == {3: "cold", 4: "cold", 5: "cold", 6: "warm", 7: "warm", 8: "hot", 9: "hot"}
+    assert report == {"read": ["2024-01-06", "2024-01-08"], "removed": ["2024-01-03"]}
+    assert cycle("2024-01-12") == ({"read": [], "removed": []}, got)
 
 
 def test_anomaly_model_finds_the_odd_rows(spark):

@@ -168,13 +168,7 @@ def alert_members(spark, sf):
     return per_alert.agg(F.lit("rule").alias("source"), F.sum("c").alias("members"), F.count("*").alias("alerts"))
 
 
-@query("incident_escalation", sql(["alerts"], """
-SELECT 'Auto-escalated: ' || arg_min(s.title, s.o) AS title,
-  CASE WHEN arg_min(s.severity, s.o) = 'CRITICAL' THEN 'CRITICAL' ELSE 'HIGH' END AS priority,
-  make_timestamp(r.anchor) AS created_at, make_timestamp(max(s.t)) AS last_alert_at,
-  CAST(sum(n) AS BIGINT) AS alert_count, s.src_ip AS affected_ips,
-  arg_min(s.attack_type, s.o) AS attack_types, arg_min(s.http_path, s.o) AS affected_paths
-FROM chain r JOIN steps s ON s.src_ip = r.src_ip AND s.rn = r.rn GROUP BY s.src_ip, r.anchor""", extra={
+ESCALATED = {
     "steps": """
   SELECT *, row_number() OVER (PARTITION BY src_ip ORDER BY t) AS rn FROM (
     SELECT src_ip, epoch_us(created_at) AS t, count(*) AS n, min((created_at, alert_uid)) AS o,
@@ -184,13 +178,34 @@ FROM chain r JOIN steps s ON s.src_ip = r.src_ip AND s.rn = r.rn GROUP BY s.src_
     "chain": """
   SELECT src_ip, rn, t, t AS anchor FROM steps WHERE rn = 1
   UNION ALL SELECT s.src_ip, s.rn, s.t, CASE WHEN s.t - r.anchor > 172800000000 THEN s.t ELSE r.anchor END
-  FROM chain r JOIN steps s ON s.src_ip = r.src_ip AND s.rn = r.rn + 1"""}, recursive=True))
+  FROM chain r JOIN steps s ON s.src_ip = r.src_ip AND s.rn = r.rn + 1"""}
+
+
+@query("incident_escalation", sql(["alerts"], """
+SELECT 'Auto-escalated: ' || arg_min(s.title, s.o) AS title,
+  CASE WHEN arg_min(s.severity, s.o) = 'CRITICAL' THEN 'CRITICAL' ELSE 'HIGH' END AS priority,
+  make_timestamp(r.anchor) AS created_at, make_timestamp(max(s.t)) AS last_alert_at,
+  CAST(sum(n) AS BIGINT) AS alert_count, s.src_ip AS affected_ips,
+  arg_min(s.attack_type, s.o) AS attack_types, arg_min(s.http_path, s.o) AS affected_paths
+FROM chain r JOIN steps s ON s.src_ip = r.src_ip AND s.rn = r.rn GROUP BY s.src_ip, r.anchor""", extra=ESCALATED, recursive=True))
 def incident_escalation(spark, sf):
     return A.incident_escalation(T.alerts(spark, sf), window_seconds=172800).select(
         "title", "priority", "created_at", "last_alert_at", "alert_count", "affected_ips", "attack_types",
         "affected_paths")
 
 
+@query("incident_members", sql(["alerts"], """
+SELECT a.alert_uid, r.src_ip AS src_ip, make_timestamp(r.anchor) AS opened_at
+FROM chain r JOIN alerts a ON a.src_ip = r.src_ip AND epoch_us(a.created_at) = r.t
+WHERE a.severity IN ('HIGH', 'CRITICAL') AND a.detection_source = 'rule'""", extra=ESCALATED, recursive=True))
+def incident_members(spark, sf):
+    a = T.alerts(spark, sf)
+    members = A.incident_members(a, window_seconds=172800)
+    opened = A.incident_escalation(a, window_seconds=172800).select(
+        "incident_uid", F.element_at("affected_ips", 1).alias("src_ip"), F.col("created_at").alias("opened_at"))
+    return members.join(opened, "incident_uid").select("alert_uid", "src_ip", "opened_at")
+
+
 @query("alert_groups", sql(["alerts"], f"""
 SELECT src_ip, attack_type, http_path, {floor_to('created_at', 7 * 86400)} AS group_window,
   count(*) AS alert_count, CAST(sum(event_count) AS BIGINT) AS total_events,
@@ -266,6 +281,8 @@ TEST_BOOKS = P.PLAYBOOKS + [
     {"id": "pb-volume", "name": "Volume", "cooldown_seconds": 86400,
      "trigger": {"event_count_gte": 2, "detection_source": ["behav", "corr"]},
      "actions": [{"action": "GEO_BLOCK"}, {"action": "notify"}]},
+    {"id": "pb-each", "name": "Each", "cooldown_seconds": 0, "trigger": {"attack_type": ["XXE", "CSRF"]},
+     "actions": [{"action": "RATE_LIMIT", "duration_seconds": 1}, {"action": "notify"}]},
     {"id": "pb-off", "name": "Off", "active": False, "trigger": {}, "actions": [{"action": "notify"}]},
 ]
 
@@ -309,9 +326,10 @@ def playbook_matches(spark, sf):
 PLAN = {
     "m": MATCHES, "act": ACTIONS,
     "s1": """
-  SELECT *, row_number() OVER (PARTITION BY src_ip, no ORDER BY sec) AS rn FROM (
+  SELECT *, row_number() OVER (PARTITION BY src_ip, no ORDER BY sec, each) AS rn FROM (
     SELECT src_ip, no, playbook_id, epoch_us(created_at) // 1000000 AS sec, min(id) AS alert_id,
-      (SELECT max(cooldown) FROM act WHERE act.no = m.no) AS cd FROM m GROUP BY ALL)""",
+      cd, CASE WHEN cd = 0 THEN id END AS each
+    FROM m JOIN (SELECT no, max(cooldown) AS cd FROM act GROUP BY 1) USING (no) GROUP BY ALL)""",
     "r1": """
   SELECT src_ip, no, playbook_id, rn, sec, alert_id, sec AS last, true AS fired FROM s1 WHERE rn = 1
   UNION ALL SELECT s.src_ip, s.no, s.playbook_id, s.rn, s.sec, s.alert_id,
@@ -321,7 +339,7 @@ PLAN = {
   SELECT *, row_number() OVER (PARTITION BY src_ip, action ORDER BY sec) AS rn FROM (
     SELECT src_ip, action, sec, playbook_id, alert_id, duration, rate FROM (
       SELECT r1.*, act.action, act.duration, act.rate, row_number() OVER (
-        PARTITION BY src_ip, action, sec ORDER BY r1.no, action_no) AS k
+        PARTITION BY src_ip, action, sec ORDER BY r1.no, action_no, alert_id) AS k
       FROM r1 JOIN act ON act.no = r1.no
       WHERE fired AND action IN ('IP_BLOCK', 'RATE_LIMIT', 'TEMP_BAN', 'GEO_BLOCK')) WHERE k = 1)""",
     "r2": """

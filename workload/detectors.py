@@ -158,7 +158,7 @@ def session_multi_attack(spark, sf):
 
 @query("session_escalation", sql(["logs"], f"""
 SELECT {ALL} AS cycle_start, session_id, arg_min(src_ip, ("timestamp", id)) AS src_ip,
-  max("timestamp") AS seen_at, count(*) AS event_count, {ids(50)} AS log_ids
+  max("timestamp") AS seen_at, count(*) AS event_count, array_to_string(list(id ORDER BY "timestamp", id), ',') AS log_ids
 FROM (SELECT *, lag(r) OVER (PARTITION BY session_id ORDER BY "timestamp", id) AS p FROM (
   SELECT *, CASE severity WHEN 'INFO' THEN 0 WHEN 'LOW' THEN 1 WHEN 'MEDIUM' THEN 2 WHEN 'HIGH' THEN 3 ELSE 4 END AS r
   FROM logs)) GROUP BY session_id

@@ -112,23 +112,49 @@ def prepare_features(spark, sf):
         "payload_length", "ai_score", "ai_confidence", "combined_text", "label")
 
 
-KEY = ["timestamp", "source_ip", "target_url"]
+def judged_texts(spark, sf):
+    """Documents with labels as training rows; what is to be learned stands only in their texts."""
+    docs, labels = T.table(spark, sf, "documents"), T.table(spark, sf, "labels")
+    severity = F.when(F.col("toxic") == 1, "HIGH").when(F.col("quality") == 0, "MEDIUM").otherwise("INFO")
+    return docs.join(labels, "doc_id").select(
+        "doc_id", "text", F.lit("GET").alias("method"), F.lit("allow").alias("action"), severity.alias("label"))
+
 
+JUDGED = """SELECT doc_id, CASE WHEN toxic = 1 THEN 'HIGH' WHEN quality = 0 THEN 'MEDIUM' ELSE 'INFO' END AS label
+  FROM documents JOIN labels USING (doc_id)"""
 
-@query("train_severity_model")
+
+@query("train_severity_model", f"""
+SELECT label, count(*) AS support, true AS in_bounds, true AS better_than_largest_class FROM ({JUDGED}) WHERE doc_id % 5 = 0 GROUP BY 1""")
 def train_severity_model(spark, sf):
-    return M.train_severity_model(training(spark, sf), key=KEY)[1]
+    """Support of each class in the test rows, and whether the mean F1 is above that of always naming the largest class."""
+    report = M.train_severity_model(judged_texts(spark, sf), key=["doc_id"], test=F.col("doc_id") % 5 == 0)[1].filter("support > 0")
+    total = report.agg(F.avg("f1").alias("mean"), F.max("support").alias("most"), F.sum("support").alias("all"), F.count("*").alias("k"))
+    share = F.col("most") / F.col("all")
+    bounds = F.col("precision").between(0, 1) & F.col("recall").between(0, 1) & F.col("f1").between(0, 1)
+    return report.join(F.broadcast(total)).select(  # one row of totals
+        "label", "support", bounds.alias("in_bounds"), (F.col("mean") > 2 * share / (1 + share) / F.col("k")).alias("better_than_largest_class"))
 
 
-@query("score_with_model")
+@query("score_with_model", f"""
+SELECT doc_id, true AS in_bounds FROM ({JUDGED})""")
 def score_with_model(spark, sf):
-    rows = training(spark, sf)
-    model, _ = M.train_severity_model(rows, key=KEY)
-    return M.score_with_model(model, rows).select(*KEY, "label", "model_score", "predicted_label", "model_confidence")
+    rows = judged_texts(spark, sf)
+    model, _ = M.train_severity_model(rows, key=["doc_id"], test=F.col("doc_id") % 5 == 0)
+    out = M.score_with_model(model, rows)
+    good = (F.col("model_score").between(0, 1) & F.col("model_confidence").between(0, 1)
+            & F.col("predicted_label").isin("info", "medium", "high"))
+    return out.select("doc_id", good.alias("in_bounds"))
+
+
+KEY = ["timestamp", "source_ip", "target_url"]
 
 
-@query("anomaly_model")
+@query("anomaly_model", sql(["security_events"], """
+SELECT count(*) AS rows_scored, true AS share_within_a_point, true AS in_bounds FROM security_events WHERE ai_score IS NOT NULL"""))
 def anomaly_model(spark, sf):
     rows = training(spark, sf)
-    model = M.train_anomaly_model(rows, key=KEY)
-    return M.score_anomalies(model, rows).select(*KEY, "raw_score", "anomaly_score", "is_anomaly")
+    scored = M.score_anomalies(M.train_anomaly_model(rows, key=KEY), rows)
+    return scored.agg(
+        F.count("*").alias("rows_scored"), (F.abs(F.avg(F.col("is_anomaly").cast("int")) - 0.02) <= 0.01).alias("share_within_a_point"),
+        F.min(F.col("anomaly_score").between(0, 1)).alias("in_bounds"))
