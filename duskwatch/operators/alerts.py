@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from duskwatch.functions import severity as sev
 from duskwatch.functions.times import floor_to, from_micros, micros
-from duskwatch.operators import behavior, correlate, rules as rule_ops
+from duskwatch.operators import behavior, correlate, families, rules as rule_ops
 from duskwatch.plans.fold import anchored, ordered_fold
 
 # What a finding gets if its detector says nothing, by family.
@@ -59,15 +59,17 @@ def detect(
         "rule": [rule_ops.signature_hits(logs, signatures)],
         "threshold": [rule_ops.threshold_hits(rule_ops.threshold_reset(logs, thresholds))],
     }
+    shared: list[str] = []
     if behavioral:
-        parts["behavioral"] = [run(behavior, n) for n in (
-            "high_request_rate", "high_block_rate", "ip_burst", "high_risk_country_attacks",
-            "multi_country_session", "new_watch_country", "scan_path_hits", "path_diversity",
-            "suspicious_agents")]
+        shared += ["high_request_rate", "high_block_rate", "multi_country_session", "scan_path_hits", "path_diversity",
+                   "suspicious_agents"]
+        parts["behavioral"] = [run(behavior, n) for n in ("ip_burst", "high_risk_country_attacks", "new_watch_country")]
     if correlation:
-        parts["correlation"] = [run(correlate, n) for n in (
-            "multi_vector_ip", "coordinated_path", "session_multi_attack", "session_escalation",
-            "attack_burst", "recon_exploit")]
+        shared += ["multi_vector_ip", "coordinated_path", "session_multi_attack", "recon_exploit"]
+        parts["correlation"] = [run(correlate, n) for n in ("session_escalation", "attack_burst")]
+    if shared:
+        # Its findings say everything themselves, so it does not matter whose defaults would fill them.
+        parts.setdefault("behavioral", []).append(families.findings(logs, cycle=cycle, limits=limits, detectors=shared))
     return all_detections(parts)
 
 

@@ -142,7 +142,7 @@ def attack_burst(
         F.count("*").alias("sources"), F.min("src_ip").alias("src_ip"))
     wide = F.col("sources") > many_ips
     return as_hits(
-        with_log_ids(found, inside, ["cycle_start"], max_ids), source="correlation.time",
+        with_log_ids(found, inside, ["cycle_start"], max_ids, chosen=True), source="correlation.time",
         rule_id="correlation.time",
         title=F.concat(F.lit("Attack burst from "), F.col("sources").cast("string"), F.lit(" addresses")),
         severity=F.when(wide, "CRITICAL").otherwise("HIGH"),

@@ -29,13 +29,15 @@ def as_hits(df: DataFrame, **values) -> DataFrame:
     return df.select(*extra, *out)
 
 
-def with_log_ids(found: DataFrame, rows: DataFrame, keys: list[str], n: int | None) -> DataFrame:
+def with_log_ids(found: DataFrame, rows: DataFrame, keys: list[str], n: int | None, *, chosen: bool = False) -> DataFrame:
     """Add the first ``n`` contributing log ids (all, if ``n`` is None) in time order to each finding.
 
     Rows are trimmed to ``n`` per finding before they are collected, and already
-    on the map side, so a busy source ships no more than a quiet one.
+    on the map side, so a busy source ships no more than a quiet one. ``chosen`` says that
+    ``rows`` has no rows of other keys.
     """
-    mine = rows.select(*keys, "timestamp", "id").join(found.select(*keys), keys, "left_semi")
+    mine = rows.select(*keys, "timestamp", "id")
+    mine = mine if chosen else mine.join(found.select(*keys), keys, "left_semi")
     capped = mine if n is None else first_n(mine, keys, ["timestamp", "id"], n)
     ids = capped.groupBy(*keys).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("timestamp", "id"))), lambda s: s["id"])

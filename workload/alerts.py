@@ -12,7 +12,6 @@ from duskwatch.operators import response as P
 from workload import tables as T
 from workload.common import query
 from workload.dashboards import END, NOW
-from workload.staging import staging
 from workload.rules import EXTRA_SIGNATURES, RESET_EXTRA, SIG_SQL, TEST_THRESHOLDS, tagged_logs
 from workload.tables_sql import floor_to, from_rank, lst, rank, sql
 
@@ -26,11 +25,8 @@ LIMITS = {
 
 
 def detections(spark, sf):
-    """All findings. The derived logs become a table first, as detectors read one."""
-    path = staging(spark, "logs")
-    tagged_logs(spark, sf).repartition("id").write.parquet(path)
-    return A.detect(spark.read.parquet(path), cycle=DAY, signatures=EXTRA_SIGNATURES,
-                    thresholds=TEST_THRESHOLDS, limits=LIMITS)
+    """All findings."""
+    return A.detect(tagged_logs(spark, sf), cycle=DAY, signatures=EXTRA_SIGNATURES, thresholds=TEST_THRESHOLDS, limits=LIMITS)
 
 
 FIRST_ID = 'arg_min(id, ("timestamp", id))'
