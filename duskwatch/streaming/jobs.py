@@ -8,6 +8,8 @@ which a cycle is released.
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -37,17 +39,27 @@ def _write_batch(frame: DataFrame, path: str, batch: int) -> None:
 
 
 def stream_ingest(
-    lines: DataFrame, *, source_format: str, now: str, logs_path: str, quarantine_path: str, checkpoint: str,
+    lines: DataFrame, *, source_format: str, logs_path: str, quarantine_path: str, checkpoint: str, now: str | None = None,
+    geo_ranges: DataFrame | None = None, trigger: dict | None = None,
 ) -> StreamingQuery:
-    """Parse lines as they come; good rows go to the log table, the rest to quarantine."""
+    """Parse lines as they come; good rows go to the log table, the rest to quarantine.
+
+    Rows are received when their batch starts, or at ``now``. A batch is parsed once for both tables.
+    ``trigger`` is that of ``DataStreamWriter.trigger``; all there is, once, by default.
+    """
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        parsed = PARSERS[source_format](batch, now=now)
-        _write_batch(canonical_logs(parsed, source_format=source_format, received_at=now), logs_path, batch_id)
-        _write_batch(quarantine(parsed), quarantine_path, batch_id)
+        received = now or dt.datetime.now(dt.timezone.utc).replace(tzinfo=None).isoformat(sep=" ")
+        parsed = PARSERS[source_format](batch, now=received).persist()
+        try:
+            _write_batch(canonical_logs(parsed, source_format=source_format, received_at=received, geo_ranges=geo_ranges),
+                         logs_path, batch_id)
+            _write_batch(quarantine(parsed), quarantine_path, batch_id)
+        finally:
+            parsed.unpersist()
 
     return (lines.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
-            .trigger(availableNow=True).start())
+            .trigger(**(trigger or {"availableNow": True})).start())
 
 
 def _marked(rows: DataFrame, delay: str) -> DataFrame:
@@ -61,11 +73,12 @@ def _cycles(logs: DataFrame, cycle: str, delay: str) -> tuple[DataFrame, Column]
 
 def stream_detections(
     logs: DataFrame, *, cycle: str = "60 seconds", delay: str = "10 seconds", requests: int = 120, blocked: int = 20,
-    scans: int = 5, kinds: int = 3,
+    scans: int = 5, kinds: int = 3, min_attacks: int = 10,
 ) -> DataFrame:
     """Per cycle and address: rate, block rate, scanning, attack variety, recon with exploit.
 
-    One aggregate feeds all five, so a stream keeps a single state store.
+    One aggregate per address feeds the first four. Recon with exploit counts only in cycles with ``min_attacks``
+    attacks, so a second aggregate over the cycle holds its candidates until that is known.
     """
     rows, w = _cycles(logs, cycle, delay)
     attack = F.col("attack_type") != "NONE"
@@ -87,11 +100,17 @@ def stream_detections(
               F.when(c("requests") > 2 * requests, "HIGH").otherwise("MEDIUM")),
         found(c("blocked") >= blocked, "high_block_rate", c("blocked"), "HIGH"),
         found(c("scans") >= scans, "scan_path_hits", c("scans"), "HIGH"),
-        found(c("kinds") >= kinds, "multi_vector_ip", c("attacks"), "CRITICAL"),
-        found(c("recon") & c("exploit"), "recon_exploit", c("attacks"), "CRITICAL"))
-    return per_ip.select(c("w.start").cast("timestamp_ntz").alias("cycle_start"), "src_ip",
-                         F.explode(F.filter(hits, lambda x: x.isNotNull())).alias("h")).select(
+        found(c("kinds") >= kinds, "multi_vector_ip", c("attacks"), "CRITICAL"))
+    single = per_ip.select(c("w.start").cast("timestamp_ntz").alias("cycle_start"), "src_ip",
+                           F.explode(F.filter(hits, lambda x: x.isNotNull())).alias("h")).select(
         "cycle_start", "src_ip", "h.*")
+    chain = F.when(c("recon") & c("exploit"), F.struct("src_ip", c("attacks").alias("event_count")))
+    per_cycle = per_ip.filter("attacks > 0").groupBy(F.window(F.window_time("w"), cycle).alias("w")).agg(
+        F.sum("attacks").alias("attacks"), F.collect_list(chain).alias("chains"))
+    both = per_cycle.filter(c("attacks") >= min_attacks).select(
+        c("w.start").cast("timestamp_ntz").alias("cycle_start"), F.explode("chains").alias("h")).select(
+        "cycle_start", "h.src_ip", F.lit("recon_exploit").alias("detector"), "h.event_count", F.lit("CRITICAL").alias("severity"))
+    return single.unionByName(both)
 
 
 def stream_sessions(
@@ -198,11 +217,13 @@ def stream_rate_limit(
     return out.withColumn("second", from_micros(F.col("second") * 1_000_000))
 
 
-def stream_alert_feed(alerts: DataFrame, *, path: str, checkpoint: str, min_severity: str = "HIGH") -> StreamingQuery:
+def stream_alert_feed(
+    alerts: DataFrame, *, path: str, checkpoint: str, min_severity: str = "HIGH", trigger: dict | None = None,
+) -> StreamingQuery:
     """Notification lines of new alerts, appended to a table batch by batch."""
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         _write_batch(alert_feed(batch, min_severity=min_severity), path, batch_id)
 
     return (alerts.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
-            .trigger(availableNow=True).start())
+            .trigger(**(trigger or {"availableNow": True})).start())

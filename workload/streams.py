@@ -65,10 +65,12 @@ SELECT cycle_start, src_ip, 'high_request_rate' AS detector, n AS event_count,
 UNION ALL SELECT cycle_start, src_ip, 'high_block_rate', b, 'HIGH' FROM d WHERE b >= 2
 UNION ALL SELECT cycle_start, src_ip, 'scan_path_hits', s, 'HIGH' FROM d WHERE s >= 2
 UNION ALL SELECT cycle_start, src_ip, 'multi_vector_ip', a, 'CRITICAL' FROM d WHERE k >= 2
-UNION ALL SELECT cycle_start, src_ip, 'recon_exploit', a, 'CRITICAL' FROM d WHERE r AND e""", extra=DET))
+UNION ALL SELECT cycle_start, src_ip, 'recon_exploit', a, 'CRITICAL' FROM d
+  JOIN (SELECT cycle_start, sum(a) AS day FROM d GROUP BY 1) USING (cycle_start) WHERE r AND e AND day >= 20""", extra=DET))
 def stream_detections(spark, sf):
     return finished(spark, "detections", J.stream_detections(
-        T.logs(spark, sf, stream=True), cycle=DAY, delay="0 seconds", requests=4, blocked=2, scans=2, kinds=2))
+        T.logs(spark, sf, stream=True), cycle=DAY, delay="0 seconds", requests=4, blocked=2, scans=2, kinds=2,
+        min_attacks=20))
 
 
 SES = {"g": f"""SELECT {DAYC} AS cycle_start, session_id, count(*) AS event_count, arg_min(src_ip, ("timestamp", id)) AS src_ip,
