@@ -101,8 +101,8 @@ def squeeze(col: Column) -> Column:
 
 
 def _lower_only(pattern: str) -> bool:
-    """True if the pattern has no capital letter outside escapes such as ``\\S``."""
-    return not re.search("[A-Z]", re.sub(r"\\.", "", pattern))
+    """True if the pattern has no capital letter outside escapes such as ``\\S``, and no character by its code."""
+    return not re.search(r"\\[xu]|[A-Z]", re.sub(r"\\[^xu]", "", pattern))
 
 
 def any_rlike(patterns: Iterable[str]) -> str:
@@ -123,9 +123,9 @@ def joined(patterns: Iterable[str], *, lowered: bool = False) -> list[str]:
     patterns = list(patterns)
     plain = [p for p in patterns if lowered and _lower_only(p) and not _REFERENCE.search(p)]
     folded = [p for p in patterns if p not in plain and not _REFERENCE.search(p)]
-    out = ["(?i)" + p for p in patterns if _REFERENCE.search(p)]
+    out = ["(?iu)" + p for p in patterns if _REFERENCE.search(p)]
     if folded:
-        out.append(any_rlike(folded))
+        out.append("(?iu)" + "|".join(f"(?:{p})" for p in folded))
     if plain:
         out.append("|".join(f"(?:{p})" for p in plain))
     return out

@@ -127,7 +127,7 @@ def pattern_hit_counts(requests: DataFrame, *, patterns: dict[str, list[str]] |
     rows = rows.select("id", "threat_type", "client_ip", F.explode(texts).alias("_text"))
     text, found = F.col("_text"), F.array().cast("array<string>")
     for category, regexes in patterns.items():
-        mine = F.array(*[F.when(text.rlike("(?i)" + p), p) for p in regexes])
+        mine = F.array(*[F.when(text.rlike("(?iu)" + p), p) for p in regexes])
         found = F.when(F.col("threat_type") == category, F.filter(mine, lambda x: x.isNotNull())).otherwise(found)
     # A pattern that finds several forms of one request counts once.
     hits = rows.select("id", "threat_type", "client_ip", F.explode(found).alias("pattern")).distinct()
