@@ -15,7 +15,7 @@ from duskwatch.llm.common import map_rows
 
 #: Labelled rows of each class, at most, that are learned from; two thirds make the dictionaries
 #: and one third calibrates. Rows with longer texts than this are not used for learning.
-SAMPLE_ROWS = 2400
+SAMPLE_ROWS = 1600
 SAMPLE_CHARS = 20_000
 #: Words in a window.
 WINDOW = 8
@@ -112,14 +112,18 @@ def fit(toxic: list[str], ordinary: list[str]) -> Model:
 def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic",
           where: Column | None = None, sample_rows: int = SAMPLE_ROWS) -> Model | None:
     """A model from at most ``sample_rows`` labelled rows of each class, chosen by a hash; None without both classes."""
-    marked = labels.where(F.col(label).isNotNull()).select(key, F.col(label).alias("_label"))
+    marked = labels.where(F.col(label).isNotNull())
     rows = docs.where(F.col(text).isNotNull() & (F.length(text) <= SAMPLE_CHARS))
     if where is not None:
         rows, marked = rows.where(where), marked.where(where)
-    known = rows.select(key, F.col(text).alias("_text")).join(marked, key)
-    found = [[r[0] for r in known.where(F.col("_label") == v).orderBy(F.xxhash64(key), "_text").select("_text").limit(sample_rows).collect()]
-             for v in (1, 0)]
-    return fit(*found) if all(found) else None
+    # Only keys are moved until the rows are chosen; a key counts once, however often it occurs.
+    known = marked.groupBy(key).agg(F.max(label).alias("_label")).join(rows.select(key).distinct(), key)
+    one, two = (known.where(F.col("_label") == v).orderBy(F.xxhash64(key), key).limit(sample_rows) for v in (1, 0))
+    chosen = rows.select(key, F.col(text).alias("_text")).join(F.broadcast(one.union(two)), key)  # at most twice sample_rows
+    texts = chosen.groupBy(key, "_label").agg(F.min("_text").alias("_text"))
+    found = sorted((r["_label"], r["_hash"], r["_text"]) for r in texts.withColumn("_hash", F.xxhash64(key)).collect())
+    toxic, ordinary = ([t for v, _, t in found if v == wanted] for wanted in (1, 0))
+    return fit(toxic, ordinary) if toxic and ordinary else None
 
 
 def score_toxicity(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str = "text") -> DataFrame:

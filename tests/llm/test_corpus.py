@@ -153,9 +153,24 @@ def test_language(spark, odd, docs):
 
 
 def test_language_ranks():
-    assert language.ranked(language.ngrams("ab ab")) == [" a", " ab", "a", "ab", "ab ", "b", "b "]
-    predict = language.predictor({"x": {g: i for i, g in enumerate(language.ranked(language.ngrams("ab ab")))}, "y": {"q": 0}})
-    assert predict("ab") == ("x", 1.0) and predict("12 !") == ("und", 0.0)
+    assert [language.gram_text(int(c)) for c in language.ranked(language.grams("Ab, ab1"))] == ["a", "b", " a", "ab", "b ", " ab", "ab "]
+    profiles = {"x": language.ranked(language.grams("ab ab")).tolist(), "y": [ord("q")]}
+    predict = language.predictor(profiles)
+    assert predict("ab") == ("x", 1.0) and predict("12 !") == ("und", 0.0) and predict("") == ("und", 0.0)
+    assert predict("\U00010400\U00010400")[1] == 0.0
+
+
+def test_language_counts():
+    from collections import Counter
+
+    text = "Über-all är 3 små\nglömda ord; \U00010428x é"
+    words = "".join(c if c.isalpha() else " " for c in text.lower()).split()
+    expected: Counter = Counter()
+    for w in words:
+        padded = f" {w} "
+        expected.update(g for n in (1, 2, 3) for i in range(len(padded) - n + 1) if (g := padded[i:i + n]) != " ")
+    # The space between two words is shared, so its pairs are counted once, as here.
+    assert Counter(language.gram_text(int(c)) for c in language.grams(text)) == expected
 
 
 def test_toxicity(spark, odd):
