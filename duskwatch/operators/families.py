@@ -150,12 +150,13 @@ def findings(logs: DataFrame, *, cycle: float | None, limits: dict[str, dict], d
     keyed = rows.select("cycle_start", "timestamp", "id", subsets.alias("subsets"), F.explode(keys).alias("k")).select(
         "cycle_start", "timestamp", "id", "subsets", "k.*")
     mine = keyed.join(found, ["cycle_start", "family", "key"]).filter(F.array_contains("subsets", F.col("hit.subset")))
-    group = ["cycle_start", "family", "key", "hit"]
-    most = F.try_element_at(F.create_map(*[F.lit(x) for pair in MOST_IDS.items() for x in pair]), F.col("hit.detector"))
-    capped = first_n(mine.select(*group, "timestamp", "id"), group, ["timestamp", "id"], max(MOST_IDS.values()))
+    group = ["cycle_start", "family", "key", "detector"]
+    most = F.try_element_at(F.create_map(*[F.lit(x) for pair in MOST_IDS.items() for x in pair]), F.col("detector"))
+    capped = first_n(mine.select("cycle_start", "family", "key", "hit.detector", "hit", "timestamp", "id"), group,
+                     ["timestamp", "id"], max(MOST_IDS.values()))
     ids = F.array_sort(F.collect_list(F.struct("timestamp", "id")))
-    listed = capped.groupBy(*group).agg(ids.alias("_ids")).withColumn(
-        "log_ids", F.transform(F.slice("_ids", F.lit(1), most), lambda s: s["id"]))
+    listed = capped.groupBy(*group).agg(ids.alias("_ids"), F.first("hit").alias("hit")).withColumn(
+        "log_ids", F.transform(F.slice("_ids", F.lit(1), most), lambda s: s["id"])).drop("detector")
     return as_hits(
         listed.select("cycle_start", "log_ids", "family", "key", "hit.*"), rule_id=F.col("source"),
         session_id=F.when(F.col("family") == "session", F.col("key")))
