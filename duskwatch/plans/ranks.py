@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,18 +28,22 @@ def exact_rank_values(
         rows = rows.withColumn("_all", F.lit(1))
     names = list(ps)
     slack = 2.0 / accuracy
-    bounds = [min(1.0, max(0.0, ps[n] + d)) for n in names for d in (-slack, slack)]
+    # Brackets of several widths; a group takes the narrowest that is at least two of its rows wide on either side.
+    widths = [slack]
+    while widths[-1] < 1:
+        widths.append(widths[-1] * 4)
+    bounds = [min(1.0, max(0.0, ps[n] + sign * d)) for n in names for sign in (-1, 1) for d in widths]
     sketch = rows.groupBy(*keys).agg(
         F.count("*").alias("_n"),
-        F.min("_v").alias("_min"), F.max("_v").alias("_max"),
         F.percentile_approx("_v", bounds, accuracy).alias("_b"),
     )
+    step = F.ceil(F.log(F.lit(2 / slack) / F.col("_n")) / math.log(4))
+    step = F.greatest(F.lit(0), F.least(F.lit(len(widths) - 1), step)).cast("int")
     for i, n in enumerate(names):
-        low, high = F.col("_b")[2 * i], F.col("_b")[2 * i + 1]
-        sketch = sketch.withColumn(f"_lo{i}", F.col("_min") if bounds[2 * i] <= 0 else low)
-        sketch = sketch.withColumn(f"_hi{i}", F.col("_max") if bounds[2 * i + 1] >= 1 else high)
+        sketch = sketch.withColumn(f"_lo{i}", F.get("_b", 2 * i * len(widths) + step))
+        sketch = sketch.withColumn(f"_hi{i}", F.get("_b", (2 * i + 1) * len(widths) + step))
         sketch = sketch.withColumn(f"_r{i}", F.floor(F.lit(ps[n]) * (F.col("_n") - 1)))
-    sketch = sketch.drop("_b", "_min", "_max")
+    sketch = sketch.drop("_b")
     tagged = rows.join(F.broadcast(sketch) if few_groups or not groups else sketch, keys)
     hits = F.array(*[
         F.when(F.col("_v") <= F.col(f"_hi{i}"), F.struct(

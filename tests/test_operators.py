@@ -50,6 +50,18 @@ def test_run_starts_with_a_hot_tile(spark, seed):
     assert got == want
 
 
+@pytest.mark.parametrize("accuracy", [50, 1000])
+def test_exact_ranks_at_every_size(spark, accuracy):
+    rng = random.Random(4)
+    sizes = [*range(1, 40), 107, 999]
+    rows = [(g, rng.choice([float(rng.randrange(50)), rng.random() * 50])) for g in sizes for _ in range(g)]
+    got = exact_rank_values(spark.createDataFrame(rows, "g int, v double"), groups=["g"], value="v",
+                            ps={"a": 0.5, "b": 0.95, "c": 0.0, "d": 1.0}, accuracy=accuracy)
+    for r in got.collect():
+        values = sorted(v for g, v in rows if g == r.g)
+        assert [r.a, r.b, r.c, r.d] == [values[int(p * (len(values) - 1))] for p in (0.5, 0.95, 0.0, 1.0)]
+
+
 def test_exact_ranks_use_the_sketch(spark):
     rng = random.Random(5)
     values = [("a", rng.choice([1.0, 2.0, rng.random() * 100])) for _ in range(4000)] + [("b", 7.0), ("b", None)]
