@@ -82,12 +82,9 @@ class Forest:
     """Union-find that keeps the links which joined two trees.
 
     With ``sure``, links up to that distance are taken as they come and farther ones wait until the
-    end, nearest first, so that trees grow along the nearest links. Waiting links whose ends have
-    been joined meanwhile are dropped, which bounds their number.
+    end, nearest first, so that trees grow along the nearest links.
     """
 
-    WAITING = 1 << 22
-
     def __init__(self, n: int, sure: int | None = None):
         self.parent = np.arange(n)
         self.edges: list[tuple[int, int]] = []
@@ -108,13 +105,6 @@ class Forest:
                 self.waiting.append((a[far], b[far], distance[far]))
             a, b = a[~far], b[~far]
         self._join(a, b)
-        if sum(len(w[0]) for w in self.waiting) > self.WAITING:
-            a, b, distance = map(np.concatenate, zip(*self.waiting))
-            roots = self.roots()
-            apart = roots[a] != roots[b]
-            self.waiting = [(a[apart], b[apart], distance[apart])]
-            if apart.sum() > self.WAITING // 2:
-                self.finish()
 
     def finish(self) -> None:
         if self.waiting:

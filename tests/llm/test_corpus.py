@@ -116,6 +116,16 @@ def test_forest_takes_near_links_first():
     assert forest.edges == [(1, 2), (0, 2)]
 
 
+def test_near_links_come_first_however_many_wait():
+    """Millions of far links between 3000 rows, then a near one: it must not find its ends joined."""
+    a, b = np.triu_indices(3000, 1)
+    forest = simhash.Forest(3000, sure=2)
+    forest.add(a, b, np.full(len(a), 9))
+    forest.add(np.array([7]), np.array([8]), np.array([1]))
+    forest.finish()
+    assert forest.edges[0] == (7, 8) and len(forest.edges) == 2999
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(60)] + [(100, 200), (200, 300), (7, 7)]
     found = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(links, "u long, v long")).collect()}
