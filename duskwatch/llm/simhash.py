@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,6 +22,8 @@ SEED = 42
 TILE = 32768
 #: Pairs that are compared at once.
 BLOCK = 1 << 20
+#: Shingles of one side, about, that a task which checks links has at a time.
+SHINGLES = 1 << 22
 _WORD = re.compile(WORD)
 _LOWER = str.maketrans({c: chr(ord(c) + 32) for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"})
 _CHUNK = 1 << 14
@@ -82,13 +85,15 @@ class Forest:
     """Union-find that keeps the links which joined two trees.
 
     With ``sure``, links up to that distance are taken as they come and farther ones wait until the
-    end, nearest first, so that trees grow along the nearest links.
+    end, nearest first, so that trees grow along the nearest links. With ``check``, which tells
+    of one row and others which of these it is really linked to, no other link joins anything.
     """
 
-    def __init__(self, n: int, sure: int | None = None):
+    def __init__(self, n: int, sure: int | None = None, check: Callable[[int, np.ndarray], np.ndarray] | None = None):
         self.parent = np.arange(n)
         self.edges: list[tuple[int, int]] = []
         self.sure = sure
+        self.check = check
         self.waiting: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
     def roots(self) -> np.ndarray:
@@ -104,14 +109,29 @@ class Forest:
             if far.any():
                 self.waiting.append((a[far], b[far], distance[far]))
             a, b = a[~far], b[~far]
-        self._join(a, b)
+        (self._join_checked if self.check else self._join)(a, b)
 
     def finish(self) -> None:
         if self.waiting:
             a, b, distance = map(np.concatenate, zip(*self.waiting))
             order = np.argsort(distance, kind="stable")
             self.waiting = []
-            self._join(a[order], b[order])
+            (self._join_checked if self.check else self._join)(a[order], b[order])
+
+    def _join_checked(self, a: np.ndarray, b: np.ndarray) -> None:
+        roots = self.roots()
+        apart = roots[a] != roots[b]
+        a, b = a[apart], b[apart]
+        order = np.argsort(a, kind="stable")
+        a, b = a[order], b[order]
+        for others in np.split(np.arange(len(a)), np.flatnonzero(np.diff(a)) + 1):
+            if len(others):
+                x, ys = int(a[others[0]]), b[others]
+                roots = self.roots()
+                ys = ys[roots[ys] != roots[x]]
+                if len(ys):
+                    ys = ys[self.check(x, ys)]
+                    self._join(np.full(len(ys), x), ys)
 
     def _join(self, a: np.ndarray, b: np.ndarray) -> None:
         roots = self.roots()
@@ -128,6 +148,46 @@ class Forest:
                 self.edges.append((x, y))
 
 
+class Marks:
+    """Takes links like ``Forest`` and notes only which rows have any."""
+
+    def __init__(self, n: int):
+        self.linked = np.zeros(n, bool)
+
+    def add(self, a: np.ndarray, b: np.ndarray, distance: np.ndarray) -> None:
+        self.linked[a] = self.linked[b] = True
+
+
+class Sets:
+    """Sets of shingles, one a row, that are compared exactly."""
+
+    def __init__(self, sets: pa.ListArray, least: float):
+        self.sizes = np.asarray(pc.fill_null(pc.list_value_length(sets), 0)).astype(np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        found, self.ids = np.unique(sets.flatten().to_numpy(zero_copy_only=False), return_inverse=True)
+        self.member = np.zeros(len(found), bool)
+        self.least = least
+
+    def check(self, x: int, ys: np.ndarray) -> np.ndarray:
+        """Whether each of ``ys`` has a Jaccard similarity of ``least`` or more to ``x``."""
+        own = self.ids[self.starts[x]:self.starts[x] + self.sizes[x]]
+        self.member[own] = True
+        sizes = self.sizes[ys]
+        ends = np.cumsum(sizes)
+        shared = np.empty(len(ys), np.int64)
+        at = 0
+        while at < len(ys):
+            before = ends[at] - sizes[at]
+            to = max(at + 1, int(np.searchsorted(ends, before + BLOCK, "right")))
+            places = np.arange(ends[to - 1] - before) + np.repeat(self.starts[ys[at:to]] - (ends[at:to] - sizes[at:to] - before), sizes[at:to])
+            hits = np.concatenate([[0], np.cumsum(self.member[self.ids[places]])])
+            shared[at:to] = hits[ends[at:to] - before] - hits[ends[at:to] - sizes[at:to] - before]
+            at = to
+        self.member[own] = False
+        union = sizes + len(own) - shared
+        return (union == 0) | (shared / np.maximum(union, 1) >= self.least)
+
+
 def _popcounts(fps: np.ndarray, parts: int) -> np.ndarray:
     """Set bits in each of ``parts`` equal pieces of the first lane."""
     counts = np.bitwise_count(fps[:, :1].astype("<u8").view(np.uint8)).astype(np.int16)
@@ -140,11 +200,13 @@ def _direct(fps, sizes, a, b, radius, first_radius, ratio, forest) -> None:
         rows = a[at:at + step]
         apart = np.bitwise_count(fps[rows, 0][:, None] ^ fps[b, 0][None, :])
         i, j = np.nonzero(apart <= first_radius)
+        if a is b:  # each pair once
+            i, j = i[rows[i] < b[j]], j[rows[i] < b[j]]
         distance = apart[i, j].astype(np.int32)
         i, j = rows[i], b[j]
         if fps.shape[1] > 1 and len(i):
             distance = np.bitwise_count(fps[i] ^ fps[j]).sum(axis=1, dtype=np.int32)
-        near = (distance <= radius) & (i != j)
+        near = distance <= radius
         if ratio:
             near &= np.minimum(sizes[i], sizes[j]) >= ratio * np.maximum(sizes[i], sizes[j])
         if near.any():
@@ -177,22 +239,14 @@ def link_tiles(fps, sizes, a, b, radius, first_radius, ratio, forest, parts: int
             link_tiles(fps, sizes, tile, tb[m], radius, first_radius, ratio, forest, parts * 2)
 
 
-def near_links(fps: DataFrame, radius: int, first_radius: int | None = None, ratio: float | None = None,
-               sure: int | None = None) -> DataFrame:
-    """Links between distinct fingerprints at most ``radius`` bits apart: as few as keep them connected.
-
-    ``fps`` has distinct rows of ``node`` (long), ``fp`` and ``n_shingles``. With several lanes, two
-    fingerprints are near if their first lanes differ in at most ``first_radius`` bits and all
-    lanes together in at most ``radius``. With ``ratio`` the smaller must also have that share of the
-    larger one's shingles.
+def _tile_pairs(fps: DataFrame, first_radius: int, ratio: float | None) -> DataFrame:
+    """pair, side, node, fp and n_shingles: the rows that each comparison of two tiles needs.
 
     Cells are the bit counts of both halves of the first lane in steps of the radius, and with
     ``ratio`` the size on a logarithmic scale: rows that are near have equal or adjoining cells.
-    Cells are cut into tiles of bounded size, and every pair of tiles in adjoining cells is compared
-    in one task, which returns a spanning forest of its links rather than all pairs, along the nearest
-    links if ``sure`` says up to which distance order does not matter.
+    Cells are cut into tiles of bounded size, and every pair of tiles in adjoining cells is a pair
+    here. Side 0 is a tile with itself, sides 1 and 2 are two tiles.
     """
-    first_radius = radius if first_radius is None else first_radius
     width = first_radius + 1
     low = F.bit_count(F.col("fp")[0].bitwiseAND(F.lit(0xFFFFFFFF)))
     high = F.bit_count(F.shiftrightunsigned(F.col("fp")[0], 32))
@@ -225,38 +279,92 @@ def near_links(fps: DataFrame, radius: int, first_radius: int | None = None, rat
     sides = pairs.select("pair", F.explode(ends).alias("e")).select("pair", "e.*")
     tiled = celled.join(F.broadcast(cells), ["x", "y", "z"]).withColumn(  # at most 33 x 33 cells for each size
         "t", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
-    sent = tiled.join(sides, ["x", "y", "z", "t"]).select("pair", "side", "node", "fp", "n_shingles")
+    return tiled.join(sides, ["x", "y", "z", "t"]).select("pair", "side", "node", "fp", "n_shingles")
+
+
+def _side(group: pa.Table) -> tuple[np.ndarray, ...]:
+    """Fingerprints, sizes, nodes and the row numbers of both sides."""
+    side = group.column("side").to_numpy()
+    words = group.column("fp").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    words = np.ascontiguousarray(words, dtype=np.int64).view(np.uint64).reshape(len(side), -1)
+    every = np.arange(len(side))
+    a, b = (every, every) if not side.max() else (every[side == 1], every[side == 2])
+    return words, group.column("n_shingles").to_numpy(), group.column("node").to_numpy(), a, b
+
+
+def _edges(forest: Forest, nodes: np.ndarray) -> pa.Table:
+    u, v = zip(*forest.edges) if forest.edges else ((), ())
+    return pa.table({"u": pa.array(nodes[list(u)], pa.int64()), "v": pa.array(nodes[list(v)], pa.int64())})
+
+
+def near_links(fps: DataFrame, radius: int, first_radius: int | None = None) -> DataFrame:
+    """Links between distinct fingerprints at most ``radius`` bits apart: as few as keep them connected.
+
+    ``fps`` has distinct rows of ``node`` (long), ``fp`` and ``n_shingles``. With several lanes, two
+    fingerprints are near if their first lanes differ in at most ``first_radius`` bits and all
+    lanes together in at most ``radius``. Every pair of tiles is compared in one task, which returns
+    a spanning forest of its links rather than all pairs.
+    """
+    first_radius = radius if first_radius is None else first_radius
 
     def compare(group: pa.Table) -> pa.Table:
-        side = group.column("side").to_numpy()
-        words = group.column("fp").combine_chunks().flatten().to_numpy(zero_copy_only=False)
-        words = np.ascontiguousarray(words, dtype=np.int64).view(np.uint64).reshape(len(side), -1)
-        sizes = group.column("n_shingles").to_numpy()
-        nodes = group.column("node").to_numpy()
-        every = np.arange(len(side))
-        forest = Forest(len(side), sure)
-        a, b = (every, every) if not side.max() else (every[side == 1], every[side == 2])
-        link_tiles(words, sizes, a, b, radius, first_radius, ratio, forest)
-        forest.finish()
-        u, v = zip(*forest.edges) if forest.edges else ((), ())
-        return pa.table({"u": pa.array(nodes[list(u)], pa.int64()), "v": pa.array(nodes[list(v)], pa.int64())})
+        words, sizes, nodes, a, b = _side(group)
+        forest = Forest(len(nodes))
+        link_tiles(words, sizes, a, b, radius, first_radius, None, forest)
+        return _edges(forest, nodes)
+
+    return _tile_pairs(fps, first_radius, None).groupBy("pair").applyInArrow(compare, "u long, v long")
+
 
-    return sent.groupBy("pair").applyInArrow(compare, "u long, v long")
+def similar_links(nodes: DataFrame, docs: DataFrame, key: str, text: str, size: int, radius: int, first_radius: int,
+                  ratio: float, least: float) -> DataFrame:
+    """Links between texts with a Jaccard similarity of ``least`` or more: as few as keep them connected.
 
+    Candidates are near as in ``near_links``, and the smaller has ``ratio`` of the larger one's shingles. A
+    first pass over the tiles finds which rows have any candidate. Only these rows and their shingle sets come
+    to a second pass, in parts of about ``SHINGLES`` shingles, each with every other part of its
+    pair of tiles; there every candidate whose ends are not yet joined is decided by the exact similarity of the
+    sets, over distinct shingles, before it joins anything.
+    """
+
+    def mark(group: pa.Table) -> pa.Table:
+        words, sizes, _, a, b = _side(group)
+        marks = Marks(len(words))
+        link_tiles(words, sizes, a, b, radius, first_radius, ratio, marks)
+        return group.filter(pa.array(marks.linked))
 
-def similar(links: DataFrame, nodes: DataFrame, docs: DataFrame, key: str, text: str, size: int, least: float) -> DataFrame:
-    """The links whose texts have a Jaccard similarity of ``least`` or more: exact, over distinct shingles."""
-    ends = links.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(
-        nodes.select("node", F.col("least.row_hash").alias("_row_hash")), "node")
+    sent = _tile_pairs(nodes, first_radius, ratio)
+    marked = frozen(sent.groupBy("pair").applyInArrow(mark, sent.schema).drop("fp"))
+    ends = marked.select("node").distinct().join(nodes.select("node", F.col("least.row_hash").alias("_row_hash")), "node")
     texts = docs.select(F.xxhash64(key, text).alias("_row_hash"), F.col(text).alias("_text")).join(ends, "_row_hash")
     sets = map_rows(texts, ["node", "_text"], "node long, shingles array<long>",
                     lambda n, t: (n, np.unique(shingle_hashes(t, size)).view(np.int64).tolist()))
-    sets = sets.groupBy("node").agg(F.first("shingles").alias("shingles"))
-    pairs = links.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u").join(
-        sets.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v")
-    shared = F.size(F.array_intersect("a", "b"))
-    union = F.size("a") + F.size("b") - shared
-    return pairs.where((union == 0) | (shared >= F.lit(least) * union)).select("u", "v")
+    sets = sets.groupBy("node").agg(F.first("shingles").alias("shingles")).join(nodes.select("node", "fp"), "node")
+
+    parts = marked.groupBy("pair").agg(*(
+        F.ceil(F.greatest(F.sum(F.when(F.col("side") == n, F.col("n_shingles"))), F.lit(1)) / SHINGLES).cast("int").alias(f"m{n}")
+        for n in range(3)))
+    part = F.pmod(F.xxhash64(F.lit("part"), "node"), F.when(F.col("side") == 0, F.col("m0")).when(F.col("side") == 1, F.col("m1")).otherwise(F.col("m2"))).cast("int")
+
+    def meets(i, j, side):
+        return F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), side.cast("int").alias("side"))
+
+    p = F.col("_part")
+    tasks = (
+        F.when(F.col("side") == 0, F.transform(F.sequence(F.lit(0), F.col("m0") - 1), lambda q: meets(
+            F.least(p, q), F.greatest(p, q), F.when(p == q, 0).when(p < q, 1).otherwise(2))))
+        .when(F.col("side") == 1, F.transform(F.sequence(F.lit(0), F.col("m2") - 1), lambda q: meets(p, q, F.lit(1))))
+        .otherwise(F.transform(F.sequence(F.lit(0), F.col("m1") - 1), lambda q: meets(q, p, F.lit(2)))))
+    dealt = marked.join(parts, "pair").withColumn("_part", part).select("pair", "node", "n_shingles", F.explode(tasks).alias("e"))
+    dealt = dealt.select("pair", "e.*", "node", "n_shingles").join(sets, "node")
+
+    def decide(group: pa.Table) -> pa.Table:
+        words, sizes, found, a, b = _side(group)
+        forest = Forest(len(found), check=Sets(group.column("shingles").combine_chunks(), least).check)
+        link_tiles(words, sizes, a, b, radius, first_radius, ratio, forest)
+        return _edges(forest, found)
+
+    return dealt.groupBy("pair", "i", "j").applyInArrow(decide, "u long, v long")
 
 
 def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 3, lanes: int = 1, radius: int = 3,
@@ -266,7 +374,7 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
     A-Z are lower-cased; shingles of ``size`` words, repeats included, vote for the bits of a
     fingerprint of 64 ``lanes`` bits. Equal fingerprints collapse first, whatever their number, and
     distinct ones are compared in tiles (``near_links``); groups are connected components. With
-    ``similarity``, links count only if the shingle sets have that Jaccard similarity.
+    ``similarity``, near fingerprints are linked if the shingle sets have that Jaccard similarity.
 
     Columns: key, row_hash, fp, least: the smallest (key, row_hash) of the group, with null keys last.
     Null texts and texts without words have fingerprint zero and are linked like others. Rows
@@ -278,9 +386,8 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
     nodes = frozen(rows.groupBy("node").agg(
         F.first("fp").alias("fp"), F.first("n_shingles").alias("n_shingles"), F.min(ordered).alias("least")))
     # Repeats of a shingle count in sizes and not in sets, so sizes may differ somewhat more than sets.
-    links = near_links(nodes, radius, first_radius, similarity and similarity * 0.95, similarity and radius // 2)
-    if similarity:
-        links = similar(frozen(links), nodes, docs, key, text, size, similarity)
+    links = (similar_links(nodes, docs, key, text, size, radius, first_radius, similarity * 0.95, similarity) if similarity
+             else near_links(nodes, radius, first_radius))
     roots = components(links)
     linked = roots.join(nodes.select("node", "least"), "node")
     smallest = linked.groupBy("root").agg(F.min("least").alias("smallest"))

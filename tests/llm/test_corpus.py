@@ -147,6 +147,41 @@ def test_drop_near_duplicates(docs, odd, texts):
     assert simhash.drop_near_duplicates(odd.limit(0)).count() == 0
 
 
+def family(n, planted):
+    """Texts of similarity 0.75 by a common passage; the last ``planted`` have 0.84 to one text each."""
+    passage = " ".join(f"common{i}" for i in range(304))
+    tails = [[f"own{k}x{i}" for i in range(50)] for k in range(n)]
+    tails += [tails[3 * k][:20] + [f"new{k}x{i}" for i in range(30)] for k in range(planted)]
+    return [f"{passage} {' '.join(t)}" for t in tails]
+
+
+@pytest.mark.parametrize("shingles", [None, 20_000])
+def test_pairs_inside_a_family_are_found(spark, monkeypatch, shingles):
+    """Candidates below the limit must not hide pairs above it, whatever parts a task has at a time."""
+    if shingles:
+        monkeypatch.setattr(simhash, "SHINGLES", shingles)
+    texts = family(300, 60)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = [set(brute.shingles(t, 5)) for t in texts]
+    assert sum(brute.jaccard(sets[i], sets[j]) >= 0.8 for i in range(len(sets)) for j in range(i)) == 60
+    assert sorted(rows(simhash.drop_near_duplicates(docs)).doc_id) == list(range(300))
+
+
+def test_sets_are_compared_exactly():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    lists = [sorted({int(v) for v in rng.integers(0, 12, rng.integers(0, 15))}) for _ in range(60)] + [[]]
+    block, simhash.BLOCK = simhash.BLOCK, 7
+    try:
+        sets = simhash.Sets(pa.array(lists, pa.list_(pa.int64())), 0.5)
+        for x in range(len(lists)):
+            ys = rng.permutation(len(lists))[:40]
+            assert list(sets.check(x, ys)) == [brute.jaccard(set(lists[x]), set(lists[y])) >= 0.5 for y in ys]
+    finally:
+        simhash.BLOCK = block
+
+
 def test_language(spark, odd, docs):
     found = rows(entry_points.queries()["op3_language"](spark, SF)).merge(rows(docs), on="doc_id")
     assert (found.held_out == found.doc_id.map(lambda i: zlib.crc32(str(i).encode()) % 4 == 2)).all()
