@@ -69,12 +69,18 @@ def fingerprint(hashes: np.ndarray, lanes: int = 1) -> list[int]:
     return out
 
 
-def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 3, lanes: int = 1) -> DataFrame:
-    """``key``, ``row_hash`` (of key and text), ``n_shingles`` and ``fp``, an array of ``lanes`` longs, for every text."""
+def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 3, lanes: int = 1,
+                 distinct: bool = False) -> DataFrame:
+    """``key``, ``row_hash`` (of key and text), ``n_shingles`` and ``fp``, an array of ``lanes`` longs, for every text.
+
+    With ``distinct``, repeats of a shingle neither count nor vote.
+    """
     kind = docs.schema[key].dataType.simpleString()
 
     def row(k, h, t):
         hashes = shingle_hashes(t, size)
+        if distinct:
+            hashes = np.unique(hashes)
         return k, h, len(hashes), fingerprint(hashes, lanes)
 
     return map_rows(docs, [key, F.xxhash64(key, text).alias("row_hash"), text],
@@ -317,11 +323,11 @@ def near_links(fps: DataFrame, radius: int, first_radius: int | None = None) ->
 
 
 def similar_links(nodes: DataFrame, docs: DataFrame, key: str, text: str, size: int, radius: int, first_radius: int,
-                  ratio: float, least: float) -> DataFrame:
+                  least: float) -> DataFrame:
     """Links between texts with a Jaccard similarity of ``least`` or more: as few as keep them connected.
 
-    Candidates are near as in ``near_links``, and the smaller has ``ratio`` of the larger one's shingles. A
-    first pass over the tiles finds which rows have any candidate. Only these rows and their shingle sets come
+    ``n_shingles`` counts distinct shingles. Candidates are near as in ``near_links``, and the smaller has the share
+    ``least`` of the larger one's shingles, without which no pair is so similar. A first pass over the tiles finds which rows have any candidate. Only these rows and their shingle sets come
     to a second pass, in parts of about ``SHINGLES`` shingles, each with every other part of its
     pair of tiles; there every candidate whose ends are not yet joined is decided by the exact similarity of the
     sets, over distinct shingles, before it joins anything.
@@ -330,10 +336,10 @@ def similar_links(nodes: DataFrame, docs: DataFrame, key: str, text: str, size:
     def mark(group: pa.Table) -> pa.Table:
         words, sizes, _, a, b = _side(group)
         marks = Marks(len(words))
-        link_tiles(words, sizes, a, b, radius, first_radius, ratio, marks)
+        link_tiles(words, sizes, a, b, radius, first_radius, least, marks)
         return group.filter(pa.array(marks.linked))
 
-    sent = _tile_pairs(nodes, first_radius, ratio)
+    sent = _tile_pairs(nodes, first_radius, least)
     marked = frozen(sent.groupBy("pair").applyInArrow(mark, sent.schema).drop("fp"))
     ends = marked.select("node").distinct().join(nodes.select("node", F.col("least.row_hash").alias("_row_hash")), "node")
     texts = docs.select(F.xxhash64(key, text).alias("_row_hash"), F.col(text).alias("_text")).join(ends, "_row_hash")
@@ -361,7 +367,7 @@ def similar_links(nodes: DataFrame, docs: DataFrame, key: str, text: str, size:
     def decide(group: pa.Table) -> pa.Table:
         words, sizes, found, a, b = _side(group)
         forest = Forest(len(found), check=Sets(group.column("shingles").combine_chunks(), least).check)
-        link_tiles(words, sizes, a, b, radius, first_radius, ratio, forest)
+        link_tiles(words, sizes, a, b, radius, first_radius, least, forest)
         return _edges(forest, found)
 
     return dealt.groupBy("pair", "i", "j").applyInArrow(decide, "u long, v long")
@@ -371,8 +377,8 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
                 first_radius: int | None = None, similarity: float | None = None) -> DataFrame:
     """The near-duplicate group of every row.
 
-    A-Z are lower-cased; shingles of ``size`` words, repeats included, vote for the bits of a
-    fingerprint of 64 ``lanes`` bits. Equal fingerprints collapse first, whatever their number, and
+    A-Z are lower-cased; shingles of ``size`` words, repeats included (each once with ``similarity``), vote for
+    the bits of a fingerprint of 64 ``lanes`` bits. Equal fingerprints collapse first, whatever their number, and
     distinct ones are compared in tiles (``near_links``); groups are connected components. With
     ``similarity``, near fingerprints are linked if the shingle sets have that Jaccard similarity.
 
@@ -380,13 +386,12 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
     Null texts and texts without words have fingerprint zero and are linked like others. Rows
     with a null key take part; repeated rows are one group; other columns are ignored.
     """
-    rows = frozen(fingerprints(docs, key, text, size, lanes).withColumn(
+    rows = frozen(fingerprints(docs, key, text, size, lanes, similarity is not None).withColumn(
         "node", F.xxhash64("fp", "n_shingles") if similarity else F.col("fp")[0]))
     ordered = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.col("row_hash").alias("row_hash"))
     nodes = frozen(rows.groupBy("node").agg(
         F.first("fp").alias("fp"), F.first("n_shingles").alias("n_shingles"), F.min(ordered).alias("least")))
-    # Repeats of a shingle count in sizes and not in sets, so sizes may differ somewhat more than sets.
-    links = (similar_links(nodes, docs, key, text, size, radius, first_radius, similarity * 0.95, similarity) if similarity
+    links = (similar_links(nodes, docs, key, text, size, radius, first_radius, similarity) if similarity
              else near_links(nodes, radius, first_radius))
     roots = components(links)
     linked = roots.join(nodes.select("node", "least"), "node")

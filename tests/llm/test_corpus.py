@@ -167,6 +167,16 @@ def test_pairs_inside_a_family_are_found(spark, monkeypatch, shingles):
     assert sorted(rows(simhash.drop_near_duplicates(docs)).doc_id) == list(range(300))
 
 
+def test_repeats_do_not_hide_near_duplicates(spark):
+    """The longer text has nearly the same set of shingles, and repeats part of itself."""
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(words), " ".join(words + words[:150]), " ".join(words + words[100:300] * 3), " ".join(f"v{i}" for i in range(400))]
+    sets = [set(brute.shingles(t, 5)) for t in texts]
+    assert all(brute.jaccard(sets[0], s) >= 0.95 for s in sets[1:3])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(rows(simhash.drop_near_duplicates(docs)).doc_id) == [0, 3]
+
+
 def test_sets_are_compared_exactly():
     import pyarrow as pa
 
