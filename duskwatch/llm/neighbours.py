@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,8 +14,11 @@ from duskwatch.llm.common import frozen, positions
 
 #: Orderings, dimensions of each, bits of a dimension: a key has 56 bits.
 CURVES, DIMS, BITS = 24, 8, 7
-#: Rows of a window block; a query meets its own block and the one on either side.
-BLOCK = 1024
+#: Least and most rows of a window block, and the share of all places of an ordering that a query
+#: meets on either side, so that recall does not fall as the table grows.
+BLOCK, MOST_BLOCK, SHARE = 1024, 16384, 0.019
+#: Blocks whose queries one task compares with a block.
+MET = 9
 #: Distinct vectors from which the ranges of the projections are taken.
 SAMPLE = 4096
 _SEED = 11
@@ -52,6 +56,13 @@ def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
     return key
 
 
+def window(places: int) -> tuple[int, int]:
+    """Rows of a block, and how many blocks on either side a query meets, for so many places in an ordering."""
+    wide = max(BLOCK, math.ceil(places * SHARE))
+    reach = math.ceil(wide / MOST_BLOCK)
+    return math.ceil(wide / reach), reach
+
+
 class Curves:
     """Projections, shifts and ranges of all orderings."""
 
@@ -105,8 +116,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_i
     Equal vectors are searched once, however many rows have them, and count with their smallest keys,
     which is exact. Every distinct vector stands in ``CURVES`` orderings: shifted Hilbert curves over
     random projections, each numbered by a range partitioning. A query is compared with all
-    vectors of its own block of ``BLOCK`` rows and of both neighbouring blocks in every
-    ordering, so at least ``BLOCK`` places on either side; what the orderings find is merged and ranked by
+    vectors of its own block and of as many blocks on either side as hold ``SHARE`` of all places of
+    the ordering, and at least ``BLOCK``; blocks have at most ``MOST_BLOCK`` rows. What the orderings find is merged and ranked by
     the inner product in double precision, added up in the order of the components.
 
     Columns: query_id, rank (from 1), vec_id, score; ties go to the smaller key. Rows without a
@@ -118,7 +129,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_i
         F.coalesce(is_query, F.lit(False)).alias("asks")))
     reps = frozen(rows.groupBy("vh").agg(F.min("id").alias("rep"), F.first("vec").alias("vec"), F.max("asks").alias("asks")))
     norm = F.sqrt(F.aggregate(F.col("vec").cast("array<double>"), F.lit(0.0), lambda a, v: a + v * v))
-    longest = reps.agg(F.max(norm)).first()[0]
+    longest, *places = reps.agg(F.max(norm), F.count("*"), F.count_if("asks")).first()
+    block, reach = window(sum(places))
     sample = reps.orderBy(F.xxhash64("vh")).limit(SAMPLE).select(F.col("vec").cast("array<double>")).collect()
     if not sample:
         return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -138,9 +150,13 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_i
                         names=["curve", "place", "role", "vh"])
 
     laid = reps.select("vh", "vec", "asks").mapInArrow(lay, "curve int, place long, role int, vh long")
-    numbered = positions(laid, ["curve", "place", "vh", "role"]).withColumn("block", F.floor(F.col("position") / BLOCK))
-    meets = F.when(F.col("role") == 0, F.array("block")).otherwise(F.array(F.col("block") - 1, F.col("block"), F.col("block") + 1))
-    windows = numbered.select("role", "vh", F.explode(meets).alias("block")).join(reps.select("vh", "rep", "vec"), "vh")
+    numbered = positions(laid, ["curve", "place", "vh", "role"]).withColumn("block", F.floor(F.col("position") / block))
+    parts = math.ceil((2 * reach + 1) / MET)
+    meets = F.when(F.col("role") == 0, F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda p: F.struct(
+        F.col("block").alias("block"), p.alias("part")))).otherwise(
+        F.transform(F.sequence(F.lit(0), F.lit(2 * reach)), lambda at: F.struct(
+            (F.col("block") + at - reach).alias("block"), F.floor(at / MET).cast("int").alias("part"))))
+    windows = numbered.select("role", "vh", F.explode(meets).alias("m")).select("role", "vh", "m.*").join(reps.select("vh", "rep", "vec"), "vh")
 
     def compare(group: pa.Table) -> pa.Table:
         role, vh, rep = (group.column(c).to_numpy() for c in ("role", "vh", "rep"))
@@ -163,7 +179,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_i
         columns = [np.concatenate(c) for c in zip(*found)] if found else [np.empty(0, np.int64)] * 3 + [np.empty(0)]
         return pa.table(dict(zip(("query", "vh", "rep", "score"), map(pa.array, columns))))
 
-    pairs = windows.groupBy("block").applyInArrow(compare, "query long, vh long, rep long, score double")
+    pairs = windows.groupBy("block", "part").applyInArrow(compare, "query long, vh long, rep long, score double")
     merged = pairs.groupBy("query", "vh", "rep").agg(F.max("score").alias("score"))
     first = Window.partitionBy("query").orderBy(F.desc("score"), "rep")
     merged = merged.withColumn("n", F.row_number().over(first)).where(F.col("n") <= k + 1)

@@ -454,6 +454,20 @@ def test_neighbours_recall(spark):
     assert hits / len(found) >= 0.9
 
 
+@pytest.mark.parametrize("most, met", [(16384, 9), (16, 3)])
+def test_windows_grow_with_the_table(spark, monkeypatch, most, met):
+    """Recall on evenly spread vectors, many times as many as a block of the least size has rows."""
+    for name, value in (("BLOCK", 16), ("MOST_BLOCK", most), ("MET", met)):
+        monkeypatch.setattr(neighbours, name, value, raising=False)
+    x = np.random.default_rng(8).standard_normal((4000, 64)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    table = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<float>")
+    found = rows(neighbours.nearest(table, F.col("vec_id") % 40 == 0))
+    hits = sum(len(set(g.vec_id) & {i for i, _ in brute.nearest(np.arange(4000), x.astype(float), int(q), 20)}) for q, g in found.groupby("query_id"))
+    print("recall", hits / len(found))
+    assert len(found) == 2000 and hits / 2000 >= 0.9
+
+
 def test_hilbert_steps_are_neighbours():
     side = np.arange(16)
     cells = np.stack(np.meshgrid(side, side, side, indexing="ij"), axis=-1).reshape(-1, 3)
