@@ -52,11 +52,12 @@ def parse_expression(text: str) -> list[str] | None:
     """A licence expression in reverse Polish order, or None if it is not well formed.
 
     Shunting-yard: ``with`` binds closest, then ``and``, then ``or``. The longest well-formed
-    beginning of the line counts, so trailing comment marks do no harm.
+    beginning of the line counts where a later token does not fit, so trailing remarks and marks do no harm.
     """
     output: list[str] = []
     stack: list[str] = []
     operand = False
+    complete: list[str] | None = None
     tokens = []
     end = 0
     for m in _TOKEN.finditer(text):
@@ -67,28 +68,30 @@ def parse_expression(text: str) -> list[str] | None:
     for t in tokens:
         if t == "(":
             if operand:
-                return None
+                return complete
             stack.append(t)
         elif t == ")":
             if not operand:
-                return None
+                return complete
             while stack and stack[-1] != "(":
                 output.append(stack.pop())
             if not stack:
-                return None
+                return complete
             stack.pop()
         elif t in _RANK:
             if not operand:
-                return None
+                return complete
             while stack and stack[-1] != "(" and _RANK[stack[-1]] >= _RANK[t]:
                 output.append(stack.pop())
             stack.append(t)
             operand = False
         elif operand:
-            break
+            return complete
         else:
             output.append(t)
             operand = True
+        if operand and "(" not in stack:
+            complete = output + stack[::-1]
     if not operand or "(" in stack:
         return None
     return output + stack[::-1]

@@ -265,6 +265,12 @@ def test_license_expressions(text, postfix):
     assert licenses.parse_expression(text) == postfix
 
 
+@pytest.mark.parametrize("text, postfix", [
+    ("MIT (see LICENSE)", ["mit"]), ("MIT)", ["mit"]), ("MIT OR ISC)", ["mit", "isc", "or"]), ("(MIT) AND (ISC see", ["mit"]), ("(MIT see", None)])
+def test_beginning_of_license_expressions(text, postfix):
+    assert licenses.parse_expression(text) == postfix
+
+
 def test_overlapping_phrases():
     n_words, n_base, first, last, *_ = licenses.scan("CC BY cc-by CC by NC")
     assert (n_words, n_base, first, last) == (7, 3, 0, 4)
