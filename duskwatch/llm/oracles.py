@@ -120,3 +120,44 @@ WITH w AS (
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, fine AND NOT base_failed AS kept FROM m
 """
+
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def collocations(least: int = 30, longest: int = 4, best: int = 2000, covered: int = 80) -> str:
+    """Every phrase as text, cut everywhere; its parts and the phrases around it are looked up by text."""
+    return f"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang,
+    unnest(string_split_regex(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[.,;:!?\\x0A-\\x0D]')) AS piece
+  FROM documents
+), w AS (
+  SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS ws FROM p
+), g AS (
+  SELECT lang, size, array_to_string(ws[i:i + size - 1], ' ') AS phrase
+  FROM (SELECT lang, ws, size, unnest(range(1, len(ws) - size + 2)) AS i FROM w, (SELECT unnest(range(1, {longest + 1})) AS size))
+), c AS (
+  SELECT lang, size, phrase, count(*) AS f FROM g GROUP BY ALL
+), totals AS (
+  SELECT lang, sum(f) AS n FROM c WHERE size = 1 GROUP BY lang
+), cand AS (
+  SELECT lang, size, phrase, string_split(phrase, ' ') AS ws, f AS a FROM c WHERE size > 1 AND f >= {least}
+), inside AS (
+  SELECT lang, array_to_string(ws[i:i + short - 1], ' ') AS phrase, max(a) AS longer
+  FROM (SELECT *, unnest(range(1, size - short + 2)) AS i FROM (SELECT *, unnest(range(2, size)) AS short FROM cand))
+  GROUP BY ALL
+), cuts AS (
+  SELECT lang, phrase, a, k, array_to_string(ws[1:k], ' ') AS head, array_to_string(ws[k + 1:], ' ') AS tail
+  FROM (SELECT *, unnest(range(1, size)) AS k FROM cand)
+), scored AS (
+  SELECT u.lang, u.phrase, u.a, k, x.f AS l, y.f AS r, 2000000::HUGEINT * a // (x.f + y.f) AS score
+  FROM cuts u JOIN c x ON x.lang = u.lang AND x.phrase = u.head JOIN c y ON y.lang = u.lang AND y.phrase = u.tail
+  QUALIFY row_number() OVER (PARTITION BY u.lang, u.phrase ORDER BY score, k) = 1
+), kept AS (
+  SELECT s.* FROM scored s LEFT JOIN inside i USING (lang, phrase) WHERE longer IS NULL OR longer::HUGEINT * 100 < {covered} * a::HUGEINT
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase)::INT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l,
+  r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM kept JOIN totals USING (lang) QUALIFY rank <= {best}
+"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duskwatch.llm import chat, language, licenses, neighbours, oracles, packing, quality, sentencepieces, sharding, simhash, toxicity
+from duskwatch.llm import chat, language, licenses, neighbours, oracles, packing, phrases, quality, sentencepieces, sharding, simhash, toxicity
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -109,3 +109,8 @@ def op9_sentencepiece(spark, sf):
 def op10_quality(spark, sf):
     return quality.quality_rules(table(spark, sf, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@query("op12_phrases", oracles.collocations())
+def op12_phrases(spark, sf):
+    return phrases.collocations(table(spark, sf, "documents"))
