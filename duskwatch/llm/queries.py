@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duskwatch.llm import chat, language, licenses, neighbours, oracles, packing, phrases, quality, sentencepieces, sharding, simhash, toxicity
+from duskwatch.llm import chat, language, licenses, negatives, neighbours, oracles, packing, phrases, quality, sentencepieces, sharding, simhash, toxicity
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -114,3 +114,9 @@ def op10_quality(spark, sf):
 @query("op12_phrases", oracles.collocations())
 def op12_phrases(spark, sf):
     return phrases.collocations(table(spark, sf, "documents"))
+
+
+@query("op13_negatives", oracles.NEGATIVES)
+def op13_negatives(spark, sf):
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(table(spark, sf, "embeddings"), F.col("vec_id") % 100 == 0, moved)
