@@ -20,8 +20,8 @@ ENDS = b".,;:!?\n\x0b\x0c\r"
 #: Bits of the filter of frequent phrases. Its size is fixed, so it can go to every task; a phrase
 #: that it lets through by chance is counted and then dropped.
 FILTER_BITS = 1 << 26
-#: Bytes of text that a task counts before it hands its counts on.
-BLOCK_BYTES = 16 << 20
+#: Bytes of text of one language, and of all, that a task counts before it hands its counts on.
+BLOCK_BYTES, HELD_BYTES = 4 << 20, 8 << 20
 #: Parts into which the candidates of a language are dealt to find the best of each first.
 SALTS = 64
 _SEED = 42
@@ -97,8 +97,7 @@ def _counted_phrases(lang: str, texts: list[bytes], filters: list[Broadcast], lo
     """
     seed = Filter.seed(lang)
     ids = _Ids(filters[0].value, seed)
-    stop = [0]
-    numbers = np.array([n for t in texts for part in (list(map(ids.__getitem__, _tokens(t))), stop) for n in part], np.int64)
+    numbers = np.concatenate([np.array([*map(ids.__getitem__, _tokens(t)), 0], np.int64) for t in texts])
     words = pa.array(ids.words, pa.binary())
     # rank[i]: number of the phrase of `size` words that begins at i, -1 where there is none to count
     rank, phrases = np.where(numbers > 0, numbers, -1), words
@@ -129,7 +128,7 @@ def _count(docs: DataFrame, text: str, lang: str, count) -> DataFrame:
             for name, t in zip(batch.column(0).to_pylist(), batch.column(1)):
                 held[name].append(t.as_py())
                 size[name] += t.as_buffer().size + 1
-                if size[name] >= BLOCK_BYTES or sum(size.values()) >= 4 * BLOCK_BYTES:
+                if size[name] >= BLOCK_BYTES or sum(size.values()) >= HELD_BYTES:
                     most = max(size, key=size.get)
                     size.pop(most)
                     yield from count(most, held.pop(most))
