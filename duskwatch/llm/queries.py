@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duskwatch.llm import chat, language, licenses, negatives, neighbours, oracles, packing, phrases, quality, sentencepieces, sharding, simhash, toxicity
+from duskwatch.llm import chat, language, licenses, negatives, neighbours, oracles, packing, personal, phrases, quality, sentencepieces, sharding, simhash, toxicity
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -111,6 +111,19 @@ def op10_quality(spark, sf):
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def listed(spans: str):
+    """kind:start:end of each span, comma-joined."""
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+@query("op11_personal")
+def op11_personal(spark, sf):
+    docs = table(spark, sf, "documents")
+    found = personal.find_personal(docs, personal.train(personal.labelled_table(docs)))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *(count(k) for k in personal.BASE), F.sha2(listed("base"), 256).alias("base_sha256"), listed("spans").alias("spans"))
+
+
 @query("op12_phrases", oracles.collocations())
 def op12_phrases(spark, sf):
     return phrases.collocations(table(spark, sf, "documents"))
