@@ -39,7 +39,7 @@ class Filter:
     """Which phrases of a language may be frequent; it never denies one that is."""
 
     def __init__(self, bits: np.ndarray):
-        self.bits = bits
+        self.bits, self.mask = bits, len(bits) * 64 - 1
 
     @staticmethod
     def of(frequent: DataFrame) -> Filter:
@@ -56,7 +56,7 @@ class Filter:
         return xxhash.xxh64_intdigest(lang.encode("utf-8", "surrogatepass"), _SEED)
 
     def has(self, phrase: bytes, seed: int) -> bool:
-        place = xxhash.xxh64_intdigest(phrase, seed) & (FILTER_BITS - 1)
+        place = xxhash.xxh64_intdigest(phrase, seed) & self.mask
         return bool(int(self.bits[place >> 6]) >> (place & 63) & 1)
 
 
@@ -120,6 +120,7 @@ def _counted_phrases(lang: str, texts: list[bytes], filters: list[Broadcast], lo
 
 def _count(docs: DataFrame, text: str, lang: str, count) -> DataFrame:
     """(lang, phrase, f): ``count(lang, texts)`` over blocks of the texts of one language, added up."""
+    block, most_held = BLOCK_BYTES, HELD_BYTES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[bytes]] = defaultdict(list)
@@ -128,7 +129,7 @@ def _count(docs: DataFrame, text: str, lang: str, count) -> DataFrame:
             for name, t in zip(batch.column(0).to_pylist(), batch.column(1)):
                 held[name].append(t.as_py())
                 size[name] += t.as_buffer().size + 1
-                if size[name] >= BLOCK_BYTES or sum(size.values()) >= HELD_BYTES:
+                if size[name] >= block or sum(size.values()) >= most_held:
                     most = max(size, key=size.get)
                     size.pop(most)
                     yield from count(most, held.pop(most))
