@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,11 +20,13 @@ from duskwatch.llm.common import SLICE, arrow_schema, written
 CAPACITY = 2048
 #: The id after each document.
 END_ID = 0
-#: Chunks whose ids a Python worker remembers.
-REMEMBERED = 600_000
+#: Chunks whose ids a Python worker remembers in each of two generations.
+REMEMBERED = 500_000
 
 #: A space that does not by itself begin a new token, or white space at the start.
 _HARD = re.compile(r" (?=\s|$)|\A\s")
+#: Letters with signs behind them; the splitter cuts between.
+_SIGNED = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]+)")
 
 
 class WordCache:
@@ -31,7 +34,9 @@ class WordCache:
 
     The splitter of these vocabularies always begins a token at a space that stands before
     something visible, so the chunks between such spaces can be encoded by themselves, new ones
-    many at a time, and remembered. Texts with other uses of white space are encoded whole.
+    many at a time, and remembered. Where the vocabulary splits letters from signs, a word with signs behind
+    it is put together from both. Chunks in use move on to the next generation when one is full, and only
+    those not met since are forgotten. Texts with other uses of white space are encoded whole.
     """
 
     def __init__(self, vocabulary: str):
@@ -44,6 +49,43 @@ class WordCache:
         self.starts = np.zeros(max(vocab.values()) + 1, bool)
         self.starts[[i for w, i in vocab.items() if w.startswith("Ġ")]] = True
         self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.signs: dict[str, bytes] = {}
+        whole = self._batch([" word,", " word", ","])
+        self.splits = whole[0].ids == whole[1].ids + whole[2].ids
+
+    def _sign_ids(self, signs: str) -> bytes:
+        if signs not in self.signs:
+            if len(self.signs) >= 65536:
+                self.signs.clear()
+            self.signs[signs] = np.array(self._batch([signs])[0].ids, dtype="<u4").tobytes()
+        return self.signs[signs]
+
+    def _meet(self, chunks: set[str]) -> None:
+        """Ids of all chunks are known afterwards."""
+        if len(self.known) > REMEMBERED:
+            self.known, self.old = {}, self.known
+        new, signed = set(), []
+        for w in chunks.difference(self.known):
+            ids = self.old.get(w)
+            if ids is not None:
+                self.known[w] = ids
+                continue
+            parts = _SIGNED.fullmatch(w) if self.splits else None
+            if parts:
+                signed.append((w, *parts.groups()))
+                if parts[1] not in self.known:
+                    ids = self.old.get(parts[1])
+                    if ids is None:
+                        new.add(parts[1])
+                    else:
+                        self.known[parts[1]] = ids
+            else:
+                new.add(w)
+        if new:
+            self._learn(list(new))
+        for w, letters, signs in signed:
+            self.known[w] = self.known[letters] + self._sign_ids(signs)
 
     def _learn(self, chunks: list[str]) -> None:
         for at in range(0, len(chunks), 4096):
@@ -65,11 +107,7 @@ class WordCache:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         parts = [[t] if _HARD.search(t) else t.split(" ") for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new = {w for ws in parts for w in ws[1:]}.difference(self.known)
-        if new:
-            self._learn(list(new))
+        self._meet({w for ws in parts for w in ws[1:]})
         get = self.known.__getitem__
         return [np.array(first.ids, dtype="<u4").tobytes() + b"".join(map(get, ws[1:]))
                 for first, ws in zip(self._batch([ws[0] for ws in parts]), parts)]
@@ -79,17 +117,17 @@ _caches: dict[str, WordCache] = {}
 
 
 def token_pieces(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY,
-                 end_id: int = END_ID) -> DataFrame:
+                 end_id: int = END_ID, digests: bool = False) -> DataFrame:
     """Token ids of every whole text and the end id, cut into pieces of at most ``capacity`` ids.
 
     Only longer documents are cut; all pieces but the first then have exactly ``capacity`` ids.
     Columns: key, piece (from 0), start (ids of the document before it), length, ids
-    (little-endian unsigned 32-bit), part and nth (the how many-th piece of this length in its
-    task). Written to the shared folder, as the numbering must not change. A null text is empty.
+    (little-endian unsigned 32-bit; with ``digests`` their CRC-32 as ids_crc32 instead), part and nth (the
+    how many-th piece of this length in its task). Written to the shared folder, as the numbering must not change. A null text is empty.
     """
     kind = docs.schema[key].dataType
     schema = T.StructType([T.StructField(key, kind)] + T._parse_datatype_string(
-        "piece int, start long, length long, ids binary, part int, nth long").fields)
+        f"piece int, start long, length long, {'ids_crc32 long' if digests else 'ids binary'}, part int, nth long").fields)
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,7 +145,8 @@ def token_pieces(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: st
                     n = len(raw) // 4
                     edges = [0, *range(n % capacity or capacity, n + 1, capacity)]
                     for i, (a, b) in enumerate(zip(edges, edges[1:])):
-                        for c, v in zip(columns, (k, i, a, b - a, raw[4 * a:4 * b], part, int(seen[b - a]))):
+                        held = raw[4 * a:4 * b]
+                        for c, v in zip(columns, (k, i, a, b - a, zlib.crc32(held) if digests else held, part, int(seen[b - a]))):
                             c.append(v)
                         seen[b - a] += 1
                 if columns[0]:
@@ -228,7 +267,7 @@ def pack(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "tex
     return place(token_pieces(docs, vocabulary, key, text, limits.tokens), limits)
 
 
-def packed_digests(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The placement of every piece with a checksum of its ids instead of the ids."""
-    pieces = token_pieces(docs, vocabulary, key, text)
-    return place(pieces.withColumn("ids_crc32", F.crc32("ids").cast("long")).drop("ids"))
+def packed_digests(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text", limits: Limits | None = None) -> DataFrame:
+    """The placement of every piece as by ``pack``, with a checksum of its ids instead of the ids, which are never written."""
+    limits = limits or Limits()
+    return place(token_pieces(docs, vocabulary, key, text, limits.tokens, digests=True), limits)

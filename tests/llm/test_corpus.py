@@ -332,6 +332,32 @@ def test_word_cache_equals_whole_texts():
     assert cache.encode(texts) == expected and cache.encode(texts) == expected
 
 
+def test_word_cache_forgets_and_equals_whole_texts(monkeypatch):
+    """Two small generations and chunks of letters and signs in all mixtures give the same ids."""
+    monkeypatch.setattr(packing, "REMEMBERED", 50)
+    rng = np.random.default_rng(8)
+    parts = [*"abcXYZßéñ.,;:!?'\"#$%&()*+-/<=>@[]^_`{|}~123\n\t", "word", "Größe", "'s", "'ll", "...", "&&&", "½", "日本"]
+    texts = [" ".join("".join(rng.choice(parts, rng.integers(1, 5))) for _ in range(30)) for _ in range(200)]
+    texts += list(pd.read_parquet(f"{SF}/documents.parquet").text)
+    cache = packing.WordCache(VOCABULARY)
+    assert cache.splits
+    expected = [np.array(e.ids, "<u4").tobytes() for e in cache.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    for _ in range(2):
+        assert [ids for at in range(0, len(texts), 7) for ids in cache.encode(texts[at:at + 7])] == expected
+
+
+def test_packing_binding_limits(docs, texts):
+    """Limits on pieces and cost reach the registered form and hold."""
+    limits = packing.Limits(2048, 3, 3_000_000)
+    with pytest.raises(ValueError):
+        packing.packed_digests(docs, VOCABULARY, limits=limits)
+    limits = packing.Limits(1024, 3, 1_100_000)
+    placed = rows(packing.packed_digests(docs, VOCABULARY, limits=limits))
+    check_packing(placed, texts, 1024)
+    one = placed.groupby("sequence_id")
+    assert one.size().max() == 3 and one.length.apply(lambda n: (n * n).sum()).max() <= 1_100_000
+
+
 def digest(turns):
     return hashlib.sha256("".join(f"{r or ''}\n{t or ''}\n" for r, t in turns).encode()).hexdigest()
 
