@@ -20,9 +20,9 @@ SAMPLE_CHARS = 20_000
 #: Words in a window.
 WINDOW = 8
 ORDINARY_BYTES, TOXIC_BYTES = 8192, 8192
-#: A word belongs to toxic text if it stands after so many times the share of different words
-#: there as in ordinary text. Copies of one text add nothing, as they repeat the same pairs.
-ODDS = 12
+#: A phrase of up to ``PHRASE`` words belongs to toxic text if it stands after so many times the share of different words there as
+#: in ordinary text. Copies of one text add nothing, as they repeat the same words before it.
+PHRASE, ODDS = 6, 12
 _WORD = re.compile(r"\w+")
 _SEED = 7
 
@@ -32,13 +32,50 @@ def windows(text: str) -> list[bytes]:
     return [f" {' '.join(words[i:i + WINDOW])} ".encode("utf-8", "surrogatepass") for i in range(0, len(words), WINDOW)]
 
 
-def _contexts(texts: list[str]) -> Counter:
-    """By word, after how many different words it stands."""
-    pairs = set()
-    for t in texts:
-        words = _WORD.findall(t.lower())
-        pairs.update(zip([""] + words, words))
-    return Counter(w for _, w in pairs)
+def _contexts(texts: list[list[str]], size: int, wanted: set[str] | None) -> dict[str, int]:
+    """After how many different words each phrase of ``size`` words stands; only phrases whose beginning, one word
+    shorter, is ``wanted``."""
+    before: dict[str, set[str]] = {}
+    for words in texts:
+        for i in range(len(words) - size + 1):
+            if wanted is None or " ".join(words[i:i + size - 1]) in wanted:
+                before.setdefault(" ".join(words[i:i + size]), set()).add(words[i - 1] if i else "")
+    return {p: len(b) for p, b in before.items()}
+
+
+def _passages(toxic: list[str], ordinary: list[str]) -> list[bytes]:
+    """The windows of toxic texts, narrowed to what is telling: runs of words inside phrases that tell toxic from ordinary text.
+
+    What surrounds them in a window is ordinary prose; a dictionary with it would save as much on any text.
+    """
+    bad, plain = ([_WORD.findall(t.lower()) for t in texts] for texts in (toxic, ordinary))
+    often = max(3, len(bad) // 130)
+    share = None
+    telling: set[str] = set()
+    frequent = None
+    for size in range(1, PHRASE + 1):
+        in_bad = {p: n for p, n in _contexts(bad, size, frequent).items() if n >= often}
+        in_plain = _contexts(plain, size, frequent)
+        if share is None:
+            share = (sum(in_plain.values()) + 1) / (sum(_contexts(bad, 1, None).values()) + 1)
+        telling |= {p for p, n in in_bad.items() if n * share >= ODDS * (in_plain.get(p, 0) + 1)}
+        frequent = set(in_bad)
+    found = []
+    for words in bad:
+        inside = np.zeros(len(words) + 1, bool)
+        for i in range(len(words)):
+            for size in range(1, min(PHRASE, len(words) - i) + 1):
+                if " ".join(words[i:i + size]) in telling:
+                    inside[i:i + size] = True
+        edges = np.flatnonzero(np.diff(inside.astype(int), prepend=0))
+        found += [f" {' '.join(words[a:b])} ".encode("utf-8", "surrogatepass") for a, b in zip(edges[::2], edges[1::2])]
+    most = Counter()
+    kept = []
+    for p in np.random.default_rng(_SEED).permutation(np.array(found, object)):
+        most[p] += 1
+        if most[p] <= 200:
+            kept.append(p)
+    return kept or [w for t in toxic for w in windows(t)]
 
 
 def _dictionary(samples: list[bytes], size: int, **how: int) -> bytes:
@@ -89,15 +126,8 @@ def fit(toxic: list[str], ordinary: list[str]) -> Model:
     """Train both dictionaries on two thirds of the texts and calibrate on the rest."""
     cut = lambda texts: (texts[: len(texts) * 2 // 3 or 1], texts[len(texts) * 2 // 3:] or texts)
     (bad, bad_rest), (plain, plain_rest) = cut(toxic), cut(ordinary)
-    in_bad, in_plain = _contexts(bad), _contexts(plain)
-    share = (sum(in_plain.values()) + 1) / (sum(in_bad.values()) + 1)
-    often = max(3, len(bad) // 130)
-    telling = sorted(w for w, n in in_bad.items() if n >= often and n * share >= ODDS * (in_plain[w] + 1))
-    rng = np.random.default_rng(_SEED)
-    samples = [f" {w} ".encode("utf-8", "surrogatepass") for w in telling for _ in range(min(200, in_bad[w]))]
-    samples = [samples[i] for i in rng.permutation(len(samples))] or [w for t in bad for w in windows(t)]
     model = Model(_dictionary([w for t in plain for w in windows(t)], ORDINARY_BYTES),
-                  _dictionary(samples, TOXIC_BYTES, d=6, k=40), [0.0] * 6)
+                  _dictionary(_passages(bad, plain), TOXIC_BYTES, d=6, k=40), [0.0] * 6)
     features, _ = model.scorer()
     x = np.array([features(t) for t in bad_rest + plain_rest])
     y = np.array([1.0] * len(bad_rest) + [0.0] * len(plain_rest))
