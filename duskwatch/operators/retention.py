@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,51 +48,138 @@ def tier_stats(logs: DataFrame) -> DataFrame:
                     F.count("*").alias("total"))
 
 
-def _folders(spark: SparkSession, path: str) -> dict[str, set[str]]:
-    """The days that each tier folder of a log table has."""
-    jvm = spark._jvm
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    days: dict[str, set[str]] = {}
-    for tier in TIERS:
-        folder = jvm.org.apache.hadoop.fs.Path(f"{path}/tier={tier}")
-        found = fs.listStatus(folder) if fs.exists(folder) else []
-        days[tier] = {f.getPath().getName().partition("=")[2] for f in found if "=" in f.getPath().getName()}
-    return days
+class TieredTable:
+    """A log table in folders by tier, day and write, of which a version file names those that count.
+
+    Every write goes to folders of its own, which no reader sees until one small file with the next version
+    number is renamed into place. Rows that were there before the first version stay where they are until they age. A run that ends anywhere before that leaves the table as it was, one that ends
+    later has changed it as a whole; either way a run after it finds each row once. Folders that neither
+    of the last two versions names are removed by ``sweep``, so readers of the version before still find theirs.
+    Only the job that ages and the jobs that append write; of two that begin from the same version one fails and can run again.
+
+    The driver handles names of folders, one per tier, day and write not yet aged, and no rows.
+    """
+
+    VERSIONS, HELD = "_versions", "held"
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+        self.fs = self._path("").getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _path(self, name: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
+
+    def _names(self, folder: str) -> list[str]:
+        at = self._path(folder)
+        return sorted(f.getPath().getName() for f in self.fs.listStatus(at)) if self.fs.exists(at) else []
+
+    def version(self) -> int:
+        """The newest version, 0 where there is none yet."""
+        return max((int(n) for n in self._names(self.VERSIONS) if n.isdigit()), default=0)
+
+    def folders(self, version: int | None = None) -> list[str]:
+        """The folders of a version, by default the newest. A table without versions consists of the folders it has."""
+        version = self.version() if version is None else version
+        if version:
+            lines = self.spark.read.text(f"{self.path}/{self.VERSIONS}/{version:010}").collect()
+            return sorted(r["value"] for r in lines)
+        return self._plain()
+
+    def _plain(self) -> list[str]:
+        return [f"{t}/{d}" for t in self._names("") if t.startswith("tier=") for d in self._names(t) if d.startswith("day=")]
+
+    @staticmethod
+    def tier_and_day(folder: str) -> tuple[str, str]:
+        tier, day = folder.removeprefix(f"{TieredTable.HELD}/").split("/")[:2]
+        return tier.partition("=")[2], day.partition("=")[2]
+
+    def read(self, folders: list[str] | None = None) -> DataFrame:
+        """The rows of the table, or of some of its folders, with ``tier`` and ``day``."""
+        folders = self.folders() if folders is None else folders
+        plain, held = [f for f in folders if f.startswith("tier=")], [f for f in folders if f.startswith(self.HELD)]
+        parts = [self.spark.read.option("basePath", root).parquet(*(f"{self.path}/{f}" for f in some))
+                 for root, some in ((self.path, plain), (f"{self.path}/{self.HELD}", held)) if some]
+        if not parts:
+            raise ValueError(f"no rows in {self.path}")
+        rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1], allowMissingColumns=True)
+        return rows.drop("write")
+
+    def write(self, rows: DataFrame) -> list[str]:
+        """Rows with ``tier`` and ``day`` in new folders that no version names yet."""
+        name = uuid.uuid4().hex
+        rows.withColumn("write", F.lit(name)).write.mode("append").partitionBy("tier", "day", "write").parquet(f"{self.path}/{self.HELD}")
+        days = [f"{self.HELD}/{t}/{d}" for t in self._names(self.HELD) if t.startswith("tier=") for d in self._names(f"{self.HELD}/{t}")]
+        return [f"{d}/write={name}" for d in days if self.fs.exists(self._path(f"{d}/write={name}"))]
+
+    def commit(self, base: int, folders: list[str]) -> None:
+        """Make ``folders`` the version after ``base``."""
+        draft = f"{self.VERSIONS}/.draft-{uuid.uuid4().hex}"
+        out = self.fs.create(self._path(draft), False)
+        try:
+            out.write(bytearray("".join(f"{f}\n" for f in sorted(folders)), "utf-8"))
+        finally:
+            out.close()
+        final = self._path(f"{self.VERSIONS}/{base + 1:010}")
+        if self.fs.exists(final) or not self.fs.rename(self._path(draft), final):
+            self.fs.delete(self._path(draft), False)
+            raise RuntimeError(f"{self.path} has changed since version {base}; run again")
+
+    def sweep(self) -> list[str]:
+        """Remove the folders that neither of the last two versions names, and older version files."""
+        version = self.version()
+        if not version:
+            return []
+        # Before the first version the table was what it had in plain folders.
+        named = {f for v in (version, version - 1) for f in self.folders(v)} if version > 1 else {*self.folders(1), *self._plain()}
+        days = [f"{self.HELD}/{t}/{d}" for t in self._names(self.HELD) if t.startswith("tier=") for d in self._names(f"{self.HELD}/{t}")]
+        gone = [f for f in (*self._plain(), *(f"{d}/{w}" for d in days for w in self._names(d))) if f not in named]
+        for f in gone:
+            self.fs.delete(self._path(f), True)
+        for v in self._names(self.VERSIONS):
+            if v.isdigit() and int(v) < version - 1:
+                self.fs.delete(self._path(f"{self.VERSIONS}/{v}"), False)
+        return gone
+
+
+def append_rows(spark: SparkSession, path: str, rows: DataFrame) -> None:
+    """Add log rows to a tiered table; rows without a tier are hot. They are there as a whole or not at all."""
+    table = TieredTable(spark, path)
+    base = table.version()
+    have = table.folders(base)
+    rows = rows if "tier" in rows.columns else rows.withColumn("tier", F.lit("hot"))
+    table.commit(base, have + table.write(rows.withColumn("day", F.to_date("timestamp"))))
 
 
 def age_table(
-    spark: SparkSession, path: str, staged: str, *, now: str, hot_days: float = 7, warm_days: float = 30,
-    cold_days: float = 365,
+    spark: SparkSession, path: str, *, now: str, hot_days: float = 7, warm_days: float = 30, cold_days: float = 365,
 ) -> dict[str, list[str]]:
-    """Run one cycle on a log table laid out by ``tier`` and ``day``.
+    """Run one cycle on a tiered log table (``TieredTable``).
 
-    Only days with rows on the wrong side of a border are read; days that are past the
-    last border as a whole are removed without being read. The new rows of the days read go to
-    ``staged`` first, which cuts the lineage from the files that are then replaced: every
-    folder of such a day is written whole, so a cycle that is run again ends the same, and folders
-    that have no rows left are removed last. Returns the days read and removed.
+    Only days with rows on the wrong side of a border are read; days that are past the last border as a
+    whole go without being read. The rows of the days read are written to new folders, then one
+    version takes these in place of the old ones. A cycle that ends before, at or after any step can be run again and ends
+    with the same rows. Returns the days read and removed.
     """
-    have = _folders(spark, path)
+    table = TieredTable(spark, path)
+    base = table.version()
+    folders = table.folders(base)
+    have: dict[str, dict[str, list[str]]] = {tier: {} for tier in TIERS}
+    for f in folders:
+        tier, day = table.tier_and_day(f)
+        have[tier].setdefault(day, []).append(f)
     border = {tier: dt.datetime.fromisoformat(str(now)) - dt.timedelta(days=n)
               for tier, n in zip(TIERS, (hot_days, warm_days, cold_days))}
     late = {tier: {d for d in have[tier] if dt.datetime.fromisoformat(d) < border[tier]} for tier in TIERS}
     whole = {d for d in late["cold"] if dt.datetime.fromisoformat(d) + dt.timedelta(days=1) <= border["cold"]}
-    whole -= have["hot"] | have["warm"]
+    whole -= have["hot"].keys() | have["warm"].keys()
     read = sorted(set().union(*late.values()) - whole)
-    gone = [(t, d) for t in TIERS for d in whole & have[t]]
-    if read:
-        rows = spark.read.parquet(path)
-        schema = rows.schema
-        days = rows.filter(F.col("day").isin([dt.date.fromisoformat(d) for d in read]))
-        new = retention_tiers(days, now=now, hot_days=hot_days, warm_days=warm_days, cold_days=cold_days)
-        new.filter(~F.col("purged")).select(*schema.fieldNames()).write.mode("overwrite").parquet(staged)
-        kept = spark.read.schema(schema).parquet(staged)
-        kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("tier", "day").parquet(path)
-        left = {(r.tier, str(r.day)) for r in kept.select("tier", "day").distinct().collect()}  # three for each day read
-        gone += [(t, d) for t in TIERS for d in read if d in have[t] and (t, d) not in left]
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for tier, day in gone:
-        folder = jvm.org.apache.hadoop.fs.Path(f"{path}/tier={tier}/day={day}")
-        folder.getFileSystem(conf).delete(folder, True)
+    old = [f for tier in TIERS for d in (*read, *whole) for f in have[tier].get(d, [])]
+    if old:
+        new: list[str] = []
+        if read:
+            rows = table.read([f for f in old if table.tier_and_day(f)[1] in set(read)])
+            aged = retention_tiers(rows, now=now, hot_days=hot_days, warm_days=warm_days, cold_days=cold_days)
+            new = table.write(aged.filter(~F.col("purged")).select(*rows.columns))
+        table.commit(base, [f for f in folders if f not in set(old)] + new)
+    table.sweep()
     return {"read": read, "removed": sorted(whole)}

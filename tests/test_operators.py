@@ -283,22 +283,94 @@ def test_dedup_window_is_anchored(spark):
     assert alerts.alert_members(hits).count() == 6
 
 
-def test_age_table_moves_and_purges(spark, tmp_path):
-    rows = log_frame(spark, [(d, d * 86400, "a", {}) for d in range(10)]).withColumn("tier", F.lit("hot"))
-    path = str(tmp_path / "logs")
-    ingest.append_logs(rows, path)
-    ages = {"hot_days": 3, "warm_days": 5, "cold_days": 8}
+AGES = {"hot_days": 3, "warm_days": 5, "cold_days": 8}
+AGED = {2: "cold", 3: "cold", 4: "cold", 5: "warm", 6: "warm", 7: "hot", 8: "hot", 9: "hot"}
+
 
-    def cycle(now):
-        report = retention.age_table(spark, path, str(tmp_path / "staged"), now=now, **ages)
-        return report, {r.id: r.tier for r in spark.read.parquet(path).collect()}
+def tiers(spark, path):
+    found = retention.TieredTable(spark, path).read().collect()
+    assert len(found) == len({r.id for r in found})
+    return {r.id: r.tier for r in found}
 
-    _, got = cycle("2024-01-11")
-    assert got == {2: "cold", 3: "cold", 4: "cold", 5: "warm", 6: "warm", 7: "hot", 8: "hot", 9: "hot"}
-    report, got = cycle("2024-01-12")
+
+@pytest.mark.parametrize("versioned", [True, False])
+def test_age_table_moves_and_purges(spark, tmp_path, versioned):
+    rows = log_frame(spark, [(d, d * 86400, "a", {}) for d in range(10)]).withColumn("tier", F.lit("hot"))
+    path = str(tmp_path / "logs")
+    if versioned:
+        retention.append_rows(spark, path, rows.filter("id < 5"))
+        retention.append_rows(spark, path, rows.filter("id >= 5"))
+    else:
+        ingest.append_logs(rows, path)
+    retention.age_table(spark, path, now="2024-01-11", **AGES)
+    assert tiers(spark, path) == AGED
+    report = retention.age_table(spark, path, now="2024-01-12", **AGES)
+    got = tiers(spark, path)
     assert got == {3: "cold", 4: "cold", 5: "cold", 6: "warm", 7: "warm", 8: "hot", 9: "hot"}
     assert report == {"read": ["2024-01-06", "2024-01-08"], "removed": ["2024-01-03"]}
-    assert cycle("2024-01-12") == ({"read": [], "removed": []}, got)
+    assert retention.age_table(spark, path, now="2024-01-12", **AGES) == {"read": [], "removed": []} and tiers(spark, path) == got
+    retention.append_rows(spark, path, log_frame(spark, [(20, 10 * 86400, "a", {}), (21, 3 * 86400, "a", {})]))
+    assert tiers(spark, path) == got | {20: "hot", 21: "hot"}
+    retention.age_table(spark, path, now="2024-01-12", **AGES)
+    assert tiers(spark, path) == got | {20: "hot", 21: "cold"}
+    held = {str(p.parent.relative_to(path)) for p in (tmp_path / "logs").rglob("part-*.parquet")}
+    table = retention.TieredTable(spark, path)
+    assert set(table.folders()) <= held <= set(table.folders()) | set(table.folders(table.version() - 1))
+
+
+class Killed(Exception):
+    pass
+
+
+@pytest.mark.parametrize("versioned", [True, False])
+@pytest.mark.parametrize("step, late", [("write", False), ("write", True), ("commit", False), ("commit", True), ("sweep", False), ("delete", True)])
+def test_age_table_may_end_anywhere(spark, tmp_path, monkeypatch, versioned, step, late):
+    """A cycle that is ended before or after any step, or between its deletes, and run again gives each row once."""
+    rows = log_frame(spark, [(d, d * 86400 + h * 3600, "a", {}) for d in range(10) for h in [0]]).withColumn("tier", F.lit("hot"))
+    path = str(tmp_path / "logs")
+    retention.append_rows(spark, path, rows) if versioned else ingest.append_logs(rows, path)
+    before = tiers(spark, path)
+    if step == "delete":
+        names = retention.TieredTable._names
+        seen = []
+
+        def slow(self, folder):  # ends while the folders of the second tier are being listed for removal
+            seen.append(folder)
+            if seen.count("held/tier=warm") > 1:
+                raise Killed
+            return names(self, folder)
+        patched, real = "_names", slow
+    else:
+        whole = getattr(retention.TieredTable, step)
+
+        def real(self, *args):
+            if late:
+                whole(self, *args)
+            raise Killed
+        patched = step
+    with monkeypatch.context() as m:
+        m.setattr(retention.TieredTable, patched, real)
+        for _ in range(2):
+            try:
+                retention.age_table(spark, path, now="2024-01-11", **AGES)
+            except Killed:
+                pass
+    assert tiers(spark, path) in (before, AGED)
+    retention.age_table(spark, path, now="2024-01-11", **AGES)
+    assert tiers(spark, path) == AGED
+    assert retention.age_table(spark, path, now="2024-01-11", **AGES) == {"read": [], "removed": []}
+
+
+def test_two_writers_do_not_overwrite_each_other(spark, tmp_path):
+    path = str(tmp_path / "logs")
+    rows = log_frame(spark, [(d, d * 86400, "a", {}) for d in range(3)])
+    retention.append_rows(spark, path, rows)
+    table = retention.TieredTable(spark, path)
+    base, have = table.version(), table.folders()
+    retention.append_rows(spark, path, log_frame(spark, [(7, 0, "b", {})]))
+    with pytest.raises(RuntimeError):
+        table.commit(base, have)
+    assert set(tiers(spark, path)) == {0, 1, 2, 7}
 
 
 def test_anomaly_model_finds_the_odd_rows(spark):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from duskwatch.operators import evaluate as V
@@ -12,6 +14,7 @@ from workload import tables as T
 from workload.common import query
 from workload.dashboards import END, START
 from workload.lookups import P95
+from workload.staging import staging
 from workload.tables_sql import from_rank, rank, sql
 
 AGES = {"hot_days": 7, "warm_days": 20, "cold_days": 28}
@@ -44,6 +47,19 @@ def tier_stats(spark, sf):
     return R.tier_stats(aged(spark, sf).filter("not purged"))
 
 
+@query("table_ageing", sql(["logs"], f"""SELECT id, {TIER} AS tier, CAST("timestamp" AS DATE) AS day FROM aged WHERE NOT purged""", extra=AGED))
+def table_ageing(spark, sf):
+    """The log table itself, written in two appends and aged twice, ten days apart."""
+    path = staging(spark, "tiered")
+    logs = T.logs(spark, sf).drop("tier")
+    R.append_rows(spark, path, logs.filter("id % 2 = 0"))
+    R.append_rows(spark, path, logs.filter("id % 2 <> 0"))
+    earlier = dt.datetime.fromisoformat(T.NOW) - dt.timedelta(days=10)
+    for now in (str(earlier), T.NOW):
+        R.age_table(spark, path, now=now, **AGES)
+    return R.TieredTable(spark, path).read().select("id", "tier", "day")
+
+
 QUALITY = """
   SELECT *, CASE WHEN precision + recall > 0 THEN round(2 * precision * recall / (precision + recall), 4) ELSE 0 END AS f1 FROM (
   SELECT *, CASE WHEN tp + fp > 0 THEN round(tp::DOUBLE / (tp + fp), 4) ELSE 0 END AS precision,
