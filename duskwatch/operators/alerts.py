@@ -40,12 +40,13 @@ def all_detections(parts: dict[str, list[DataFrame]]) -> DataFrame:
 def detect(
     logs: DataFrame, *, cycle: float = 60, signatures: list[dict] | None = None,
     thresholds: list[dict] | None = None, behavioral: bool = True, correlation: bool = True,
-    limits: dict[str, dict] | None = None,
+    limits: dict[str, dict] | None = None, across_cycles: bool = True,
 ) -> DataFrame:
     """Run the detectors over ``logs`` and return one table of findings.
 
-    ``limits`` overrides parameters per detector, e.g.
-    ``{"high_request_rate": {"threshold": 200}}``.
+    ``limits`` overrides parameters per detector, e.g. ``{"high_request_rate": {"threshold": 200}}``. Without
+    ``across_cycles`` those are left out whose findings depend on more than the rows of a cycle (counters that clear and
+    new countries), so that cycles can be worked off one by one.
     """
     limits = limits or {}
 
@@ -55,15 +56,15 @@ def detect(
             args.setdefault("cycle", cycle)
         return getattr(module, name)(logs, **args)
 
-    parts = {
-        "rule": [rule_ops.signature_hits(logs, signatures)],
-        "threshold": [rule_ops.threshold_hits(rule_ops.threshold_reset(logs, thresholds))],
-    }
+    parts = {"rule": [rule_ops.signature_hits(logs, signatures)]}
+    if across_cycles:
+        parts["threshold"] = [rule_ops.threshold_hits(rule_ops.threshold_reset(logs, thresholds))]
     shared: list[str] = []
     if behavioral:
         shared += ["high_request_rate", "high_block_rate", "multi_country_session", "scan_path_hits", "path_diversity",
                    "suspicious_agents"]
-        parts["behavioral"] = [run(behavior, n) for n in ("ip_burst", "high_risk_country_attacks", "new_watch_country")]
+        alone = ("ip_burst", "high_risk_country_attacks", *(["new_watch_country"] if across_cycles else []))
+        parts["behavioral"] = [run(behavior, n) for n in alone]
     if correlation:
         shared += ["multi_vector_ip", "coordinated_path", "session_multi_attack", "recon_exploit"]
         parts["correlation"] = [run(correlate, n) for n in ("session_escalation", "attack_burst")]

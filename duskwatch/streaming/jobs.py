@@ -78,7 +78,8 @@ def stream_detections(
     """Per cycle and address: rate, block rate, scanning, attack variety, recon with exploit.
 
     One aggregate per address feeds the first four. Recon with exploit counts only in cycles with ``min_attacks``
-    attacks, so a second aggregate over the cycle holds its candidates until that is known.
+    attacks, so its candidates are joined with the totals of the cycles. These are counts for a live view; findings in
+    the hit layout, with their log ids and of all detectors, come from ``scan.stream_scan``.
     """
     rows, w = _cycles(logs, cycle, delay)
     attack = F.col("attack_type") != "NONE"
@@ -104,12 +105,14 @@ def stream_detections(
     single = per_ip.select(c("w.start").cast("timestamp_ntz").alias("cycle_start"), "src_ip",
                            F.explode(F.filter(hits, lambda x: x.isNotNull())).alias("h")).select(
         "cycle_start", "src_ip", "h.*")
-    chain = F.when(c("recon") & c("exploit"), F.struct("src_ip", c("attacks").alias("event_count")))
-    per_cycle = per_ip.filter("attacks > 0").groupBy(F.window(F.window_time("w"), cycle).alias("w")).agg(
-        F.sum("attacks").alias("attacks"), F.collect_list(chain).alias("chains"))
-    both = per_cycle.filter(c("attacks") >= min_attacks).select(
-        c("w.start").cast("timestamp_ntz").alias("cycle_start"), F.explode("chains").alias("h")).select(
-        "cycle_start", "h.src_ip", F.lit("recon_exploit").alias("detector"), "h.event_count", F.lit("CRITICAL").alias("severity"))
+    # The cycle's total is an aggregate of its own and meets the candidates by a join, so no list grows with the addresses.
+    start = F.col("w.start").cast("timestamp_ntz")
+    totals = per_ip.filter("attacks > 0").groupBy(F.window(F.window_time("w"), cycle).alias("w")).agg(F.sum("attacks").alias("cycle_attacks"))
+    enough = totals.filter(c("cycle_attacks") >= min_attacks).select("w")
+    chains = per_ip.filter("recon and exploit").select(F.window(F.window_time("w"), cycle).alias("w"), "src_ip", "attacks")
+    both = chains.join(enough, "w").select(
+        start.alias("cycle_start"), "src_ip", F.lit("recon_exploit").alias("detector"), F.col("attacks").alias("event_count"),
+        F.lit("CRITICAL").alias("severity"))
     return single.unionByName(both)
 
 

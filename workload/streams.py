@@ -13,13 +13,17 @@ from duskwatch.functions.text import any_rlike
 from duskwatch.operators import behavior as B
 from duskwatch.operators import correlate as C
 from duskwatch.operators import rules as R
+from duskwatch.schema import HITS
 from duskwatch.streaming import jobs as J
+from duskwatch.streaming import scan
 from workload import lines as L
 from workload import tables as T
+from workload.alerts import DEDUP, HIT_COLS, HITS_EXTRA, MATCH
+from workload.alerts import LIMITS as DETECTOR_LIMITS
 from workload.common import query
 from workload.ingest import JSON_SQL, NOW
 from workload.requests import LIMITS, REPLAY
-from workload.rules import RESET_EXTRA, TEST_THRESHOLDS
+from workload.rules import EXTRA_SIGNATURES, RESET_EXTRA, TEST_THRESHOLDS, tagged_logs
 from workload.staging import staging
 from workload.tables_sql import floor_to, rank, sql
 
@@ -154,3 +158,41 @@ def stream_alert_feed(spark, sf):
     J.stream_alert_feed(spark.readStream.schema(schema).parquet(f"{root}/in"), path=f"{root}/out",
                         checkpoint=f"{root}/checkpoint", min_severity="CRITICAL").awaitTermination()
     return spark.read.parquet(f"{root}/out").drop("batch_id")
+
+
+def _scan(spark, sf) -> str:
+    """All detectors over three files in time order, a batch each; the folder of the findings."""
+    root = staging(spark, "scan")
+    logs = tagged_logs(spark, sf)
+    edges = ["2024-01-01", "2024-01-11", "2024-01-21", "2025-01-01"]
+    for a, b in zip(edges, edges[1:]):
+        logs.filter((F.col("timestamp") >= a) & (F.col("timestamp") < b)).coalesce(1).write.mode("append").parquet(f"{root}/in")
+    stream = spark.readStream.schema(logs.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    scan.stream_scan(stream, path=f"{root}/scan", checkpoint=f"{root}/checkpoint", cycle=86400, delay=0, signatures=EXTRA_SIGNATURES,
+                     limits=DETECTOR_LIMITS).awaitTermination()
+    return f"{root}/scan"
+
+
+CYCLES = {**HITS_EXTRA, "hits": HITS_EXTRA["hits"] + f""" WHERE source <> 'threshold' AND title NOT LIKE 'New traffic%'
+  AND {floor_to('seen_at', 86400)} + INTERVAL 1 DAY <= (SELECT max("timestamp") FROM logs)"""}
+
+
+@query("stream_scan", sql(["logs", "mitre"], f"SELECT {', '.join(HIT_COLS)}, log_id FROM hits", extra=CYCLES, recursive=True))
+def stream_scan(spark, sf):
+    hits = scan.scan_hits(spark, _scan(spark, sf))
+    one = F.when(F.col("title").startswith("Burst traffic") | (F.col("source") == "threshold"), None).otherwise(F.array_min("log_ids"))
+    return hits.select(*HIT_COLS, one.alias("log_id"))
+
+
+@query("stream_scan_alerts", sql(["logs", "mitre"], f"""
+SELECT s.source, s.rule_id, s.src_ip, s.attack_type, s.http_path, make_timestamp(r.anchor) AS created_at,
+  make_timestamp(max(s.t)) AS last_seen, CAST(sum(s.n) AS BIGINT) AS event_count, max(s.conf) AS confidence
+FROM chain r JOIN steps2 s ON s.rn = r.rn AND {MATCH} GROUP BY s.source, s.rule_id, s.src_ip, s.attack_type, s.http_path, r.anchor""",
+    extra={**CYCLES, **DEDUP, "steps2": DEDUP["steps2"] + " WHERE t + 3000000 <= (SELECT epoch_us(max(seen_at)) FROM hits)"}, recursive=True))
+def stream_scan_alerts(spark, sf):
+    """The findings of all detectors, merged into alerts by a second stream."""
+    path = _scan(spark, sf)
+    hits = spark.readStream.schema(HITS).parquet(f"{path}/hits/*")
+    rows = finished(spark, "scan_alerts", J.stream_alert_dedup(hits, window_seconds=172800, delay="0 seconds"))
+    return rows.groupBy("alert_uid", "source", "rule_id", "src_ip", "attack_type", "http_path", "created_at").agg(
+        F.max("seen_at").alias("last_seen"), F.sum("event_count").alias("event_count"), F.max("confidence").alias("confidence")).drop("alert_uid")
