@@ -148,23 +148,21 @@ def _seconds(df: DataFrame, keys: list[str], delay: str, seconds: int, **aggs: C
 
 def stream_thresholds(
     logs: DataFrame, rules: list[dict] | None = None, *, delay: str = "10 seconds", resolution: int = 1,
-    ttl_ms: int | None = None,
 ) -> DataFrame:
-    """Counters that clear when they fire, kept from batch to batch."""
+    """Counters that clear when they fire, kept from batch to batch until their window has passed."""
     active = rule_ops.enabled(rule_ops.THRESHOLDS if rules is None else rules, "threshold")
     rows = rule_ops._counted_rows(logs, active)
     counts = _seconds(rows, ["rule_id", "group_key", "threshold", "window"], delay, resolution, n=F.count("*"))
     return stream_fold(
         counts, keys=["rule_id", "group_key"], order="second", values=["n", "threshold", "window"],
         out=[("second", "bigint"), ("fires", "bigint"), ("first_second", "bigint")],
-        step=rule_ops._count_and_clear, ttl_ms=ttl_ms)
+        step=rule_ops._count_and_clear, until=lambda held, row: row[0] + row[3], resolution=resolution)
 
 
 def stream_alert_dedup(
     hits: DataFrame, *, window_seconds: int = 900, resolution: int = 3, delay: str = "10 seconds",
-    ttl_ms: int | None = None,
 ) -> DataFrame:
-    """Findings with the alert they belong to, one row per alert and scan cycle.
+    """Findings with the alert they belong to, one row per alert and scan cycle; an alert is forgotten when its window has passed.
 
     Downstream sums ``event_count`` and takes the maxima per ``alert_uid``.
     """
@@ -182,7 +180,7 @@ def stream_alert_dedup(
     folded = stream_fold(
         counts, keys=keys, order="second", values=["events", "conf"],
         out=[("anchor", "bigint"), ("second", "bigint"), ("events", "bigint"), ("conf", "double")],
-        step=step, ttl_ms=ttl_ms)
+        step=step, until=lambda anchor, row: anchor + window_seconds, resolution=resolution)
     return folded.select(
         _uid(F.col("alert_key"), F.col("anchor") * 1_000_000).alias("alert_uid"), *keys[1:],
         from_micros(F.col("anchor") * 1_000_000).alias("created_at"),
@@ -208,15 +206,16 @@ def stream_new_country(
 
 def stream_rate_limit(
     requests: DataFrame, *, limit: int = 100, window: int = 60, burst: int | None = None, burst_window: int = 5,
-    block_seconds: int = 86400, delay: str = "10 seconds", ttl_ms: int | None = None,
+    block_seconds: int = 86400, delay: str = "10 seconds",
 ) -> DataFrame:
-    """Admission per address and second on a live request stream."""
+    """Admission per address and second on a live request stream; an address is forgotten when neither its counts nor a block can matter."""
     counts = _seconds(requests.select("timestamp", "client_ip"), ["client_ip"], delay, 1, n=F.count("*"))
     step = _admit(limit, window, limit // 2 if burst is None else burst, burst_window, block_seconds)
     out = stream_fold(
         counts, keys=["client_ip"], order="second", values=["n"],
         out=[("second", "bigint"), ("requests", "bigint"), ("accepted", "bigint"), ("rate_limited", "bigint"),
-             ("burst_refused", "bigint"), ("blocked", "bigint")], step=step, ttl_ms=ttl_ms)
+             ("burst_refused", "bigint"), ("blocked", "bigint")], step=step,
+        until=lambda state, row: max(row[0] + max(window, burst_window), state[1] or 0))
     return out.withColumn("second", from_micros(F.col("second") * 1_000_000))
 
 

@@ -4,6 +4,10 @@ The input is a windowed aggregate in append mode: one row per key and time step,
 released once the watermark has passed the step. So the rows of a key arrive in
 time order, late data is settled before the fold sees it, and a busy key costs
 one row per step. The step function is the one the batch fold runs.
+
+State ends in event time: a step says until when what it remembers can still matter, and
+once the watermark has passed that moment a timer drops the key. A row that comes later
+meets no state, which by then is the same as meeting the old one, so results do not change.
 """
 
 from __future__ import annotations
@@ -21,40 +25,58 @@ from duskwatch.session import ROCKSDB
 
 
 class Fold(StatefulProcessor):
-    """Runs ``step(state, row)`` over the rows of a key in the order of their first value."""
+    """Runs ``step(state, row)`` over the rows of a key in the order of their first value.
+
+    ``until(state, row)`` is the last second at which the state can matter to a later row of its key; None keeps it.
+    """
 
-    def __init__(self, step: Callable, columns: list[str], out: T.StructType, n_keys: int, ttl_ms: int | None):
-        self.step, self.columns, self.out, self.n_keys, self.ttl_ms = step, columns, out, n_keys, ttl_ms
+    def __init__(self, step: Callable, columns: list[str], out: T.StructType, until: Callable | None, resolution: int):
+        self.step, self.columns, self.out, self.until, self.resolution = step, columns, out, until, resolution
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        schema = T.StructType([T.StructField("state", T.BinaryType())])
-        self.state = handle.getValueState("state", schema, self.ttl_ms)
+        self.handle = handle
+        self.state = handle.getValueState("state", T.StructType([T.StructField("state", T.BinaryType()), T.StructField("ends", T.LongType())]))
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        state = pickle.loads(self.state.get()[0]) if self.state.exists() else None
+        state, ends = None, None
+        if self.state.exists():
+            held, ends = self.state.get()
+            state = pickle.loads(held)
         arrived = [tuple(r) for pdf in rows for r in pdf[self.columns].astype(object).where(
             pdf[self.columns].notna(), None).itertuples(index=False, name=None)]
         emitted: list[tuple] = []
         for row in sorted(arrived, key=lambda r: r[0]):
             state, out = self.step(state, row)
             emitted.extend(tuple(key) + tuple(o) for o in out)
-        self.state.update((pickle.dumps(state),))
+        then = None
+        if self.until and arrived:
+            # Rows of a step are released when the step is over.
+            then = (int(self.until(state, max(arrived, key=lambda r: r[0]))) + self.resolution + 1) * 1000
+        if then != ends:
+            if ends is not None:
+                self.handle.deleteTimer(ends)
+            if then is not None:
+                self.handle.registerTimer(then)
+        self.state.update((pickle.dumps(state), then))
         if emitted:
             yield pd.DataFrame(emitted, columns=[f.name for f in self.out]).astype(object)
 
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        self.state.clear()
+        return iter(())
+
     def close(self) -> None:
         pass
 
 
 def stream_fold(
     df: DataFrame, *, keys: list[str], order: str, values: list[str], out: list[tuple[str, str]], step: Callable,
-    ttl_ms: int | None = None,
+    until: Callable | None = None, resolution: int = 1,
 ) -> DataFrame:
-    """Streaming counterpart of ``ordered_fold``; ``ttl_ms`` drops keys that stay silent."""
+    """Streaming counterpart of ``ordered_fold``; with ``until`` keys are dropped in event time (see ``Fold``)."""
     df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     key_fields = [T.StructField(df.schema[k].name, df.schema[k].dataType, True) for k in keys]
     schema = T.StructType(key_fields + [T.StructField(n, T._parse_datatype_string(t), True) for n, t in out])
-    mode = "ProcessingTime" if ttl_ms else "None"
-    fold = Fold(step, [order, *values], schema, len(keys), ttl_ms)
+    fold = Fold(step, [order, *values], schema, until, resolution)
     return df.groupBy(*keys).transformWithStateInPandas(
-        statefulProcessor=fold, outputStructType=schema, outputMode="append", timeMode=mode)
+        statefulProcessor=fold, outputStructType=schema, outputMode="append", timeMode="EventTime" if until else "None")

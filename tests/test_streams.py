@@ -3,8 +3,14 @@
 import datetime as dt
 import random
 
-from duskwatch.operators import requests, rules
-from duskwatch.streaming import jobs
+from pyspark.sql import functions as F
+
+from duskwatch.operators import alerts, requests, rules
+from duskwatch.schema import HITS
+from duskwatch.streaming import jobs, scan
+from tests.conftest import SF
+from workload import tables as T
+from workload.alerts import LIMITS
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -42,3 +48,96 @@ def test_thresholds_over_batches(spark, tmp_path):
     batch = rules.threshold_reset(spark.createDataFrame(rows, schema), rule).collect()
     epoch = dt.datetime(1970, 1, 1)
     assert got == sorted((r.group_key, int((r.seen_at - epoch).total_seconds()), r.fires) for r in batch)
+
+
+def state_rows(spark, checkpoint):
+    """Keys that the fold of a finished stream still holds."""
+    found = spark.read.format("state-metadata").load(checkpoint).filter("operatorName LIKE 'transformWithState%'").select("operatorId").distinct().first()
+    return spark.read.format("statestore").option("operatorId", found[0]).option("stateVarName", "state").load(checkpoint).count()
+
+
+def test_state_ends_with_its_window(spark, tmp_path):
+    """Each of 40 addresses is seen for a while and never again: few keys stay, and results are those of the batch."""
+    rng = random.Random(4)
+    rows = sorted((T0 + dt.timedelta(seconds=30 * k + rng.randrange(0, 25)), k * 100 + i, f"ip{k}", "BLOCKED") for k in range(40) for i in range(6))
+    rows += [(T0 + dt.timedelta(seconds=40 * 30 + 5), 9998, "last", "BLOCKED"), (T0 + dt.timedelta(seconds=40 * 30 + 6), 9999, "end", "BLOCKED")]
+    schema = "timestamp timestamp_ntz, id bigint, src_ip string, action string"
+    rule = [{"id": "r", "threshold": {"field": "src_ip", "count": 3, "window_seconds": 10}}]
+    stream = jobs.stream_thresholds(feed(spark, str(tmp_path / "in"), rows, schema, 12), rule, delay="0 seconds")
+    jobs.run_to_end(stream, str(tmp_path / "out"), str(tmp_path / "cp"))
+    got = sorted((r.group_key, r.second, r.fires) for r in spark.read.schema(stream.schema).parquet(str(tmp_path / "out")).collect())
+    batch = rules.threshold_reset(spark.createDataFrame(rows, schema), rule).collect()
+    epoch = dt.datetime(1970, 1, 1)
+    assert got == sorted((r.group_key, int((r.seen_at - epoch).total_seconds()), r.fires) for r in batch) and got
+    assert state_rows(spark, str(tmp_path / "cp")) <= 8
+
+
+def test_rate_limit_state_ends(spark, tmp_path):
+    """An address comes back after its block: the same whether it was forgotten or not."""
+    rows = [(T0 + dt.timedelta(seconds=s), "a") for s in [0] * 9 + [1, 30, 31] + [200] * 9 + [216]] + [
+        (T0 + dt.timedelta(seconds=s), f"b{s}") for s in range(0, 1000, 10)]
+    rows = sorted(rows) + [(T0 + dt.timedelta(hours=1), "end")]
+    schema = "timestamp timestamp_ntz, client_ip string"
+    args = dict(limit=6, window=20, burst=4, burst_window=5, block_seconds=15)
+    stream = jobs.stream_rate_limit(feed(spark, str(tmp_path / "in"), rows, schema, 9), delay="0 seconds", **args)
+    jobs.run_to_end(stream, str(tmp_path / "out"), str(tmp_path / "cp"))
+    got = sorted(tuple(r) for r in spark.read.schema(stream.schema).parquet(str(tmp_path / "out")).collect())
+    batch = requests.rate_limit_replay(spark.createDataFrame(rows, schema), **args).filter("client_ip <> 'end'")
+    assert got == sorted(tuple(r) for r in batch.collect())
+    assert state_rows(spark, str(tmp_path / "cp")) <= 25
+
+
+def hit(i, seconds, key="k"):
+    return (T0 + dt.timedelta(seconds=seconds), [i], "s", "t", "HIGH", f"ip{key}", "XSS", "/", 1, 0.5)
+
+
+def test_alerts_over_batches(spark, tmp_path):
+    """Merged in a stream, with alerts forgotten after their window, as in one batch."""
+    rng = random.Random(9)
+    rows = sorted(hit(i, rng.randrange(0, 3000), rng.choice("aaab")) for i in range(300)) + [hit(999, 9000, "end")]
+    schema = ("seen_at timestamp_ntz, log_ids array<bigint>, source string, title string, severity string, src_ip string, attack_type string, "
+              "http_path string, event_count bigint, confidence double")
+    more = {"rule_id": F.lit("r"), "session_id": F.lit(None).cast("string"), "geo_country": F.lit(None).cast("string"),
+            "mitre_tactic": F.lit(None).cast("string"), "mitre_technique": F.lit(None).cast("string")}
+    stream = jobs.stream_alert_dedup(feed(spark, str(tmp_path / "in"), rows, schema, 7).withColumns(more), window_seconds=120, delay="0 seconds")
+    jobs.run_to_end(stream, str(tmp_path / "out"), str(tmp_path / "cp"))
+    found = spark.read.schema(stream.schema).parquet(str(tmp_path / "out")).groupBy("alert_uid").agg(F.sum("event_count"), F.max("confidence"))
+    batch = alerts.alert_dedup(spark.createDataFrame(rows, schema).withColumns(more), window_seconds=120).filter("src_ip <> 'ipend'")
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, batch.select("alert_uid", "event_count", "confidence").collect()))
+    assert state_rows(spark, str(tmp_path / "cp")) <= 2
+
+
+def test_scan_survives_a_restart(spark, tmp_path, monkeypatch):
+    """Batches that end in the middle and are replayed give the findings of the batch; late rows are set aside."""
+    logs = T.logs(spark, SF).filter("timestamp < '2024-01-12'")
+    path = tmp_path / "in"
+    for a, b in ((0, 4), (4, 8), (8, 12)):
+        day = F.dayofmonth("timestamp")
+        logs.filter((day > a) & (day <= b)).coalesce(1).write.mode("append").parquet(str(path))
+    late = logs.filter("timestamp < '2024-01-02'").limit(3).withColumn("id", F.col("id") + 10**9)
+    late.coalesce(1).write.mode("append").parquet(str(path))
+
+    def run():
+        stream = spark.readStream.schema(logs.schema).option("maxFilesPerTrigger", 1).parquet(str(path))
+        scan.stream_scan(stream, path=str(tmp_path / "scan"), checkpoint=str(tmp_path / "cp"), cycle=86400, delay=3600, limits=LIMITS).awaitTermination()
+
+    real, calls = scan._Folders.remove, []
+
+    def fails(self, folder):
+        calls.append(folder)
+        if len(calls) in (1, 4):
+            raise RuntimeError("ended")
+        real(self, folder)
+
+    monkeypatch.setattr(scan._Folders, "remove", fails)
+    for _ in range(4):
+        try:
+            run()
+            break
+        except Exception:
+            continue
+    closed = logs.filter("timestamp < '2024-01-11'")
+    names = [f.name for f in HITS]
+    got = sorted(map(str, scan.scan_hits(spark, str(tmp_path / "scan")).select(*names).collect()))
+    assert got == sorted(map(str, alerts.detect(closed, cycle=86400, limits=LIMITS, across_cycles=False).select(*names).collect())) and got
+    assert spark.read.schema(logs.schema).parquet(str(tmp_path / "scan/late")).count() == 3
