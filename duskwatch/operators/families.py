@@ -7,13 +7,14 @@ one more pass over the rows of the keys that were found.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from duskwatch.functions.text import any_rlike
 from duskwatch.operators import behavior as B
 from duskwatch.operators import correlate as C
 from duskwatch.operators.hits import as_hits
+from duskwatch.plans.kept import kept
 from duskwatch.plans.tiles import first_n
 
 #: The detectors that share the passes, and how many log ids a finding of each lists at most.
@@ -22,6 +23,8 @@ MOST_IDS = {
     "multi_vector_ip": 50, "recon_exploit": 50, "coordinated_path": 50, "session_multi_attack": 30, "multi_country_session": 20,
 }
 _NO_KEY = "\u0000"
+#: Findings whose keys are sent to every task.
+LISTED = 200_000
 
 
 def _rows(logs: DataFrame, cycle: float | None, limits: dict[str, dict]) -> DataFrame:
@@ -67,15 +70,13 @@ def address_findings(rows: DataFrame, limits: dict[str, dict]) -> DataFrame:
         F.count_if(named).alias("paths"), F.max(F.when(named, F.col("last_every"))).alias("last_path"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("kinds")))).alias("kinds"),
         F.max("recon").alias("recon"), F.max("exploit").alias("exploit"), F.min("tool").alias("tool"))
-    in_cycle = F.sum("attack").over(Window.partitionBy("cycle_start"))  # one row per address
-    per_ip = per_ip.withColumn("cycle_attacks", in_cycle)
 
     def limit(name: str, default: int, key: str = "threshold") -> int:
         return limits.get(name, {}).get(key, default)
 
     c, ip = F.col, F.col("src_ip")
     rate = limit("high_request_rate", 120)
-    return _found(per_ip, "ip", "src_ip", [
+    found = _found(per_ip, "ip", "src_ip", [
         _hit("high_request_rate", c("every") >= rate, "every", source="behavioral.rate", src_ip=ip,
              title=F.concat(F.lit("High request rate from "), ip), severity=F.when(c("every") > 2 * rate, "HIGH").otherwise("MEDIUM"),
              attack_type="DDOS", event_count=c("every"), seen_at=c("last_every"),
@@ -96,11 +97,16 @@ def address_findings(rows: DataFrame, limits: dict[str, dict]) -> DataFrame:
              title=F.concat(F.lit("Multi-vector attack from "), ip, F.lit(": "), F.array_join("kinds", ", ")), severity="CRITICAL",
              attack_type="OTHER", event_count=c("attack"), seen_at=c("last_attack"), confidence=0.9,
              mitre_tactic="Initial Access", mitre_technique="T1190"),
-        _hit("recon_exploit", c("recon") & c("exploit") & (c("cycle_attacks") >= limit("recon_exploit", 10, "min_attacks")), "attack",
+        _hit("recon_exploit", c("recon") & c("exploit"), "attack",
              source="correlation.time", src_ip=ip, title=F.concat(F.lit("Recon and exploit chain from "), ip), severity="CRITICAL",
              attack_type="OTHER", event_count=c("attack"), seen_at=c("last_attack"), confidence=0.9,
              mitre_tactic="Initial Access", mitre_technique="T1190"),
     ])
+    # Recon with exploit counts only in busy cycles; the totals are one row per cycle.
+    busy = per_ip.groupBy("cycle_start").agg(F.sum("attack").alias("n")).filter(
+        F.col("n") >= limit("recon_exploit", 10, "min_attacks")).select("cycle_start")
+    chain = F.col("hit.detector") == "recon_exploit"
+    return found.filter(~chain).unionByName(found.filter(chain).join(busy, "cycle_start", "left_semi"))
 
 
 def path_findings(rows: DataFrame, limits: dict[str, dict]) -> DataFrame:
@@ -139,24 +145,31 @@ def session_findings(rows: DataFrame, limits: dict[str, dict]) -> DataFrame:
 
 
 def findings(logs: DataFrame, *, cycle: float | None, limits: dict[str, dict], detectors: list[str]) -> DataFrame:
-    """Hits of ``detectors`` (names of ``MOST_IDS``): three aggregates and one pass for the log ids."""
+    """Hits of ``detectors`` (names of ``MOST_IDS``): three aggregates and one pass for the log ids.
+
+    The findings are computed first and kept. Log rows are reduced to their keys inside the tasks that read them and
+    trimmed there to as many as a finding lists, so what is shuffled does not grow with a busy key. If there are more
+    keys than ``LISTED``, rows are trimmed for all keys instead and meet the findings afterwards.
+    """
     rows = _rows(logs, cycle, limits)
     found = address_findings(rows, limits).unionByName(path_findings(rows, limits)).unionByName(session_findings(rows, limits))
-    found = found.filter(F.col("hit.detector").isin(detectors))
+    found = kept(found.filter(F.col("hit.detector").isin(detectors)))
+    key = ["cycle_start", "family", "key"]
+    wanted = found.groupBy(*key).agg(F.collect_set("hit.subset").alias("wanted"))
     flags = ("every", "blocked", "scan", "path", "tool", "attack", "country")
     subsets = F.array_compact(F.array(*[F.when(F.col(f), F.lit(f)) for f in flags]))
     keys = F.array(*[F.struct(F.lit(f).alias("family"), F.coalesce(F.col(k), F.lit(_NO_KEY)).alias("key"))
                      for f, k in (("ip", "src_ip"), ("path", "http_path"), ("session", "session_id"))])
     keyed = rows.select("cycle_start", "timestamp", "id", subsets.alias("subsets"), F.explode(keys).alias("k")).select(
         "cycle_start", "timestamp", "id", "subsets", "k.*")
-    mine = keyed.join(found, ["cycle_start", "family", "key"]).filter(F.array_contains("subsets", F.col("hit.subset")))
-    group = ["cycle_start", "family", "key", "detector"]
-    most = F.try_element_at(F.create_map(*[F.lit(x) for pair in MOST_IDS.items() for x in pair]), F.col("detector"))
-    capped = first_n(mine.select("cycle_start", "family", "key", "hit.detector", "hit", "timestamp", "id"), group,
-                     ["timestamp", "id"], max(MOST_IDS.values()))
-    ids = F.array_sort(F.collect_list(F.struct("timestamp", "id")))
-    listed = capped.groupBy(*group).agg(ids.alias("_ids"), F.first("hit").alias("hit")).withColumn(
-        "log_ids", F.transform(F.slice("_ids", F.lit(1), most), lambda s: s["id"])).drop("detector")
+    if found.count() <= LISTED:
+        keyed = keyed.join(F.broadcast(wanted), key).withColumn("subsets", F.array_intersect("subsets", "wanted"))  # at most LISTED rows
+    each = keyed.select(*key, "timestamp", "id", F.explode("subsets").alias("subset"))
+    capped = first_n(each, [*key, "subset"], ["timestamp", "id"], max(MOST_IDS.values()))
+    ids = capped.groupBy(*key, "subset").agg(F.array_sort(F.collect_list(F.struct("timestamp", "id"))).alias("_ids"))
+    most = F.try_element_at(F.create_map(*[F.lit(x) for pair in MOST_IDS.items() for x in pair]), F.col("hit.detector"))
+    listed = found.withColumn("subset", F.col("hit.subset")).join(ids, [*key, "subset"]).withColumn(
+        "log_ids", F.transform(F.slice("_ids", F.lit(1), most), lambda s: s["id"]))
     return as_hits(
         listed.select("cycle_start", "log_ids", "family", "key", "hit.*"), rule_id=F.col("source"),
         session_id=F.when(F.col("family") == "session", F.col("key")))
