@@ -177,6 +177,14 @@ def test_repeats_do_not_hide_near_duplicates(spark):
     assert sorted(rows(simhash.drop_near_duplicates(docs)).doc_id) == [0, 3]
 
 
+def test_survivor_of_repeated_rows(spark):
+    """Rows with one key and text but other columns: always the same one stays, also with columns of the names used inside."""
+    rows = [(1, "one two three four five six seven", n, m, "x") for n in range(6) for m in (2, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _nth int, _row_hash int, `a.b` string")
+    for parts in (1, 3, 5):
+        assert [tuple(r) for r in simhash.drop_near_duplicates(df.repartition(parts)).collect()] == [(1, rows[0][1], 0, 1, "x")]
+
+
 def test_sets_are_compared_exactly():
     import pyarrow as pa
 
