@@ -256,17 +256,22 @@ def normalise(parsed: DataFrame) -> DataFrame:
 
 
 def canonical_logs(
-    parsed: DataFrame, *, source_format: str, received_at: str | Column, geo_ranges: DataFrame | None = None
+    parsed: DataFrame, *, source_format: str, received_at: str | Column, geo_ranges: DataFrame | None = None,
+    batch: Column | str | int | None = None,
 ) -> DataFrame:
     """Parsed rows to canonical log rows: normalised, located, tagged, ready to append.
 
     Without ``geo_ranges`` locations stay null, for streams that are located
     when they are read.
     """
-    # Equal lines are rows of their own, so the place in the input is part of the id. It is taken
-    # before any shuffle: a task that runs again gives the same ids.
+    # Equal lines are rows of their own, so the place in the input is part of the id, and so is ``batch``, which names this
+    # input among others that are appended to one table (a micro-batch, a load); without it the time of receipt does. The place is
+    # taken before any shuffle: a task that runs again gives the same ids.
+    received = received_at if isinstance(received_at, Column) else at(received_at)
+    batch = received if batch is None else batch if isinstance(batch, Column) else F.lit(batch)
     rows = normalise(parsed.filter("ok").withColumn("_place", F.monotonically_increasing_id()))
-    rows = rows.withColumn("id", F.xxhash64("raw_log", "timestamp", "src_ip", "_place")).drop("_place")
+    rows = rows.withColumn("id", F.xxhash64(
+        "raw_log", "timestamp", "src_ip", "_place", batch.cast("string"), F.lit(source_format))).drop("_place")
     # ATT&CK goes by the attack as written; unknown spellings map to nothing.
     rows = mitre_enrich(rows).drop("technique_name")
     for c in ("geo_country", "geo_city", "geo_asn"):
@@ -275,7 +280,6 @@ def canonical_logs(
         rows = rows.withColumn(c, F.lit(None).cast("double"))
     if geo_ranges is not None:
         rows = geo_enrich(rows, geo_ranges)
-    received = received_at if isinstance(received_at, Column) else at(received_at)
     rows = rows.withColumns({
         "received_at": received, "source_format": F.lit(source_format), "tier": F.lit("hot")})
     return rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in LOGS])

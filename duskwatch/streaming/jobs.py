@@ -52,8 +52,8 @@ def stream_ingest(
         received = now or dt.datetime.now(dt.timezone.utc).replace(tzinfo=None).isoformat(sep=" ")
         parsed = PARSERS[source_format](batch, now=received).persist()
         try:
-            _write_batch(canonical_logs(parsed, source_format=source_format, received_at=received, geo_ranges=geo_ranges),
-                         logs_path, batch_id)
+            _write_batch(canonical_logs(parsed, source_format=source_format, received_at=received, geo_ranges=geo_ranges,
+                                        batch=batch_id), logs_path, batch_id)
             _write_batch(quarantine(parsed), quarantine_path, batch_id)
         finally:
             parsed.unpersist()

@@ -318,6 +318,18 @@ def test_age_table_moves_and_purges(spark, tmp_path, versioned):
     assert set(table.folders()) <= held <= set(table.folders()) | set(table.folders(table.version() - 1))
 
 
+def test_ids_of_appended_loads_differ(spark):
+    """Three equal lines in each of two loads are six rows with six ids; a load that is read again has the same ones."""
+    lines = spark.createDataFrame([('{"timestamp": "2024-01-01T00:00:00", "src_ip": "10.0.0.1", "http_path": "/"}',)] * 3, "line string").coalesce(1)
+
+    def ids(batch):
+        parsed = ingest.PARSERS["json"](lines, now="2024-01-02")
+        return [r.id for r in ingest.canonical_logs(parsed, source_format="json", received_at="2024-01-02", batch=batch).collect()]
+
+    first, second = ids(1), ids(2)
+    assert len(set(first + second)) == 6 and ids(1) == first
+
+
 class Killed(Exception):
     pass
 
