@@ -2,21 +2,23 @@
 
 A rule is a dict. Signature rules hold ``conditions``, a list of
 ``{field, operator, value}`` that must all hold or a flat ``{field: value}``;
-threshold rules hold ``threshold: {field, count, window_seconds, filter}``.
+threshold rules hold ``threshold: {field, count, window_seconds, filter, distinct}``.
 """
 
 from __future__ import annotations
 
 import json
+from functools import reduce
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from duskwatch.functions.text import contains_ci
 from duskwatch.functions.times import from_micros, micros
 from duskwatch.operators.hits import as_hits
 from duskwatch.plans.fold import ordered_fold
+from duskwatch.plans.tiles import earlier, running
 
 
 def _sig(id: str, name: str, severity: str, tactic: str, technique: str, *conditions: tuple) -> dict:
@@ -218,15 +220,21 @@ def _threshold(r: dict) -> tuple[str, int, int, Any]:
     return r.get("group_by", "src_ip"), int(t), r.get("window_seconds", 60), r.get("conditions", {})
 
 
-def _counted_rows(logs: DataFrame, active: list[dict]) -> DataFrame:
+def _field(logs: DataFrame, name: str) -> Column:
+    return F.col(name).cast("string") if name in logs.columns else F.lit(None).cast("string")
+
+
+def _counted_rows(logs: DataFrame, active: list[dict], values: dict[str, str] | None = None) -> DataFrame:
+    """Rows that rules count, with their group; ``values`` names by rule the field that becomes the column ``value``."""
     meta, preds = [], []
     for i, r in enumerate(active):
         field, count, window, where = _threshold(r)
         preds.append(predicate(logs, where, empty=True))
-        group = F.col(field).cast("string") if field in logs.columns else F.lit(None).cast("string")
+        group = _field(logs, field)
         meta.append(F.struct(
             F.lit(r["id"]).alias("rule_id"), F.coalesce(group, F.lit("unknown")).alias("group_key"),
-            F.lit(int(count)).alias("threshold"), F.lit(int(window)).alias("window")))
+            F.lit(int(count)).alias("threshold"), F.lit(int(window)).alias("window"),
+            *([_field(logs, values[r["id"]]).alias("value")] if values else [])))
     rows = matching(logs, active, preds, meta)
     return rows.select("id", "timestamp", micros(F.col("timestamp")).alias("us"), "_rule.*")
 
@@ -247,32 +255,49 @@ def _described(df: DataFrame, active: list[dict]) -> DataFrame:
 
 
 def threshold_rolling(logs: DataFrame, rules: list[dict] | None = None) -> DataFrame:
-    """Rows at which a rule's count in the trailing window reaches its threshold.
+    """Rows at which a rule's count in the trailing window (both ends included) reaches its threshold.
+
+    Only crossings are reported: the row before was still below. A rule whose threshold names a field as ``distinct``
+    counts the different values of that field, not rows; rows without a value take no part in it.
 
-    Only crossings are reported: the row before was still below. A row is
-    copied to its own time tile and the next two, enough for the count of every
-    row and of its predecessor, so groups are split by time.
+    Counts are running sums: a row adds one at its time and takes it back when the window has passed it, and of a value
+    only the stretches of time count in which it is in the window. Rows of one key and microsecond are added up before the shuffle
+    and sums run in cells of a second and an hour (``tiles.running``), so a group with a third of all rows, also the one
+    of rows without a group (``unknown``), is spread over time.
     """
     active = enabled(THRESHOLDS if rules is None else rules, "threshold")
-    rows = _counted_rows(logs, active)
-    width = F.col("window").cast("bigint") * 1_000_000
-    tiles = rows.withColumn("_home", F.floor(F.col("us") / width)).withColumn(
-        "_tile", F.explode(F.sequence(F.col("_home"), F.col("_home") + 2)))
-    part = Window.partitionBy("rule_id", "group_key", "_tile")
-    n = F.lit(None).cast("bigint")
-    for w in sorted({_threshold(r)[2] for r in active}):
-        c = F.count("*").over(part.orderBy("us").rangeBetween(-int(w) * 1_000_000, 0))
-        n = F.when(F.col("window") == w, c).otherwise(n)
-    counted = tiles.withColumn("event_count", n)
-    before = F.lag("event_count").over(part.orderBy("us", "id"))
-    crossings = (
-        counted.withColumn("_before", before)
-        .filter((F.col("_tile") == F.col("_home")) & (F.col("event_count") >= F.col("threshold"))
-                & (F.col("_before").isNull() | (F.col("_before") < F.col("threshold"))))
-    )
+    values = {r["id"]: r["threshold"]["distinct"] for r in active
+              if isinstance(r.get("threshold"), dict) and r["threshold"].get("distinct")}
+    group = ["rule_id", "group_key", "threshold", "window"]
+    after = F.col("window").cast("bigint") * 1_000_000 + 1
+    none = F.lit(None)
+
+    def steps(us: Column, d: Column | int, first: Column) -> list[Column]:
+        d = d if isinstance(d, Column) else F.lit(d)
+        return [*map(F.col, group), us.cast("bigint").alias("us"), d.cast("bigint").alias("_d"), first.cast("bigint").alias("_first")]
+
+    parts = []
+    plain = [r for r in active if r["id"] not in values]
+    if plain:
+        per = _counted_rows(logs, plain).groupBy(*group, "us").agg(F.count("*").alias("n"), F.min("id").alias("first"))
+        parts += [per.select(*steps(F.col("us"), F.col("n"), F.col("first"))), per.select(*steps(F.col("us") + after, -F.col("n"), none))]
+    if values:
+        valued = [r for r in active if r["id"] in values]
+        per = _counted_rows(logs, valued, values).filter("value IS NOT NULL").groupBy(*group, "value", "us").agg(F.min("id").alias("first"))
+        seen = earlier(per, keys=[*group, "value"], us="us")
+        fresh = F.col("_prior").isNull() | (F.col("_prior") + after <= F.col("us"))
+        last = per.groupBy(*group, "value").agg(F.max("us").alias("us"))
+        parts += [seen.select(*steps(F.col("us"), fresh.cast("bigint"), F.col("first"))),
+                  seen.filter(fresh & F.col("_prior").isNotNull()).select(*steps(F.col("_prior") + after, -1, none)),
+                  last.select(*steps(F.col("us") + after, -1, none))]
+    events = reduce(DataFrame.unionAll, parts).groupBy(*group, "us").agg(F.sum("_d").alias("_d"), F.min("_first").alias("id"))
+    counted = running(events.withColumn("_m", F.when(F.col("id").isNotNull(), True)), keys=group, us="us")
+    crossings = counted.withColumnRenamed("_sum", "event_count").filter(
+        F.col("id").isNotNull() & (F.col("event_count") >= F.col("threshold"))
+        & (F.col("_last").isNull() | (F.col("_last") < F.col("threshold"))))
     found = _described(crossings, active)
     return found.select(
-        "rule_id", "title", "severity", "group_key", "src_ip", F.col("timestamp").alias("seen_at"), "id",
+        "rule_id", "title", "severity", "group_key", "src_ip", from_micros(F.col("us")).alias("seen_at"), "id",
         "event_count", "threshold", "confidence", "mitre_tactic", "mitre_technique")
 
 

@@ -48,3 +48,71 @@ def run_starts(
         runs.groupBy(*keys).agg(first.alias("_r"))
         .select(*keys, F.col("_r.s").alias("start_us"), F.col("_r.e").alias("end_us"))
     )
+
+
+#: Widths of the cells that running sums are cut into: a second, an hour.
+CELLS_US = (1_000_000, 3_600_000_000)
+
+
+def running(df: DataFrame, *, keys: list[str], us: str, cells: tuple[int, ...] = CELLS_US) -> DataFrame:
+    """Running sums per key whose rows are spread over time, however many a key has.
+
+    ``df`` has one row per key and ``us``, a number ``_d`` to add up and a mark ``_m`` (true or null). Adds ``_sum``, the
+    sum of ``_d`` up to the row, itself included, and ``_last``, that sum at the marked row before (null, if there is none).
+    Keys are not null.
+
+    A key's rows are added up inside cells of the first width, the totals of its cells inside cells of
+    the next one, and the totals of the last ones by key, so no task gets more of a key than
+    a second of distinct microseconds, the seconds of an hour, or all its hours. Each level
+    gives on its sum and the sum at its last mark, which is all that the next cell needs to know.
+    """
+    rows = _running(df.withColumn("_m", F.when(F.col("_m"), F.col("_d"))), keys, us, cells)
+    return rows.withColumns({"_sum": F.col("_sum") + F.col("_d")}).withColumnRenamed("_before", "_last")
+
+
+def _running(df: DataFrame, keys: list[str], at: str, cells: tuple[int, ...]) -> DataFrame:
+    """Sum of ``_d`` before each row as ``_sum``, and as ``_before`` the sum at the last earlier row with ``_m``, which counts from its own row."""
+    part = list(keys)
+    if cells:
+        df = df.withColumn("_cell", F.floor(F.col(at) / F.lit(cells[0])))
+        part.append("_cell")
+    before = Window.partitionBy(*part).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+    df = df.withColumn("_sum", F.coalesce(F.sum("_d").over(before), F.lit(0)))
+    df = df.withColumn("_before", F.last(F.col("_sum") + F.col("_m"), ignorenulls=True).over(before))
+    if not cells:
+        return df
+    totals = df.groupBy(*part).agg(
+        F.max_by(F.col("_sum") + F.col("_m"), F.when(F.col("_m").isNotNull(), F.col(at))).alias("_m"), F.sum("_d").alias("_d"))
+    wider = tuple(c // cells[0] for c in cells[1:])
+    outer = _running(totals.withColumnRenamed("_cell", "_at"), keys, "_at", wider)
+    outer = outer.select(*keys, F.col("_at").alias("_cell"), F.col("_sum").alias("_sum0"), F.col("_before").alias("_before0"))
+    return df.join(outer, part).withColumns({
+        "_sum": F.col("_sum0") + F.col("_sum"),
+        "_before": F.coalesce(F.col("_sum0") + F.col("_before"), F.col("_before0")),
+    }).drop("_cell", "_sum0", "_before0")
+
+
+def earlier(df: DataFrame, *, keys: list[str], us: str, cells: tuple[int, ...] = CELLS_US) -> DataFrame:
+    """Adds ``_prior``, the time of the row before of the same key; ``df`` has one row per key and ``us``.
+
+    A row looks inside its cell first, and only the first one of a cell at the newest row of the cells before.
+    """
+    if not cells:
+        return df.withColumn("_prior", F.lag(us).over(Window.partitionBy(*keys).orderBy(us)))
+    df = df.withColumn("_cell", F.floor(F.col(us) / F.lit(cells[0])))
+    part = [*keys, "_cell"]
+    df = df.withColumn("_prior", F.lag(us).over(Window.partitionBy(*part).orderBy(us)))
+    newest = _newest(df.groupBy(*part).agg(F.max(us).alias("_top")), keys, tuple(c // cells[0] for c in cells[1:]))
+    return df.join(newest, part).withColumn("_prior", F.coalesce("_prior", "_newest")).drop("_cell", "_newest")
+
+
+def _newest(df: DataFrame, keys: list[str], cells: tuple[int, ...]) -> DataFrame:
+    """For each key and ``_cell`` the ``_top`` of the cell before as ``_newest``."""
+    if not cells:
+        w = Window.partitionBy(*keys).orderBy("_cell")
+        return df.select(*keys, "_cell", F.lag("_top").over(w).alias("_newest"))
+    df = df.withColumn("_wide", F.floor(F.col("_cell") / F.lit(cells[0])))
+    df = df.withColumn("_own", F.lag("_top").over(Window.partitionBy(*keys, "_wide").orderBy("_cell")))
+    outer = df.groupBy(*keys, F.col("_wide").alias("_cell")).agg(F.max("_top").alias("_top"))
+    outer = _newest(outer, keys, tuple(c // cells[0] for c in cells[1:])).withColumnRenamed("_cell", "_wide")
+    return df.join(outer, [*keys, "_wide"]).select(*keys, "_cell", F.coalesce("_own", "_newest").alias("_newest"))

@@ -12,6 +12,7 @@ from duskwatch.operators import alerts, correlate, enrich, requests, response, r
 from duskwatch.operators.models import average_path, score_anomalies, train_anomaly_model
 from duskwatch.plans.fold import anchored, ordered_fold
 from duskwatch.plans.ranks import exact_rank_values
+from duskwatch.plans import tiles
 from duskwatch.plans.tiles import run_starts
 from duskwatch.sources import events as ev
 from duskwatch.sources import ingest
@@ -111,6 +112,55 @@ def test_threshold_rolling_reports_crossings(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("cells", [(1_000_000, 3_600_000_000), (2_000_000, 6_000_000), ()])
+def test_running_sums_and_row_before(spark, cells):
+    rng = random.Random(7)
+    rows = [(k, us * 100_000, rng.randrange(-3, 4), rng.random() < 0.5 or None)
+            for k, n in (("hot", 300), ("b", 9), ("c", 1)) for us in rng.sample(range(-50, 900), n)]
+    df = spark.createDataFrame(rows, "k string, us bigint, _d bigint, _m boolean")
+    got = sorted((r.k, r.us, r["_sum"], r["_last"]) for r in tiles.running(df, keys=["k"], us="us", cells=cells).collect())
+    prior = sorted((r.k, r.us, r["_prior"]) for r in tiles.earlier(df, keys=["k"], us="us", cells=cells).collect())
+    want, before, state = [], [], {}
+    for k, us, d, m in sorted(rows, key=lambda r: r[:2]):
+        total, last, seen = state.get(k, (0, None, None))
+        want.append((k, us, total + d, last))
+        before.append((k, us, seen))
+        state[k] = (total + d, total + d if m else last, us)
+    assert got == want and prior == before
+
+
+@pytest.mark.parametrize("distinct", [None, "http_path"])
+def test_rolling_thresholds_of_groups_and_values(spark, distinct):
+    """Ties, null groups, null values and windows that end on a row."""
+    rng = random.Random(12)
+    rows = [(i, rng.randrange(0, 4000) / 4, rng.choice(["hot", "hot", "b", None]), {"http_path": rng.choice(["/a", "/b", "/c", "/d", None])})
+            for i in range(400)]
+    rule = [{"id": "r", "threshold": {"field": "src_ip", "count": 3, "window_seconds": 10, **({"distinct": distinct} if distinct else {})}}]
+    got = sorted((r.group_key, r.id, r.event_count) for r in rules.threshold_rolling(log_frame(spark, rows), rule).collect())
+    want, state = [], {}
+    for s, i, ip, path in sorted((s, i, ip or "unknown", x["http_path"]) for i, s, ip, x in rows if not distinct or x["http_path"]):
+        inside = [(i2, x["http_path"]) for i2, s2, ip2, x in rows if (ip2 or "unknown") == ip and s - 10 <= s2 <= s and (not distinct or x["http_path"])]
+        n = len({p for _, p in inside}) if distinct else len(inside)
+        if n >= 3 and state.get(ip, 0) < 3:
+            want.append((ip, i, n))
+        state[ip] = n
+    assert got == sorted(want) and len(want) > 10
+
+
+def test_busy_group_is_spread_over_time(spark):
+    """A key with a third of all rows, all of them in one window, without adaptive execution."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        df = spark.range(6000).select(
+            F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id").cast("string"))).alias("k"),
+            (F.col("id") * 20_000).alias("us"), F.lit(1).cast("bigint").alias("_d"), F.lit(True).alias("_m"))
+        rows = tiles.running(df, keys=["k"], us="us").groupBy(F.spark_partition_id().alias("p")).count().collect()
+        sizes = sorted(r["count"] for r in rows)
+        assert sizes[-1] < 1.5 * sizes[0]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
 def test_rules_edge_conditions(spark):
     logs = log_frame(spark, [(1, 0, "a", {"http_path": None}), (2, 1, "a", {"http_path": "/X.php?CMD"})])
     def fires(*conditions):

@@ -139,6 +139,33 @@ def threshold_rolling(spark, sf):
     return R.threshold_rolling(T.logs(spark, sf), TEST_THRESHOLDS)
 
 
+DISTINCT_THRESHOLDS = [
+    {"id": "thr-paths", "name": "Many paths", "severity": "HIGH",
+     "threshold": {"field": "src_ip", "count": 3, "window_seconds": 43200, "distinct": "http_path"}},
+    {"id": "thr-sources", "name": "Many sources",
+     "threshold": {"field": "http_path", "count": 4, "window_seconds": 7200, "distinct": "src_ip", "filter": {"protocol": "HTTPS"}}},
+    TEST_THRESHOLDS[0]]
+
+
+@query("threshold_distinct", sql(["logs"], """
+SELECT rule_id, severity, group_key, src_ip, t AS seen_at, id, n AS event_count, threshold FROM (
+  SELECT *, lag(n) OVER (PARTITION BY rule_id, group_key ORDER BY t, id) AS before FROM (
+    SELECT 'thr-paths' AS rule_id, 'HIGH' AS severity, src_ip AS group_key, src_ip, "timestamp" AS t, id, 3 AS threshold,
+      count(DISTINCT http_path) OVER (PARTITION BY src_ip ORDER BY epoch_us("timestamp")
+        RANGE BETWEEN 43200000000 PRECEDING AND CURRENT ROW) AS n FROM logs
+    UNION ALL SELECT 'thr-sources', 'HIGH', http_path, NULL, "timestamp", id, 4,
+      count(DISTINCT src_ip) OVER (PARTITION BY http_path ORDER BY epoch_us("timestamp")
+        RANGE BETWEEN 7200000000 PRECEDING AND CURRENT ROW) FROM logs WHERE protocol = 'HTTPS'
+    UNION ALL SELECT 'thr-blocked', 'HIGH', src_ip, src_ip, "timestamp", id, 3,
+      count(*) OVER (PARTITION BY src_ip ORDER BY epoch_us("timestamp")
+        RANGE BETWEEN 86400000000 PRECEDING AND CURRENT ROW) FROM logs WHERE action = 'BLOCKED'))
+WHERE n >= threshold AND (before IS NULL OR before < threshold)"""))
+def threshold_distinct(spark, sf):
+    """Thresholds on the number of different values in the window."""
+    return R.threshold_rolling(T.logs(spark, sf), DISTINCT_THRESHOLDS).select(
+        "rule_id", "severity", "group_key", "src_ip", "seen_at", "id", "event_count", "threshold")
+
+
 RESET_EXTRA = {**THR_ROWS, "steps": """
   SELECT *, row_number() OVER (PARTITION BY rule_id, group_key ORDER BY sec) AS rn FROM (
     SELECT rule_id, title, severity, group_key, any_value(src_ip) AS src_ip, mitre_tactic, mitre_technique,
