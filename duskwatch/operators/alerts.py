@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -148,59 +151,114 @@ def alert_members(hits: DataFrame, *, window_seconds: int = 900, resolution: flo
         _uid(F.col("alert_key"), F.col("anchor_us")).alias("alert_uid"), "log_id").distinct()
 
 
+#: Statuses in which an incident takes on further alerts. Fixed values.
+OPEN_STATUSES = ("NEW", "INVESTIGATING")
+
+
+def _escalated(alerts: DataFrame, sources: tuple[str, ...]) -> DataFrame:
+    rows = alerts.filter(F.col("severity").isin("HIGH", "CRITICAL") & F.col("detection_source").isin(*sources))
+    opener = F.struct("created_at", "alert_uid", "severity", "title", "attack_type", "http_path", "mitre_tactic", "mitre_technique")
+    return rows.withColumn("_opener", opener).withColumn("_ip", F.coalesce("src_ip", F.lit("")))
+
+
+def incident_step(width: int, unit: int = 1) -> Callable:
+    """Fold step over the alerts and status changes of one address, in time order.
+
+    Row layout: (time, kind, n, first, uid, status), where kind 0 is a step with ``n`` alerts, the first of which is ``first``, and
+    kind 1 a change of the incident ``uid``; at one moment alerts come before changes. ``width`` is in the unit of time, of which
+    ``unit`` microseconds make one. The state is the list of incidents that are still within their window, as [uid,
+    opened at, open]; alerts attach to the oldest open one, or else open the next. Emits (anchor, time, n, first).
+    """
+
+    def step(state, row):
+        (ip, held), (at, kind, n, first, uid, status) = state, row
+        held = [h for h in held if at - h[1] <= width]
+        if kind:
+            held = [[h[0], h[1], status in OPEN_STATUSES] if h[0] == uid else h for h in held]
+            return (ip, held), []
+        anchor = next((h[1] for h in held if h[2]), None)
+        if anchor is None:
+            anchor = at
+            held.append([hashlib.sha256(f"{ip}|{at * unit}".encode()).hexdigest(), at, True])
+        return (ip, held), [(anchor, at, n, first)]
+
+    return step
+
+
+def _incident_rows(rows: DataFrame, changes: DataFrame | None, **kept: Column) -> DataFrame:
+    """Steps of alerts, with ``kept`` aggregates, and status changes in the layout of ``incident_step``."""
+    steps = rows.groupBy("_ip", micros(F.col("created_at")).alias("us")).agg(*[c.alias(k) for k, c in kept.items()])
+    steps = steps.withColumns({"kind": F.lit(0), "seq": F.lit(0).cast("bigint"), "uid": F.lit(None).cast("string"), "status": F.lit(None).cast("string")})
+    if changes is None:
+        return steps
+    found = changes.filter("status IS NOT NULL AND incident_uid IS NOT NULL").select(
+        F.coalesce("src_ip", F.lit("")).alias("_ip"), micros(F.col("changed_at")).alias("us"),
+        *[F.lit(None).cast(steps.schema[k].dataType).alias(k) for k in kept],
+        F.lit(1).alias("kind"), (F.col("seq") if "seq" in changes.columns else F.lit(0)).cast("bigint").alias("seq"),
+        F.col("incident_uid").alias("uid"), "status")
+    return steps.unionByName(found)
+
+
+def _incident_fold(rows: DataFrame, changes: DataFrame | None, window_seconds: int, **kept: Column) -> DataFrame:
+    """(_ip, anchor_us, us, n, first) per step of alerts."""
+    tagged = _incident_rows(rows, changes, **kept)
+    base = incident_step(window_seconds * 1_000_000)
+    order = ["us", "kind", "seq", "uid", "status"]
+
+    def step(state, row):
+        us, kind, _, uid, status, ip, n, first = row
+        return base(state or (ip, []), (us, kind, n, first, uid, status))
+
+    return ordered_fold(
+        tagged.withColumn("ip", F.col("_ip")), keys=["_ip"], order=order, values=["ip", "n", "first"],
+        out=[("anchor_us", "bigint"), ("us", "bigint"), ("n", "bigint"), ("first", tagged.schema["first"].dataType.simpleString())],
+        step=step)
+
+
 def incident_members(
-    alerts: DataFrame, *, window_seconds: int = 3600, sources: tuple[str, ...] = ("rule",)
+    alerts: DataFrame, changes: DataFrame | None = None, *, window_seconds: int = 3600, sources: tuple[str, ...] = ("rule",)
 ) -> DataFrame:
     """Which alert belongs to which incident of ``incident_escalation``, one row per pair."""
-    rows = alerts.filter(
-        F.col("severity").isin("HIGH", "CRITICAL") & F.col("detection_source").isin(*sources)
-    ).select("alert_uid", F.coalesce("src_ip", F.lit("")).alias("_ip"), micros(F.col("created_at")).alias("us"))
-    anchors = ordered_fold(
-        rows.select("_ip", "us").distinct(), keys=["_ip"], order=["us"], values=[],
-        out=[("us", "bigint"), ("anchor_us", "bigint")], step=anchored(window_seconds * 1_000_000))
-    return rows.join(anchors, ["_ip", "us"]).select("alert_uid", _uid(F.col("_ip"), F.col("anchor_us")).alias("incident_uid"))
+    rows = _escalated(alerts, sources)
+    anchors = _incident_fold(rows, changes, window_seconds, n=F.count("*"), first=F.lit(None).cast("string"))
+    mine = rows.select("alert_uid", "_ip", micros(F.col("created_at")).alias("us"))
+    return mine.join(anchors.select("_ip", "us", "anchor_us"), ["_ip", "us"]).select(
+        "alert_uid", _uid(F.col("_ip"), F.col("anchor_us")).alias("incident_uid"))
 
 
 def incident_escalation(
-    alerts: DataFrame, *, window_seconds: int = 3600, sources: tuple[str, ...] = ("rule",)
+    alerts: DataFrame, changes: DataFrame | None = None, *, window_seconds: int = 3600, sources: tuple[str, ...] = ("rule",)
 ) -> DataFrame:
     """Incidents opened by HIGH and CRITICAL rule alerts, one per address and window.
 
-    The first alert of an address opens an incident and gives it its priority;
-    later ones within the window from that moment attach to it.
+    The first alert of an address opens an incident and gives it its priority; later ones within the window from
+    that moment attach to it as long as it is NEW or INVESTIGATING. ``changes`` is the log of what analysts did, with
+    ``incident_uid``, ``src_ip``, ``status``, ``changed_at`` and maybe ``seq``: an alert after an incident was closed or mitigated
+    opens the next one, and one that is taken up again takes alerts again, the oldest open one first. A change at the moment
+    of an alert comes after it; of several changes of one incident at one moment the last by ``seq``, then by name, counts;
+    changes of unknown incidents do nothing.
     """
-    rows = alerts.filter(
-        F.col("severity").isin("HIGH", "CRITICAL") & F.col("detection_source").isin(*sources))
-    opener = F.struct("created_at", "alert_uid", "severity", "title", "attack_type", "http_path",
-                      "mitre_tactic", "mitre_technique")
-    steps = rows.groupBy("src_ip", micros(F.col("created_at")).alias("us")).agg(
-        F.count("*").alias("n"), F.min(opener).alias("first"))
-    types = {f.name: f.dataType.simpleString() for f in steps.schema}
-    base = anchored(window_seconds * 1_000_000)
-
-    def step(anchor, row):
-        anchor, _ = base(anchor, row)
-        return anchor, [(anchor, *row)]
-
-    folded = ordered_fold(
-        steps, keys=["src_ip"], order=["us"], values=["n", "first"],
-        out=[("anchor_us", "bigint"), ("us", "bigint"), ("n", "bigint"), ("first", types["first"])], step=step)
-    merged = folded.groupBy("src_ip", "anchor_us").agg(
+    rows = _escalated(alerts, sources)
+    folded = _incident_fold(rows, changes, window_seconds, n=F.count("*"), first=F.min("_opener"))
+    merged = folded.groupBy("_ip", "anchor_us").agg(
         F.sum("n").alias("alert_count"), F.min("first").alias("f"), F.max("us").alias("last_us"))
+    return _incidents(merged)
+
 
-    def listed(c: str) -> Column:
-        return F.when(F.col(c).isNull(), F.array().cast("array<string>")).otherwise(F.array(c))
+def _incidents(merged: DataFrame) -> DataFrame:
+    def listed(c: Column) -> Column:
+        return F.when(c.isNull(), F.array().cast("array<string>")).otherwise(F.array(c))
 
     return merged.select(
-        _uid(F.coalesce("src_ip", F.lit("")), F.col("anchor_us")).alias("incident_uid"),
+        _uid(F.col("_ip"), F.col("anchor_us")).alias("incident_uid"),
         F.concat(F.lit("Auto-escalated: "), "f.title").alias("title"),
         F.lit("NEW").alias("status"),
         F.when(F.col("f.severity") == "CRITICAL", "CRITICAL").otherwise("HIGH").alias("priority"),
         from_micros(F.col("anchor_us")).alias("created_at"),
         from_micros(F.col("last_us")).alias("last_alert_at"), "alert_count",
-        listed("src_ip").alias("affected_ips"), listed("f.http_path").alias("affected_paths"),
-        listed("f.attack_type").alias("attack_types"), listed("f.mitre_tactic").alias("mitre_tactics"),
-        listed("f.mitre_technique").alias("mitre_techniques"))
+        listed(F.nullif("_ip", F.lit(""))).alias("affected_ips"), listed(F.col("f.http_path")).alias("affected_paths"),
+        listed(F.col("f.attack_type")).alias("attack_types"), listed(F.col("f.mitre_tactic")).alias("mitre_tactics"),
+        listed(F.col("f.mitre_technique")).alias("mitre_techniques"))
 
 
 def alert_groups(alerts: DataFrame, *, window_minutes: int = 15) -> DataFrame:

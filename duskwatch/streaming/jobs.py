@@ -9,6 +9,7 @@ which a cycle is released.
 from __future__ import annotations
 
 import datetime as dt
+import json
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,7 +18,7 @@ from pyspark.sql.streaming import StreamingQuery
 from duskwatch.functions import severity as sev
 from duskwatch.functions.text import any_rlike
 from duskwatch.operators import behavior, rules as rule_ops
-from duskwatch.operators.alerts import _keyed, _uid, alert_feed
+from duskwatch.operators.alerts import _escalated, _keyed, _uid, alert_feed, incident_step
 from duskwatch.operators.correlate import EXPLOIT, RECON, never_falls
 from duskwatch.operators.requests import _admit
 from duskwatch.plans.fold import anchored
@@ -188,6 +189,47 @@ def stream_alert_dedup(
         F.col("events").alias("event_count"), F.col("conf").alias("confidence"))
 
 
+def stream_incidents(
+    alerts: DataFrame, changes: DataFrame, *, window_seconds: int = 3600, sources: tuple[str, ...] = ("rule",), resolution: int = 1,
+    delay: str = "10 seconds",
+) -> DataFrame:
+    """Alerts and the incident they open or attach to, one row per incident and second; the step is that of ``incident_escalation``.
+
+    ``changes`` is the incident log of that function. Both inputs share one watermark, so an idle log holds nothing back, and a change must
+    come within ``delay`` of newer alerts. What is known of an address is forgotten when no incident of it can take on alerts.
+    Downstream sums ``alert_count`` and takes title and priority of the first row per ``incident_uid``.
+    """
+    change = F.struct((F.col("seq") if "seq" in changes.columns else F.lit(0)).cast("bigint").alias("seq"),
+                      F.col("incident_uid").alias("uid"), "status")
+    rows = _escalated(alerts, sources).select("_ip", F.col("created_at").alias("timestamp"), "_opener")
+    done = changes.filter("status IS NOT NULL AND incident_uid IS NOT NULL").select(
+        F.coalesce("src_ip", F.lit("")).alias("_ip"), F.col("changed_at").alias("timestamp"), change.alias("_change"))
+    counts = _seconds(
+        rows.unionByName(done, allowMissingColumns=True), ["_ip"], delay, resolution, n=F.count("_opener"),
+        first=F.to_json(F.min("_opener")), changes=F.to_json(F.array_sort(F.collect_set("_change"))))
+    base = incident_step(window_seconds, 1_000_000)
+
+    def step(state, row):
+        second, ip, n, first, log = row
+        state, emitted = (state or (ip, [])), []
+        if n:
+            state, emitted = base(state, (second, 0, n, first, None, None))
+        for c in json.loads(log):
+            state, _ = base(state, (second, 1, 0, None, c["uid"], c["status"]))
+        return state, emitted
+
+    folded = stream_fold(
+        counts.withColumn("ip", F.col("_ip")), keys=["_ip"], order="second", values=["ip", "n", "first", "changes"],
+        out=[("anchor", "bigint"), ("second", "bigint"), ("alert_count", "bigint"), ("first", "string")], step=step,
+        until=lambda state, row: max([h[1] + window_seconds for h in state[1]], default=row[0]), resolution=resolution)
+    f = F.from_json("first", "severity string, title string, attack_type string, http_path string")
+    return folded.withColumn("f", f).select(
+        _uid(F.col("_ip"), F.col("anchor") * 1_000_000).alias("incident_uid"), F.nullif("_ip", F.lit("")).alias("src_ip"),
+        from_micros(F.col("anchor") * 1_000_000).alias("created_at"), from_micros(F.col("second") * 1_000_000).alias("seen_at"), "alert_count",
+        F.concat(F.lit("Auto-escalated: "), "f.title").alias("title"),
+        F.when(F.col("f.severity") == "CRITICAL", "CRITICAL").otherwise("HIGH").alias("priority"))
+
+
 def _first_time(seen, row):
     return True, ([] if seen else [row])
 

@@ -1,6 +1,7 @@
 """Streams over several micro-batches give what the batch operators give."""
 
 import datetime as dt
+import hashlib
 import random
 
 from pyspark.sql import functions as F
@@ -107,6 +108,62 @@ def test_alerts_over_batches(spark, tmp_path):
     assert state_rows(spark, str(tmp_path / "cp")) <= 2
 
 
+def test_incidents_that_close(spark, tmp_path):
+    """Alerts after a closing open the next incident; brute force, batch and stream agree."""
+    rng = random.Random(21)
+    rows, log, opened = [], [], {}
+    for s in sorted(rng.sample(range(0, 4000), 400)):
+        ip = rng.choice(["a", "a", "b", None])
+        held = [h for h in opened.get(ip, []) if s - h[1] <= 300]
+        if rng.random() < 0.35 and held:
+            h = rng.choice(held)
+            status = rng.choice(["CLOSED", "MITIGATED", "INVESTIGATING"])
+            h[2] = status == "INVESTIGATING"
+            log.append((T0 + dt.timedelta(seconds=s), h[0], ip, status))
+        else:
+            mine = next((h for h in held if h[2]), None)
+            if mine is None:
+                us = (T0 - dt.datetime(1970, 1, 1)) // dt.timedelta(seconds=1) + s
+                mine = [hashlib.sha256(f"{ip or ''}|{us * 1000000}".encode()).hexdigest(), s, True, []]
+                held.append(mine)
+            mine[3].append(f"u{s}")
+            rows.append((T0 + dt.timedelta(seconds=s), f"u{s}", rng.choice(["HIGH", "CRITICAL"]), f"t{s}", ip, "rule", "XSS", "/"))
+            everything = opened.setdefault("all", [])
+            if mine not in everything:
+                everything.append(mine)
+        opened[ip] = held
+    want = sorted((h[0], u) for h in opened["all"] for u in h[3])
+    schema = ("created_at timestamp_ntz, alert_uid string, severity string, title string, src_ip string, detection_source string, "
+              "attack_type string, http_path string")
+    more = {c: F.lit(None).cast("string") for c in ("mitre_tactic", "mitre_technique")}
+    log_schema = "changed_at timestamp_ntz, incident_uid string, src_ip string, status string"
+    changes = spark.createDataFrame(log + [(T0, "unknown", "a", "CLOSED")], log_schema)
+    batch = spark.createDataFrame(rows, schema).withColumns(more)
+    members = alerts.incident_members(batch, changes, window_seconds=300)
+    assert sorted((r.incident_uid, r.alert_uid) for r in members.collect()) == want
+    found = alerts.incident_escalation(batch, changes, window_seconds=300)
+    sizes = {h[0]: len(h[3]) for h in opened["all"]}
+    assert {r.incident_uid: r.alert_count for r in found.collect()} == sizes and len(sizes) > 30
+    plain = alerts.incident_escalation(batch, window_seconds=300).count()
+    assert alerts.incident_escalation(batch, changes.limit(0), window_seconds=300).count() == plain < len(sizes)
+
+    end = (T0 + dt.timedelta(hours=9), "end", "HIGH", "t", "end", "rule", "XSS", "/")
+    cut = [sum(1 for r in log if r[0] <= rows[len(rows) * i // 5 - 1][0]) for i in range(1, 6)]
+    ends = [len(rows) * i // 5 for i in range(1, 6)]
+    for i, (e, c) in enumerate(zip(ends, cut)):
+        a0, c0 = (ends[i - 1], cut[i - 1]) if i else (0, 0)
+        spark.createDataFrame(rows[a0:e] + ([end] if i == 4 else []), schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "a"))
+        spark.createDataFrame(log[c0:c if i < 4 else None], log_schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "c"))
+    one = lambda p, sch: spark.readStream.schema(sch).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / p))
+    stream = jobs.stream_incidents(one("a", schema).withColumns(more), one("c", log_schema), window_seconds=300, delay="0 seconds")
+    jobs.run_to_end(stream, str(tmp_path / "out"), str(tmp_path / "cp"))
+    got = spark.read.schema(stream.schema).parquet(str(tmp_path / "out")).groupBy("incident_uid").agg(
+        F.sum("alert_count").alias("n"), F.min_by("title", "seen_at").alias("title"), F.min_by("priority", "seen_at").alias("priority"))
+    wanted = found.select("incident_uid", "alert_count", "title", "priority")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, wanted.collect()))
+    assert state_rows(spark, str(tmp_path / "cp")) <= 2
+
+
 def test_scan_survives_a_restart(spark, tmp_path, monkeypatch):
     """Batches that end in the middle and are replayed give the findings of the batch; late rows are set aside."""
     logs = T.logs(spark, SF).filter("timestamp < '2024-01-12'")

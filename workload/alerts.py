@@ -202,6 +202,64 @@ def incident_members(spark, sf):
     return members.join(opened, "incident_uid").select("alert_uid", "src_ip", "opened_at")
 
 
+HELD = "list_filter(r.held, lambda x: s.t - x.a <= 172800000000)"
+FOLLOWED = {
+    "steps": ESCALATED["steps"], "chain": ESCALATED["chain"],
+    "opened": "SELECT DISTINCT src_ip, anchor, anchor // 3600000000 AS h FROM chain",
+    "acts": """
+  SELECT src_ip, anchor, anchor + 72000000000 AS t, CASE h % 2 WHEN 0 THEN 'CLOSED' ELSE 'MITIGATED' END AS status FROM opened WHERE h % 3 <> 0
+  UNION ALL SELECT src_ip, anchor, anchor + 108000000000, 'INVESTIGATING' FROM opened WHERE h % 4 = 0""",
+    "tagged": """
+  SELECT *, row_number() OVER (PARTITION BY src_ip ORDER BY t, kind, ua, status) AS rn FROM (
+    SELECT src_ip, t, 0 AS kind, CAST(NULL AS BIGINT) AS ua, CAST(NULL AS VARCHAR) AS status, n FROM steps
+    UNION ALL SELECT src_ip, t, 1, anchor, status, 0 FROM acts)""",
+    "folded": f"""
+  SELECT src_ip, rn, t, kind, n, t AS anchor, [{{'a': t, 'o': true}}] AS held FROM tagged WHERE rn = 1
+  UNION ALL
+  SELECT src_ip, rn, t, kind, n, CASE WHEN kind = 0 THEN coalesce(list_filter(kept, lambda x: x.o)[1].a, t) END,
+    CASE WHEN kind = 1 THEN list_transform(kept, lambda x: {{'a': x.a, 'o': CASE WHEN x.a = ua THEN status = 'INVESTIGATING' ELSE x.o END}})
+      WHEN len(list_filter(kept, lambda x: x.o)) = 0 THEN list_append(kept, {{'a': t, 'o': true}}) ELSE kept END
+  FROM (SELECT s.*, {HELD} AS kept FROM folded r JOIN tagged s ON s.src_ip = r.src_ip AND s.rn = r.rn + 1)""",
+}
+
+
+def incident_log(alerts):
+    """What analysts did: most incidents end after 20 hours, some are taken up again after 30."""
+    ip, hour = F.element_at("affected_ips", 1).alias("src_ip"), F.floor(F.unix_micros(F.col("created_at").cast("timestamp")) / 3600000000)
+    opened = A.incident_escalation(alerts, window_seconds=172800).select("incident_uid", ip, "created_at", hour.alias("h"))
+    ended = opened.filter("h % 3 <> 0").select(
+        "incident_uid", "src_ip", F.expr("created_at + INTERVAL 20 HOUR").alias("changed_at"),
+        F.when(F.col("h") % 2 == 0, "CLOSED").otherwise("MITIGATED").alias("status"))
+    again = opened.filter("h % 4 = 0").select(
+        "incident_uid", "src_ip", F.expr("created_at + INTERVAL 30 HOUR").alias("changed_at"), F.lit("INVESTIGATING").alias("status"))
+    return ended.unionByName(again)
+
+
+@query("incident_followup", sql(["alerts"], """
+SELECT 'Auto-escalated: ' || arg_min(s.title, s.o) AS title,
+  CASE WHEN arg_min(s.severity, s.o) = 'CRITICAL' THEN 'CRITICAL' ELSE 'HIGH' END AS priority,
+  make_timestamp(r.anchor) AS created_at, make_timestamp(max(s.t)) AS last_alert_at,
+  CAST(sum(s.n) AS BIGINT) AS alert_count, s.src_ip AS affected_ips
+FROM folded r JOIN steps s ON s.src_ip = r.src_ip AND s.t = r.t WHERE r.kind = 0 GROUP BY s.src_ip, r.anchor""", extra=FOLLOWED, recursive=True))
+def incident_followup(spark, sf):
+    """Incidents when some are closed, mitigated or taken up again meanwhile."""
+    a = T.alerts(spark, sf)
+    return A.incident_escalation(a, incident_log(a), window_seconds=172800).select(
+        "title", "priority", "created_at", "last_alert_at", "alert_count", "affected_ips")
+
+
+@query("incident_followup_members", sql(["alerts"], """
+SELECT a.alert_uid, r.src_ip AS src_ip, make_timestamp(r.anchor) AS opened_at
+FROM folded r JOIN alerts a ON a.src_ip = r.src_ip AND epoch_us(a.created_at) = r.t
+WHERE r.kind = 0 AND a.severity IN ('HIGH', 'CRITICAL') AND a.detection_source = 'rule'""", extra=FOLLOWED, recursive=True))
+def incident_followup_members(spark, sf):
+    a = T.alerts(spark, sf)
+    log = incident_log(a)
+    opened = A.incident_escalation(a, log, window_seconds=172800).select(
+        "incident_uid", F.element_at("affected_ips", 1).alias("src_ip"), F.col("created_at").alias("opened_at"))
+    return A.incident_members(a, log, window_seconds=172800).join(opened, "incident_uid").select("alert_uid", "src_ip", "opened_at")
+
+
 @query("alert_groups", sql(["alerts"], f"""
 SELECT src_ip, attack_type, http_path, {floor_to('created_at', 7 * 86400)} AS group_window,
   count(*) AS alert_count, CAST(sum(event_count) AS BIGINT) AS total_events,
