@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from duskwatch.functions import net
 from duskwatch.functions.times import FOREVER, at, ends_at, micros, seconds_between
 from duskwatch.plans.ranks import exact_rank_values
+from duskwatch.plans.skew import split_join
 
 # Attack type -> tactic, technique, technique name.
 MITRE = {
@@ -120,13 +121,14 @@ def join_ranges(ips: DataFrame, ranges: DataFrame, *, ip: str, cols: list[str])
 def geo_enrich(logs: DataFrame, geo_ranges: DataFrame, *, ip: str = "src_ip") -> DataFrame:
     """Country, city, coordinates and ASN by source address.
 
-    Each distinct address is resolved once. Private addresses are marked
+    Each distinct address is resolved once, and rows of common addresses are spread over tasks (``split_join``). Private addresses are marked
     PRIVATE, ``0.0.0.0`` and missing addresses get nothing.
     """
     cols = ["country", "city", "latitude", "longitude", "asn"]
     out = ["geo_country", "geo_city", "geo_lat", "geo_lon", "geo_asn"]
     known = join_ranges(logs, geo_ranges, ip=ip, cols=cols)
-    joined = logs.drop(*out).join(known, ip, "left")
+    bare = logs.drop(*out)
+    joined = split_join(bare, known, ip, by=["id"] if "id" in bare.columns else bare.columns)
     private = F.coalesce(net.is_private(F.col(ip)) & (F.col(ip) != "0.0.0.0"), F.lit(False))
     return joined.select(
         *[c for c in logs.columns if c not in out],

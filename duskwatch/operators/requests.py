@@ -14,6 +14,7 @@ from duskwatch.functions.times import floor_to, from_micros, micros
 from duskwatch.operators.patterns import ALLOWED_PATHS, DEFAULT_PATTERNS, VERDICTS
 from duskwatch.plans.fold import anchored, ordered_fold
 from duskwatch.plans.settle import settle
+from duskwatch.plans.skew import split_join
 from duskwatch.plans.tiles import first_n
 
 _TAG = r"</?[a-z]+[\s/>]"
@@ -197,7 +198,7 @@ def ddos_score(requests: DataFrame, *, segment_seconds: int = 3600, repeated_age
     limit = uses.groupBy("_ua").agg(
         F.count("*").alias("_n"), F.max(F.struct("_us", "id")).alias("_last")
     ).filter(F.col("_n") == repeated_agent).select("_ua", "_last")
-    rows = rows.join(limit, "_ua", "left").join(known, ["_ip", "_second"])
+    rows = split_join(rows, limit, "_ua", by=["id"]).join(known, ["_ip", "_second"])
     order = Window.partitionBy("_ip", "_second").orderBy("_us", "id")
     so_far = order.rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumns({

@@ -13,6 +13,7 @@ from duskwatch.operators.models import average_path, score_anomalies, train_anom
 from duskwatch.plans.fold import anchored, ordered_fold
 from duskwatch.plans.ranks import exact_rank_values
 from duskwatch.plans import tiles
+from duskwatch.plans.skew import split_join
 from duskwatch.plans.tiles import run_starts
 from duskwatch.sources import events as ev
 from duskwatch.sources import ingest
@@ -161,6 +162,26 @@ def test_busy_group_is_spread_over_time(spark):
         spark.conf.set("spark.sql.adaptive.enabled", "true")
 
 
+def test_split_join_spreads_common_keys(spark):
+    """A key with a third of the rows and one row in six without a key: right rows, even tasks, without adaptive execution."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        k = F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 6 == 1, None).otherwise(F.concat(F.lit("k"), F.col("id").cast("string")))
+        large = spark.range(12000).select("id", k.alias("k"))
+        facts = large.filter("k = 'hot' OR id % 4 = 0").select("k", F.concat(F.lit("v"), "k").alias("v")).distinct()
+        joined = split_join(large, facts, "k", by=["id"], parts=64)
+        assert "SortMergeJoin" in joined._jdf.queryExecution().executedPlan().toString()
+        sizes = sorted(r["count"] for r in joined.groupBy(F.spark_partition_id().alias("p")).count().collect())
+        assert len(sizes) == 4 and sizes[-1] < 2 * sizes[0]
+        got = sorted(map(str, joined.select("id", "k", "v").collect()))
+        assert got == sorted(map(str, large.join(facts, "k", "left").select("id", "k", "v").collect())) and len(got) == 12000
+        assert split_join(large.limit(0), facts, "k", by=["id"]).count() == 0
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
 def test_rules_edge_conditions(spark):
     logs = log_frame(spark, [(1, 0, "a", {"http_path": None}), (2, 1, "a", {"http_path": "/X.php?CMD"})])
     def fires(*conditions):
