@@ -349,14 +349,17 @@ def latest_state(
         *last, *times, F.max("changed_at").alias("updated_at"), F.count("*").alias("changes"))
 
 
+# Fields that changes write, and the statuses that set a time.
+ALERT_STATE = {"fields": ["status", "assigned_to", "incident_id"], "stamps": {"resolved_at": ["RESOLVED", "FALSE_POSITIVE"]}}
+INCIDENT_STATE = {"fields": ["status", "priority", "assigned_to"], "stamps": {"resolved_at": ["MITIGATED"], "closed_at": ["CLOSED"]}}
+
+
 def alert_state(changes: DataFrame) -> DataFrame:
-    return latest_state(changes, ["status", "assigned_to", "incident_id"],
-                        {"resolved_at": ["RESOLVED", "FALSE_POSITIVE"]})
+    return latest_state(changes, **ALERT_STATE)
 
 
 def incident_state(changes: DataFrame) -> DataFrame:
-    return latest_state(changes, ["status", "priority", "assigned_to"],
-                        {"resolved_at": ["MITIGATED"], "closed_at": ["CLOSED"]})
+    return latest_state(changes, **INCIDENT_STATE)
 
 
 def alert_feed(alerts: DataFrame, *, min_severity: str = "HIGH") -> DataFrame:

@@ -4,11 +4,12 @@ import datetime as dt
 import hashlib
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from duskwatch.operators import alerts, requests, rules
 from duskwatch.schema import HITS
-from duskwatch.streaming import jobs, scan
+from duskwatch.streaming import jobs, scan, state
 from tests.conftest import SF
 from workload import tables as T
 from workload.alerts import LIMITS
@@ -198,3 +199,72 @@ def test_scan_survives_a_restart(spark, tmp_path, monkeypatch):
     got = sorted(map(str, scan.scan_hits(spark, str(tmp_path / "scan")).select(*names).collect()))
     assert got == sorted(map(str, alerts.detect(closed, cycle=86400, limits=LIMITS, across_cycles=False).select(*names).collect())) and got
     assert spark.read.schema(logs.schema).parquet(str(tmp_path / "scan/late")).count() == 3
+
+
+def test_state_kept_from_changes(spark, tmp_path, monkeypatch):
+    """Late changes, a batch that ends in the middle and one that is sent twice: the state is that of the batch and of a loop over the changes."""
+    rng = random.Random(12)
+    log = []
+    for i in range(600):
+        key = rng.choice([1, 1, 1, *range(2, 30), None])
+        log.append((key, T0 + dt.timedelta(seconds=rng.randrange(0, 500)), i, rng.choice(["NEW", "RESOLVED", "FALSE_POSITIVE", None]),
+                    rng.choice([None, None, 5, 6]), rng.choice([None, 9])))
+    schema = "entity_id bigint, changed_at timestamp_ntz, seq bigint, status string, assigned_to bigint, incident_id bigint"
+    loads = [log[:250], log[250:253], [], log[253:]]
+    root = str(tmp_path / "state")
+
+    def run():
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        state.stream_alert_state(stream, path=root, checkpoint=str(tmp_path / "cp"), buckets=4).awaitTermination()
+
+    real, calls = state._Versions.put, []
+
+    def fails(self, batch, held):
+        calls.append(batch)
+        if len(calls) == 2:
+            raise RuntimeError("ended")
+        real(self, batch, held)
+
+    monkeypatch.setattr(state._Versions, "put", fails)
+    read = lambda: sorted(map(str, state.read_state(spark, root, fields=alerts.ALERT_STATE["fields"]).collect()))
+    for n, load in enumerate(loads):
+        spark.createDataFrame(load, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        if n == 1:
+            before = read()
+            with pytest.raises(Exception):
+                run()
+            assert read() == before
+        run()
+    held = {}
+    for key, at, seq, *values in sorted(log, key=lambda r: (r[1], r[2])):
+        mine = held.setdefault(key, [None, None, None, None, None, 0])
+        for j, v in enumerate(values):
+            mine[j] = mine[j] if v is None else v
+        mine[3] = at if values[0] in ("RESOLVED", "FALSE_POSITIVE") else mine[3]
+        mine[4], mine[5] = at, mine[5] + 1
+    rows = state.read_state(spark, root, fields=alerts.ALERT_STATE["fields"])
+    assert {r[0]: list(r[1:]) for r in rows.select(
+        "entity_id", "status", "assigned_to", "incident_id", "resolved_at", "updated_at", "changes").collect()} == held
+    batch = alerts.alert_state(spark.createDataFrame(log, schema))
+    assert sorted(map(str, batch.select(*rows.columns).collect())) == read()
+    after = read()
+    last = max((tmp_path / "cp/commits").glob("[0-9]*"), key=lambda p: int(p.name))
+    done = len(calls)
+    last.unlink()
+    (last.parent / f".{last.name}.crc").unlink(missing_ok=True)
+    run()
+    assert len(calls) == done + 1 and read() == after
+    assert len(list((tmp_path / "state/versions").iterdir())) == 2
+
+
+def test_state_of_another_checkpoint(spark, tmp_path):
+    schema = "entity_id bigint, changed_at timestamp_ntz, seq bigint, status string, priority string, assigned_to bigint"
+    for i in range(2):
+        spark.createDataFrame([(i, T0, i, "CLOSED", None, None)], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        state.stream_incident_state(stream, path=str(tmp_path / "state"), checkpoint=str(tmp_path / "cp")).awaitTermination()
+    again = state.stream_incident_state(stream, path=str(tmp_path / "state"), checkpoint=str(tmp_path / "cp2"))
+    with pytest.raises(Exception, match="another checkpoint"):
+        again.awaitTermination()
+    with pytest.raises(ValueError):
+        state.read_state(spark, str(tmp_path / "none"), fields=[])

@@ -10,17 +10,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from duskwatch.functions.text import any_rlike
+from duskwatch.operators import alerts as A
 from duskwatch.operators import behavior as B
 from duskwatch.operators import correlate as C
 from duskwatch.operators import rules as R
 from duskwatch.schema import HITS
 from duskwatch.streaming import jobs as J
-from duskwatch.streaming import scan
+from duskwatch.streaming import scan, state
 from workload import lines as L
 from workload import tables as T
 from workload.alerts import DEDUP, HIT_COLS, HITS_EXTRA, MATCH
 from workload.alerts import LIMITS as DETECTOR_LIMITS
-from workload.common import query
+from workload.common import ORACLES, query
 from workload.ingest import JSON_SQL, NOW
 from workload.requests import LIMITS, REPLAY
 from workload.rules import EXTRA_SIGNATURES, RESET_EXTRA, TEST_THRESHOLDS, tagged_logs
@@ -196,3 +197,23 @@ def stream_scan_alerts(spark, sf):
     rows = finished(spark, "scan_alerts", J.stream_alert_dedup(hits, window_seconds=172800, delay="0 seconds"))
     return rows.groupBy("alert_uid", "source", "rule_id", "src_ip", "attack_type", "http_path", "created_at").agg(
         F.max("seen_at").alias("last_seen"), F.sum("event_count").alias("event_count"), F.max("confidence").alias("confidence")).drop("alert_uid")
+
+
+def _kept_state(spark, name: str, changes: DataFrame, job, fields: list[str]) -> DataFrame:
+    """Changes in three loads that overlap in time, each worked off by a run of its own, then the state."""
+    root = staging(spark, name)
+    for load in range(3):
+        changes.filter(F.col("seq") % 3 == load).write.mode("append").parquet(f"{root}/in")
+        stream = spark.readStream.schema(changes.schema).parquet(f"{root}/in")
+        job(stream, path=f"{root}/state", checkpoint=f"{root}/checkpoint", buckets=8).awaitTermination()
+    return state.read_state(spark, f"{root}/state", fields=fields)
+
+
+@query("stream_alert_state", ORACLES["alert_state"])
+def stream_alert_state(spark, sf):
+    return _kept_state(spark, "alert_state", T.alert_changes(spark, sf), state.stream_alert_state, A.ALERT_STATE["fields"])
+
+
+@query("stream_incident_state", ORACLES["incident_state"])
+def stream_incident_state(spark, sf):
+    return _kept_state(spark, "incident_state", T.incident_changes(spark, sf), state.stream_incident_state, A.INCIDENT_STATE["fields"])
