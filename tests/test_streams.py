@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from duskwatch.operators import alerts, requests, rules
 from duskwatch.schema import HITS
-from duskwatch.streaming import jobs, scan, state
+from duskwatch.streaming import jobs, scan, sessions, state
 from tests.conftest import SF
 from workload import tables as T
 from workload.alerts import LIMITS
@@ -268,3 +268,50 @@ def test_state_of_another_checkpoint(spark, tmp_path):
         again.awaitTermination()
     with pytest.raises(ValueError):
         state.read_state(spark, str(tmp_path / "none"), fields=[])
+
+
+def test_sessions_end_by_silence(spark, tmp_path):
+    """Sessions across cycle borders and batches: a loop over the rows, the batch and the stream agree."""
+    rng = random.Random(31)
+    ranks = ["INFO", "LOW", "MEDIUM", "HIGH", "CRITICAL"]
+    rows, clock = [], {}
+    for i in range(500):
+        sid = rng.choice(["hot", "hot", "a", "b", "c", "d", ""])
+        clock[sid] = clock.get(sid, 50 + rng.randrange(20)) + rng.choice([0, 0, 1, 2, 5, 19, 20, 21, 40])
+        grade = ranks[min(4, i // 40 % 5)] if sid in "ab" else rng.choice(ranks)
+        rows.append((T0 + dt.timedelta(seconds=clock[sid], microseconds=rng.randrange(10**6)), i, sid, f"ip{rng.randrange(3)}",
+                     rng.choice(["NONE", "NONE", "XSS", "SQLI", "RCE"]), grade, rng.choice(["", "DE", "FR", "US", "BR"])))
+    rows.sort()
+    want = []
+    for sid in sorted({r[2] for r in rows} - {""}):
+        mine = [r for r in rows if r[2] == sid]
+        runs = [[mine[0]]]
+        for r in mine[1:]:
+            silent = r[0].replace(microsecond=0) - runs[-1][-1][0].replace(microsecond=0) > dt.timedelta(seconds=20)
+            runs.append([r]) if silent else runs[-1].append(r)
+        for run in runs:
+            kinds, grades = sorted({r[4] for r in run} - {"NONE"}), [ranks.index(r[5]) for r in run]
+            edges = {g: [r[1] for r in run if ranks.index(r[5]) == g] for g in set(grades)}
+            ids = {i for e in edges.values() for i in (e[0], e[-1])}
+            base = (sid, run[0][0], run[-1][0], run[0][3], len(run), [r[1] for r in run if r[1] in ids])
+            if len(run) >= 2 and len(kinds) >= 2:
+                want.append((*base, "Session multi-attack: " + ", ".join(kinds)))
+            if len(run) >= 3 and grades == sorted(grades) and grades[-1] >= 3:
+                want.append((*base, "Escalating severity in session"))
+            if len({r[6] for r in run} - {""}) >= 3:
+                want.append((*base, "Multi-country session anomaly"))
+    assert len({w[-1] for w in want}) > 3 and any(w[-1].startswith("Esc") for w in want) and len(want) > 30
+    schema = "timestamp timestamp_ntz, id bigint, session_id string, src_ip string, attack_type string, severity string, geo_country string"
+    cols = ["session_id", "cycle_start", "seen_at", "src_ip", "event_count", "log_ids", "title"]
+    got = lambda df: sorted(map(str, (tuple(r) for r in df.select(*cols).collect())))
+    batch = sessions.stream_silent_sessions(spark.createDataFrame(rows, schema), gap_seconds=20)
+    assert got(batch) == sorted(map(str, want))
+    end = rows + [(rows[-1][0] + dt.timedelta(hours=1), 9999, "end", "ip", "NONE", "INFO", "")]
+    stream = sessions.stream_silent_sessions(feed(spark, str(tmp_path / "in"), end, schema, 6), gap_seconds=20, delay="0 seconds")
+    jobs.run_to_end(stream, str(tmp_path / "out"), str(tmp_path / "cp"))
+    written = spark.read.schema(stream.schema).parquet(str(tmp_path / "out"))
+    assert got(written) == sorted(map(str, want))
+    hits = spark.readStream.schema(HITS).parquet(str(tmp_path / "out"))
+    jobs.run_to_end(jobs.stream_alert_dedup(hits, delay="0 seconds"), str(tmp_path / "alerts"), str(tmp_path / "cp2"))
+    assert spark.read.parquet(str(tmp_path / "alerts")).count() > 0
+    assert got(sessions.stream_silent_sessions(spark.createDataFrame([], schema))) == []

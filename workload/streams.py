@@ -16,7 +16,7 @@ from duskwatch.operators import correlate as C
 from duskwatch.operators import rules as R
 from duskwatch.schema import HITS
 from duskwatch.streaming import jobs as J
-from duskwatch.streaming import scan, state
+from duskwatch.streaming import scan, sessions, state
 from workload import lines as L
 from workload import tables as T
 from workload.alerts import DEDUP, HIT_COLS, HITS_EXTRA, MATCH
@@ -217,3 +217,35 @@ def stream_alert_state(spark, sf):
 @query("stream_incident_state", ORACLES["incident_state"])
 def stream_incident_state(spark, sf):
     return _kept_state(spark, "incident_state", T.incident_changes(spark, sf), state.stream_incident_state, A.INCIDENT_STATE["fields"])
+
+
+GAP = 6 * 3600
+SILENT = {
+    "ul": f"""SELECT *, split_part(session_id, '-', 1) AS sid, {rank('severity')} AS r, epoch_us("timestamp") // 1000000 AS sec FROM logs WHERE session_id <> ''""",
+    "nb": """SELECT *, sum(new) OVER (PARTITION BY sid ORDER BY sec RANGE UNBOUNDED PRECEDING) AS run FROM (
+      SELECT *, CASE WHEN sec - lag(sec) OVER (PARTITION BY sid ORDER BY "timestamp", id) <= %d THEN 0 ELSE 1 END AS new FROM ul)""" % GAP,
+    "od": """SELECT *, lag(r) OVER (PARTITION BY sid, run ORDER BY "timestamp", id) AS p FROM nb""",
+    "ss": f"""SELECT sid, run, min("timestamp") AS started_at, max("timestamp") AS seen_at, arg_min(src_ip, ("timestamp", id)) AS src_ip,
+      count(*) AS n, list_sort(list(DISTINCT attack_type) FILTER (attack_type <> 'NONE')) AS k,
+      count(DISTINCT geo_country) FILTER (geo_country <> '') AS c, bool_and(p IS NULL OR p <= r) AS up, arg_max(r, ("timestamp", id)) AS fin
+      FROM od GROUP BY 1, 2 HAVING max(sec) + 1 + {GAP} <= (SELECT epoch_us(max("timestamp")) / 1000000.0 FROM logs)""",
+    "sf": """SELECT sid, run, started_at, seen_at, src_ip, n, 'Session multi-attack: ' || array_to_string(k, ', ') AS title,
+        'correlation.session' AS source, 'OTHER' AS attack_type, 0.8::DOUBLE AS confidence FROM ss WHERE n >= 2 AND len(k) >= 2
+      UNION ALL SELECT sid, run, started_at, seen_at, src_ip, n, 'Escalating severity in session', 'correlation.session', NULL, 0.75 FROM ss
+        WHERE n >= 3 AND up AND fin >= 3
+      UNION ALL SELECT sid, run, started_at, seen_at, src_ip, n, 'Multi-country session anomaly', 'behavioral.geo', NULL, 0.85 FROM ss WHERE c >= 3""",
+}
+
+
+@query("stream_silent_sessions", sql(["logs"], """
+SELECT sid AS session_id, started_at AS cycle_start, seen_at, src_ip, n AS event_count, title, source, attack_type, confidence, 'HIGH' AS severity,
+  (SELECT string_agg(id, ',' ORDER BY "timestamp", id) FROM (
+    SELECT DISTINCT id, "timestamp" FROM (
+      SELECT id, "timestamp", row_number() OVER (PARTITION BY r ORDER BY "timestamp", id) AS a,
+        row_number() OVER (PARTITION BY r ORDER BY "timestamp" DESC, id DESC) AS b
+      FROM nb WHERE nb.sid = sf.sid AND nb.run = sf.run) WHERE a = 1 OR b = 1)) AS log_ids FROM sf""", extra=SILENT))
+def stream_silent_sessions(spark, sf):
+    """Sessions of a user, whatever the day, until six hours of silence."""
+    logs = T.logs(spark, sf, stream=True).withColumn("session_id", F.split_part("session_id", F.lit("-"), F.lit(1)))
+    hits = finished(spark, "silent", sessions.stream_silent_sessions(logs, gap_seconds=GAP, delay="0 seconds"))
+    return hits.select("session_id", "cycle_start", "seen_at", "src_ip", "event_count", "title", "source", "attack_type", "confidence", "severity", "log_ids")
