@@ -7,15 +7,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import (
     IDF, CountVectorizer, MaxAbsScaler, NGram, Normalizer, OneHotEncoder, RegexTokenizer, SQLTransformer, StringIndexer,
     VectorAssembler,
 )
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import VectorUDT
+from pyspark.ml.param.shared import HasInputCol, HasOutputCol
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from duskwatch.functions import severity as sev
 from duskwatch.plans.tiles import first_n
@@ -52,8 +56,27 @@ def prepare_features(rows: DataFrame) -> DataFrame:
     return rows.withColumns(out)
 
 
+class Dampen(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
+    """Pipeline stage: counts ``n`` of a vector become ``1 + ln(n)``, zeros stay; null stays null.
+
+    A vector is a struct below its type, of which only the values change, so sparse ones stay sparse. Going back
+    to the type takes a JSON reader, as no cast leads there. No row leaves the JVM.
+    """
+
+    def __init__(self, inputCol: str | None = None, outputCol: str | None = None):
+        super().__init__()
+        self._set(**{k: v for k, v in (("inputCol", inputCol), ("outputCol", outputCol)) if v is not None})
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        vector = F.unwrap_udt(F.col(self.getInputCol()))
+        damped = vector.withField("values", F.transform(vector["values"], lambda n: F.when(n > 0, 1 + F.log(n)).otherwise(n)))
+        schema = T.StructType([T.StructField("v", VectorUDT())])
+        text = F.to_json(F.struct(F.when(vector.isNotNull(), damped).alias("v")))
+        return dataset.withColumn(self.getOutputCol(), F.from_json(text, schema)["v"])
+
+
 def severity_pipeline(rows: int) -> Pipeline:
-    """Word and word-pair weights of unit length, one-hot categories and scaled numbers into a logistic regression.
+    """Word and word-pair weights from dampened counts, of unit length, one-hot categories and scaled numbers into a logistic regression.
 
     The penalty on the weights is that of one more row among ``rows``.
     """
@@ -62,7 +85,8 @@ def severity_pipeline(rows: int) -> Pipeline:
         NGram(n=2, inputCol="_words", outputCol="_pairs"),
         SQLTransformer(statement="SELECT *, concat(_words, _pairs) AS _terms FROM __THIS__"),
         CountVectorizer(inputCol="_terms", outputCol="_counts", vocabSize=VOCABULARY, minDF=1.0),
-        IDF(inputCol="_counts", outputCol="_weighted"),
+        Dampen(inputCol="_counts", outputCol="_damped"),
+        IDF(inputCol="_damped", outputCol="_weighted"),
         Normalizer(inputCol="_weighted", outputCol="_tfidf", p=2.0),
         StringIndexer(inputCols=CATEGORIES, outputCols=[f"_i_{c}" for c in CATEGORIES], handleInvalid="keep"),
         OneHotEncoder(inputCols=[f"_i_{c}" for c in CATEGORIES], outputCols=[f"_o_{c}" for c in CATEGORIES]),
