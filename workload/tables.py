@@ -58,21 +58,26 @@ def user_ip(user: Column) -> Column:
                     (user % 256).cast("string"))
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Share out a table that comes in fewer pieces than there are cores.
+#: Rows of a piece of a table that is shared out.
+PIECE = 25_000
 
-    For work that costs far more per row than moving the row. A table of many
-    files stays as it is. ``df`` must be a plain scan.
+
+def spread(df: DataFrame) -> DataFrame:
+    """Share out a table in pieces of ``PIECE`` rows, and at least one for each core.
+
+    For work that costs far more per row than moving the row. How a table is cut into files and row groups
+    says little about how many rows a task gets, and tasks must not grow with the table. Rows go by a hash of all their columns, as
+    keys may be null. ``df`` must be a plain scan, which is counted by its footers.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+    pieces = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // PIECE))
+    return df.repartition(pieces, *df.columns)
 
 
 def logs(
     spark: SparkSession, sf: str, *, with_k: bool = False, stream: bool = False, shared: bool = False
 ) -> DataFrame:
     e = table(spark, sf, "events", stream=stream)
-    e = spread(e, "event_id") if shared else e
+    e = spread(e) if shared else e
     k = F.get_json_object("props", "$.k").cast("int")
     t = F.col("event_type")
     e = e.withColumn("k", k)
