@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from duskwatch.functions import severity as sev
+from duskwatch.functions.prefilter import groups, possible
 from duskwatch.functions.text import html_unescape, matches, url_decode
 from duskwatch.plans.settle import settle
 
@@ -179,13 +180,16 @@ def agent_classes(requests: DataFrame) -> DataFrame:
         F.count("*").alias("requests"), F.count_distinct("client_ip").alias("ips"))
 
 
-def _matches(texts: Column, regexes: list[str]) -> Column:
-    """How many patterns match one of the lower-case texts; counted only where any does."""
+def _matches(texts: Column, regexes: list[str], first: int) -> Column:
+    """How many patterns match one of the lower-case texts, looked for only where ``_may`` has their group, from place ``first`` on, possible."""
     def hit(patterns: list[str]) -> Column:
         return F.exists(texts, lambda t: matches(t, patterns, lowered=True))
 
-    hits = F.array(*[hit([p]) for p in regexes])
-    return F.when(hit(regexes), F.size(F.filter(hits, lambda x: x))).otherwise(0)
+    found = F.lit(0)
+    for i, some in enumerate(groups(regexes), first):
+        hits = F.array(*[hit([p]) for p in some])
+        found = found + F.when(F.when(F.col("_may")[i], hit(some)), F.size(F.filter(hits, lambda x: x))).otherwise(0)
+    return found
 
 
 def heuristic_score(
@@ -201,11 +205,17 @@ def heuristic_score(
     given = requests.columns
     rows = with_query_profile(requests.withColumn("_url", F.coalesce("url", F.lit(""))), "_url")
     rows = with_variants(rows.withColumn("_body", F.coalesce("body", F.lit(""))), "_body", "_b")
-    forms = F.array(*[F.lower(c) for c in ("_u0", "_u1", "_u2", "_b0", "_b1", "_b2")])
+    names = ["_u0", "_u1", "_u2", "_b0", "_b1", "_b2"]
+    forms = F.array(*[F.lower(c) for c in names])
     rows = settle(rows, {"_texts": F.array_distinct(F.filter(forms, lambda t: t.isNotNull()))})
     texts = F.col("_texts")
-
-    classes = {c: F.least(F.lit(1.0), _matches(texts, p) * F.lit(0.22)) for c, p in patterns.items()}
+    tests = [(list(range(len(names))), p) for p in patterns.values()]
+    rows = rows.withColumn("_may", possible(
+        [*[F.lower(c) for c in names], F.lower("_url")], [*tests, ([len(names)], SENSITIVE_ENDPOINTS)]))
+    first, classes = 0, {}
+    for c, p in patterns.items():
+        classes[c] = F.least(F.lit(1.0), _matches(texts, p, first) * F.lit(0.22))
+        first += len(groups(p))
     rows = rows.withColumns({f"_c_{c}": v for c, v in classes.items()})
     depth, risky, ratio = F.col("encoded_depth"), F.col("high_risk_params"), F.col("special_ratio")
     abuse = F.greatest(
@@ -226,7 +236,7 @@ def heuristic_score(
     ddos = F.coalesce(F.col("ddos_score").cast("double"), F.lit(0.0)) if "ddos_score" in given else F.lit(0.0)
     denied = F.coalesce("blacklisted", F.lit(False)) if "blacklisted" in given else F.lit(False)
     rows = rows.withColumns({
-        "_abuse": abuse, "_sensitive": _matches(F.array(low), SENSITIVE_ENDPOINTS),
+        "_abuse": abuse, "_sensitive": _matches(F.array(low), SENSITIVE_ENDPOINTS, first),
         "_headers": F.lower(headers), "_agent": agent, "_kind": kind,
         "_threat": F.when(threat.isin("none", ""), 0.0).otherwise(F.coalesce(F.try_element_at(table, threat), guess)),
         "_ddos": _clamp(ddos / 10.0), "_denied": F.when(denied, 1.0).otherwise(0.0),
