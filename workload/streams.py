@@ -162,15 +162,16 @@ def stream_alert_feed(spark, sf):
 
 
 def _scan(spark, sf) -> str:
-    """All detectors over three files in time order, a batch each; the folder of the findings."""
+    """All detectors over three loads in time order, a batch each; the folder of the findings."""
     root = staging(spark, "scan")
     logs = tagged_logs(spark, sf)
     edges = ["2024-01-01", "2024-01-11", "2024-01-21", "2025-01-01"]
     for a, b in zip(edges, edges[1:]):
-        logs.filter((F.col("timestamp") >= a) & (F.col("timestamp") < b)).coalesce(1).write.mode("append").parquet(f"{root}/in")
-    stream = spark.readStream.schema(logs.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
-    scan.stream_scan(stream, path=f"{root}/scan", checkpoint=f"{root}/checkpoint", cycle=86400, delay=0, signatures=EXTRA_SIGNATURES,
-                     limits=DETECTOR_LIMITS).awaitTermination()
+        logs.filter((F.col("timestamp") >= a) & (F.col("timestamp") < b)).write.mode("append").parquet(f"{root}/in")
+        # A run takes all files that came since the one before as one batch, however many they are.
+        stream = spark.readStream.schema(logs.schema).parquet(f"{root}/in")
+        scan.stream_scan(stream, path=f"{root}/scan", checkpoint=f"{root}/checkpoint", cycle=86400, delay=0, signatures=EXTRA_SIGNATURES,
+                         limits=DETECTOR_LIMITS).awaitTermination()
     return f"{root}/scan"
 
 
