@@ -11,6 +11,12 @@ from duskwatch.session import shuffle_partitions
 COMMON = 1000
 
 
+def common_keys(df: DataFrame, keys: list[str]) -> DataFrame:
+    """The keys, at most ``COMMON``, with at least one in ``COMMON`` rows, by exact counts that are combined before they are shuffled."""
+    counts = df.groupBy(*keys).agg(F.count("*").alias("_n"))
+    return counts.filter(F.col("_n") * COMMON >= counts.agg(F.sum("_n").alias("n")).scalar()).select(*keys)
+
+
 def split_join(large: DataFrame, facts: DataFrame, key: str, *, by: list[str], parts: int | None = None) -> DataFrame:
     """Left join of ``large`` with ``facts``, one row per ``key``, with common keys spread over ``parts`` tasks.
 

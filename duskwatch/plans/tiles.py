@@ -54,7 +54,9 @@ def run_starts(
 CELLS_US = (1_000_000, 3_600_000_000)
 
 
-def running(df: DataFrame, *, keys: list[str], us: str, cells: tuple[int, ...] = CELLS_US) -> DataFrame:
+def running(
+    df: DataFrame, *, keys: list[str], us: str, cells: tuple[int, ...] = CELLS_US, common: DataFrame | None = None
+) -> DataFrame:
     """Running sums per key whose rows are spread over time, however many a key has.
 
     ``df`` has one row per key and ``us``, a number ``_d`` to add up and a mark ``_m`` (true or null). Adds ``_sum``, the
@@ -65,8 +67,18 @@ def running(df: DataFrame, *, keys: list[str], us: str, cells: tuple[int, ...] =
     the next one, and the totals of the last ones by key, so no task gets more of a key than
     a second of distinct microseconds, the seconds of an hour, or all its hours. Each level
     gives on its sum and the sum at its last mark, which is all that the next cell needs to know.
+
+    Cells cost a sort and a join each. With ``common``, a short table of the keys that hold much of ``df``, only these
+    get cells and all others are added up in one pass.
     """
-    rows = _running(df.withColumn("_m", F.when(F.col("_m"), F.col("_d"))), keys, us, cells)
+    df = df.withColumn("_m", F.when(F.col("_m"), F.col("_d")))
+    if common is None:
+        rows = _running(df, keys, us, cells)
+    else:
+        # The marker stands behind a left join, so that both halves read the same rows and not their own.
+        told = df.join(F.broadcast(common.select(*keys, F.lit(True).alias("_common"))), keys, "left")
+        direct = _running(told.filter("_common IS NULL").drop("_common"), keys, us, ())
+        rows = direct.unionByName(_running(told.filter("_common").drop("_common"), keys, us, cells))
     return rows.withColumns({"_sum": F.col("_sum") + F.col("_d")}).withColumnRenamed("_before", "_last")
 
 
@@ -74,9 +86,11 @@ def _running(df: DataFrame, keys: list[str], at: str, cells: tuple[int, ...]) ->
     """Sum of ``_d`` before each row as ``_sum``, and as ``_before`` the sum at the last earlier row with ``_m``, which counts from its own row."""
     part = list(keys)
     if cells:
-        df = df.withColumn("_cell", F.floor(F.col(at) / F.lit(cells[0])))
+        # Surely not null, so that joins by it put no condition below the shuffle, which both sides can then share.
+        df = df.withColumn("_cell", F.coalesce(F.floor(F.col(at) / F.lit(cells[0])), F.lit(0)))
         part.append("_cell")
-    before = Window.partitionBy(*part).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+    # The hash goes first, as rows are sorted by it much faster than by text.
+    before = Window.partitionBy(F.xxhash64(*keys), *part).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
     df = df.withColumn("_sum", F.coalesce(F.sum("_d").over(before), F.lit(0)))
     df = df.withColumn("_before", F.last(F.col("_sum") + F.col("_m"), ignorenulls=True).over(before))
     if not cells:
@@ -92,6 +106,23 @@ def _running(df: DataFrame, keys: list[str], at: str, cells: tuple[int, ...]) ->
     }).drop("_cell", "_sum0", "_before0")
 
 
+def stretches(df: DataFrame, *, keys: list[str], us: str, width: str) -> DataFrame:
+    """First and last times, ``lo`` and ``hi``, of the stretches of rows of a key less than ``width`` microseconds apart.
+
+    Rows are first put together, before the shuffle, in cells as wide as the gap: all rows of a cell belong together, and a
+    cell can only go on with the next one. So a key brings at most one row per ``width`` of time, however many it
+    has. ``width`` is a column that is the same for all rows of a key. One row is given per cell with ``lo`` null unless a stretch begins in it, and ``hi`` null
+    unless one ends in it.
+    """
+    cells = df.groupBy(*keys, width, F.floor(F.col(us) / F.col(width)).alias("_cell")).agg(F.min(us).alias("lo"), F.max(us).alias("hi"))
+    w = Window.partitionBy(F.xxhash64(*keys), *keys).orderBy("_cell")
+    prior, following = F.lag("hi").over(w), F.lead("lo").over(w)
+    near = cells.withColumns({"_prior": prior, "_next": following})
+    return near.select(
+        *keys, width, F.when(F.col("_prior").isNull() | (F.col("_prior") + F.col(width) <= F.col("lo")), F.col("lo")).alias("lo"),
+        F.when(F.col("_next").isNull() | (F.col("hi") + F.col(width) <= F.col("_next")), F.col("hi")).alias("hi"))
+
+
 def earlier(df: DataFrame, *, keys: list[str], us: str, cells: tuple[int, ...] = CELLS_US) -> DataFrame:
     """Adds ``_prior``, the time of the row before of the same key; ``df`` has one row per key and ``us``.
 
