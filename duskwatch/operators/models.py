@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -22,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from duskwatch.functions import severity as sev
+from duskwatch.plans.kept import kept
 from duskwatch.plans.tiles import first_n
 from duskwatch.schema import SEVERITIES
 
@@ -107,15 +109,25 @@ def train_severity_model(rows: DataFrame, *, key: list[str], test: Column | None
 
     Rows are split by a hash of their key, so the split is the same every time, or by ``test``.
     Classes weigh alike. Returns the model and a report with one row per class.
+
+    Texts are read twice, for the vocabulary and for the dampened counts, which are kept in the shared folder; all other stages and the report
+    work on these.
     """
     frame = _indexed(rows).withColumn("_test", F.pmod(F.xxhash64(*key), F.lit(5)) == 0 if test is None else test)
-    train, test = frame.filter(~F.col("_test")), frame.filter("_test")
-    counts = train.groupBy("label_index").agg(F.count("*").alias("_n"))
+    counts = frame.filter(~F.col("_test")).groupBy("label_index").agg(F.count("*").alias("_n"))
     total = counts.agg(F.sum("_n").alias("_all"), F.count("*").alias("_k")).withColumn("_j", F.lit(1))
     weights = counts.withColumn("_j", F.lit(1)).join(total, "_j").select(
-        "label_index", (F.col("_all") / (F.col("_k") * F.col("_n"))).alias("class_weight"))
-    model = severity_pipeline(train.count()).fit(train.join(F.broadcast(weights), "label_index"))
-    return model, class_report(model.transform(test))
+        "label_index", "_all", (F.col("_all") / (F.col("_k") * F.col("_n"))).alias("class_weight"))
+    told = weights.collect()  # one row per class
+    stages = severity_pipeline(told[0]["_all"] if told else 0).getStages()
+    texts = 1 + next(i for i, s in enumerate(stages) if isinstance(s, Dampen))
+    used = frame.select("combined_text", *NUMBERS, *CATEGORIES, "label_index", "_test")
+    counting = Pipeline(stages=stages[:texts]).fit(used.filter(~F.col("_test")))
+    counted = kept(counting.transform(used.filter("_test IS NOT NULL")).drop("combined_text", "_words", "_pairs", "_terms", "_counts"))
+    # The weights of at most five classes, already here.
+    weight = reduce(lambda other, r: F.when(F.col("label_index") == r["label_index"], r["class_weight"]).otherwise(other), told, F.lit(None).cast("double"))
+    fitted = Pipeline(stages=stages[texts:]).fit(counted.filter(~F.col("_test")).withColumn("class_weight", weight))
+    return PipelineModel(stages=counting.stages + fitted.stages), class_report(fitted.transform(counted.filter("_test")))
 
 
 def class_report(predicted: DataFrame) -> DataFrame:

@@ -69,3 +69,17 @@ def test_anomalies_are_the_far_rows(spark):
     far = [g for g in got if g[0] >= 1000]
     assert all(g[1] for g in far) and min(g[2] for g in far) > max(g[2] for g in got if g[0] < 1000)
     assert sum(bool(g[1]) for g in got) <= 24
+
+
+def test_texts_are_read_twice(spark, told):
+    """Once for the vocabulary and once for the counts; all later stages and the report work on what was kept."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def read(text):
+        seen.add(1)
+        return text
+
+    rows = told.withColumn("text", F.udf(read, "string").asNondeterministic()("text"))
+    _, report = models.train_severity_model(rows, key=["doc_id"], test=F.col("doc_id") % 5 == 0)
+    assert report.agg(F.sum("support")).first()[0] == told.filter("doc_id % 5 = 0").count()
+    assert seen.value <= 2 * told.count()

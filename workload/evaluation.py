@@ -128,12 +128,18 @@ def prepare_features(spark, sf):
         "payload_length", "ai_score", "ai_confidence", "combined_text", "label")
 
 
+#: Texts that a task gets; work on them costs far more than moving them, and files may be few.
+TEXTS = 2500
+
+
 def judged_texts(spark, sf):
-    """Documents with labels as training rows; what is to be learned stands only in their texts."""
+    """Documents with labels as training rows, shared out evenly; what is to be learned stands only in their texts."""
     docs, labels = T.table(spark, sf, "documents"), T.table(spark, sf, "labels")
     severity = F.when(F.col("toxic") == 1, "HIGH").when(F.col("quality") == 0, "MEDIUM").otherwise("INFO")
-    return docs.join(labels, "doc_id").select(
+    judged = docs.join(labels, "doc_id").select(
         "doc_id", "text", F.lit("GET").alias("method"), F.lit("allow").alias("action"), severity.alias("label"))
+    pieces = max(spark.sparkContext.defaultParallelism, -(-labels.count() // TEXTS))
+    return judged.repartition(pieces, "doc_id", "text")
 
 
 JUDGED = """SELECT doc_id, CASE WHEN toxic = 1 THEN 'HIGH' WHEN quality = 0 THEN 'MEDIUM' ELSE 'INFO' END AS label
