@@ -10,6 +10,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,8 +24,9 @@ END_ID = 0
 #: Chunks whose ids a Python worker remembers in each of two generations.
 REMEMBERED = 500_000
 
-#: A space that does not by itself begin a new token, or white space at the start.
-_HARD = re.compile(r" (?=\s|$)|\A\s")
+_WHITE = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
+#: A space that does not by itself begin a new token, or white space at the start; for Arrow, whose ``\s`` knows ASCII only.
+_HARD = f" (?:[{_WHITE}]|\\z)|\\A[{_WHITE}]"
 #: Letters with signs behind them; the splitter cuts between.
 _SIGNED = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]+)")
 
@@ -61,31 +63,33 @@ class WordCache:
             self.signs[signs] = np.array(self._batch([signs])[0].ids, dtype="<u4").tobytes()
         return self.signs[signs]
 
-    def _meet(self, chunks: set[str]) -> None:
+    def _meet(self, chunks: list[str]) -> None:
         """Ids of all chunks are known afterwards."""
         if len(self.known) > REMEMBERED:
             self.known, self.old = {}, self.known
+        known, old = self.known, self.old
         new, signed = set(), []
-        for w in chunks.difference(self.known):
-            ids = self.old.get(w)
+        for w in [w for w in chunks if w not in known]:
+            ids = old.get(w)
             if ids is not None:
-                self.known[w] = ids
+                known[w] = ids
                 continue
-            parts = _SIGNED.fullmatch(w) if self.splits else None
+            parts = None if w.isalpha() or not self.splits else _SIGNED.fullmatch(w)
             if parts:
-                signed.append((w, *parts.groups()))
-                if parts[1] not in self.known:
-                    ids = self.old.get(parts[1])
+                letters, signs = parts.groups()
+                signed.append((w, letters, signs))
+                if letters not in known:
+                    ids = old.get(letters)
                     if ids is None:
-                        new.add(parts[1])
+                        new.add(letters)
                     else:
-                        self.known[parts[1]] = ids
+                        known[letters] = ids
             else:
                 new.add(w)
         if new:
             self._learn(list(new))
         for w, letters, signs in signed:
-            self.known[w] = self.known[letters] + self._sign_ids(signs)
+            known[w] = known[letters] + self._sign_ids(signs)
 
     def _learn(self, chunks: list[str]) -> None:
         for at in range(0, len(chunks), 4096):
@@ -104,13 +108,34 @@ class WordCache:
     def _batch(self, texts: list[str]):
         return self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        parts = [[t] if _HARD.search(t) else t.split(" ") for t in texts]
-        self._meet({w for ws in parts for w in ws[1:]})
-        get = self.known.__getitem__
-        return [np.array(first.ids, dtype="<u4").tobytes() + b"".join(map(get, ws[1:]))
-                for first, ws in zip(self._batch([ws[0] for ws in parts]), parts)]
+    def encode(self, texts: list[str] | pa.Array) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text.
+
+        Each different chunk is looked up once; the ids of all texts are then copied from those of the chunks in one step.
+        """
+        if not len(texts):
+            return []
+        texts = pa.array(texts, pa.string()) if isinstance(texts, list) else texts
+        hard = pc.match_substring_regex(texts, _HARD)
+        split = pc.split_pattern(pc.if_else(hard, "", texts), " ")
+        edges = split.offsets.to_numpy() - split.offsets[0].as_py()
+        chunks = split.flatten()
+        begin = pc.if_else(hard, texts, chunks.take(pa.array(edges[:-1])))
+        later = np.ones(len(chunks), bool)
+        later[edges[:-1]] = False
+        coded = chunks.filter(pa.array(later)).dictionary_encode()
+        different = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        self._meet(different)
+        held = [self.known[w] for w in different]
+        pool = np.frombuffer(b"".join(held), "<u4")
+        sizes = np.fromiter(map(len, held), np.int64, len(held)) // 4
+        of = coded.indices.to_numpy()
+        lengths = sizes[of]
+        ends = np.append(0, np.cumsum(lengths))
+        ids = pool[np.repeat((np.cumsum(sizes) - sizes)[of] - ends[:-1], lengths) + np.arange(ends[-1])]
+        cuts = ends[edges - np.arange(len(edges))].tolist()  # one chunk of each text is not among them
+        return [np.array(first.ids, dtype="<u4").tobytes() + ids[a:b].tobytes()
+                for first, a, b in zip(self._batch(begin.to_pylist()), cuts, cuts[1:])]
 
 
 _caches: dict[str, WordCache] = {}
@@ -139,8 +164,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: st
             for at in range(0, batch.num_rows, SLICE):
                 some = batch.slice(at, SLICE)
                 columns: list[list] = [[] for _ in target]
-                texts = [t or "" for t in some.column(1).to_pylist()]
-                for k, raw in zip(some.column(0).to_pylist(), cache.encode(texts)):
+                for k, raw in zip(some.column(0).to_pylist(), cache.encode(pc.fill_null(some.column(1), ""))):
                     raw += end
                     n = len(raw) // 4
                     edges = [0, *range(n % capacity or capacity, n + 1, capacity)]
