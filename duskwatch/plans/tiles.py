@@ -112,7 +112,7 @@ def stretches(df: DataFrame, *, keys: list[str], us: str, width: str) -> DataFra
     Rows are first put together, before the shuffle, in cells as wide as the gap: all rows of a cell belong together, and a
     cell can only go on with the next one. So a key brings at most one row per ``width`` of time, however many it
     has. ``width`` is a column that is the same for all rows of a key. One row is given per cell with ``lo`` null unless a stretch begins in it, and ``hi`` null
-    unless one ends in it.
+    unless one ends in it. Rows without a time begin and end nothing; a key that has no others is marked ``timeless``.
     """
     cells = df.groupBy(*keys, width, F.floor(F.col(us) / F.col(width)).alias("_cell")).agg(F.min(us).alias("lo"), F.max(us).alias("hi"))
     w = Window.partitionBy(F.xxhash64(*keys), *keys).orderBy("_cell")
@@ -120,7 +120,8 @@ def stretches(df: DataFrame, *, keys: list[str], us: str, width: str) -> DataFra
     near = cells.withColumns({"_prior": prior, "_next": following})
     return near.select(
         *keys, width, F.when(F.col("_prior").isNull() | (F.col("_prior") + F.col(width) <= F.col("lo")), F.col("lo")).alias("lo"),
-        F.when(F.col("_next").isNull() | (F.col("hi") + F.col(width) <= F.col("_next")), F.col("hi")).alias("hi"))
+        F.when(F.col("_next").isNull() | (F.col("hi") + F.col(width) <= F.col("_next")), F.col("hi")).alias("hi"),
+        (F.col("_cell").isNull() & F.col("_next").isNull()).alias("timeless"))
 
 
 def earlier(df: DataFrame, *, keys: list[str], us: str, cells: tuple[int, ...] = CELLS_US) -> DataFrame:

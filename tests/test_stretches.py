@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from duskwatch.operators import rules
 from duskwatch.plans import skew, tiles
 from tests.test_operators import log_frame
@@ -20,6 +22,17 @@ def test_stretches(spark):
     assert sorted((r.k, r.hi) for r in got if r.hi is not None) == sorted(ends)
 
 
+def test_values_without_a_time(spark):
+    """Rows without a time are no findings; a value that has no others is taken from the count of its group."""
+    df = spark.createDataFrame([("a", None, 7), ("a", 3, 7), ("b", None, 7), ("b", None, 7)], "k string, us bigint, w bigint")
+    got = tiles.stretches(df, keys=["k"], us="us", width="w").filter("timeless OR lo IS NOT NULL").collect()
+    assert sorted((r.k, r.lo, r.hi, r.timeless) for r in got) == [("a", 3, 3, False), ("b", None, None, True)]
+    rows = [(i, float(i), "x", {"http_path": f"/{i}"}) for i in range(5)] + [(9, 0.0, "x", {"http_path": "/9"})]
+    logs = log_frame(spark, rows).withColumn("timestamp", F.when(F.col("id") < 9, F.col("timestamp")))
+    rule = [{"id": "p", "threshold": {"field": "src_ip", "count": 3, "window_seconds": 60, "distinct": "http_path"}}]
+    assert [(r.id, r.event_count) for r in rules.threshold_rolling(logs, rule).collect()] == [(3, 3)]
+
+
 def test_sums_are_the_same_with_and_without_cells(spark):
     rng = random.Random(5)
     rows = [(k, us * 400_000, rng.randrange(-3, 4), rng.random() < 0.5 or None)
