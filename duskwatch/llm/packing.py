@@ -16,131 +16,184 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from duskwatch.llm.common import SLICE, arrow_schema, written
+from duskwatch.llm.common import arrow_schema, written
 
 CAPACITY = 2048
 #: The id after each document.
 END_ID = 0
-#: Chunks whose ids a Python worker remembers in each of two generations.
-REMEMBERED = 500_000
+#: Pieces whose ids a Python worker remembers in each of two generations, and the longest of them in characters.
+REMEMBERED, LONGEST = 700_000, 64
+#: Bytes of texts that are encoded at a time (at least one text).
+AT_A_TIME = 4 << 20
 
 _WHITE = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 #: A space that does not by itself begin a new token, or white space at the start; for Arrow, whose ``\s`` knows ASCII only.
 _HARD = f" (?:[{_WHITE}]|\\z)|\\A[{_WHITE}]"
-#: Letters with signs behind them; the splitter cuts between.
-_SIGNED = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]+)")
+#: Pieces that newlines keep apart.
+_PLAIN = re.compile(r" ?\S+")
+#: White space of two and three bytes.
+_WIDE = [np.array([int.from_bytes(c.encode(), "big") for c in _WHITE if len(c.encode()) == n]) for n in (2, 3)]
+
+_OTHER, _LETTER, _DIGIT, _SIGN, _QUOTE, _BREAK, _SPACE = range(7)
+_SEEN = (_LETTER, _DIGIT, _SIGN, _QUOTE)
+#: Kind of each byte; letters of two bytes are found apart.
+_KINDS = np.array([_OTHER if b > 126 else _LETTER if chr(b).isalpha() else _DIGIT if chr(b).isdigit() else _QUOTE if b == 39
+                   else _SIGN if b > 32 else _SPACE if b == 32 else _BREAK if 9 <= b <= 13 else _OTHER for b in range(256)], np.uint16)
+
+
+def _begins(before: int, here: int, after: int) -> bool:
+    """Whether the splitter of GPT-2 cuts before a byte for sure, by its kind and its neighbours'; what is on either side then splits alike by itself.
+
+    A run of white space is cut before its last character if something visible follows, and a
+    space then belongs to that. Only contractions have letters behind a quote.
+    """
+    if here == _BREAK:
+        return before in _SEEN or after in _SEEN
+    if here == _SPACE:
+        return after in _SEEN
+    if here == _OTHER or before in (_OTHER, _SPACE):
+        return False
+    alike = {before, here} <= {_SIGN, _QUOTE} or before == here
+    return not alike and (before, here) != (_QUOTE, _LETTER)
+
+
+_BEGINS = np.array([_begins(a, b, c) for a in range(7) for b in range(7) for c in range(7)])
 
 
 class WordCache:
     """Token ids of whole texts from a byte-level BPE of the tokenizers library.
 
     The splitter of these vocabularies always begins a token at a space that stands before
-    something visible, so the chunks between such spaces can be encoded by themselves, new ones
-    many at a time, and remembered. Where the vocabulary splits letters from signs, a word with signs behind
-    it is put together from both. Chunks in use move on to the next generation when one is full, and only
-    those not met since are forgotten. Texts with other uses of white space are encoded whole.
+    something visible, and the one of GPT-2 also between letters, digits, signs and line breaks, so the pieces
+    between can be encoded by themselves, new ones many at a time, and remembered. Pieces in use move on to the
+    next generation when one is full, and only those not met since are forgotten; long ones are not remembered.
+    With other splitters, texts with other uses of white space are encoded whole.
     """
 
     def __init__(self, vocabulary: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.tokenizer.encode_special_tokens = True
-        vocab = self.tokenizer.get_vocab()
-        self.starts = np.zeros(max(vocab.values()) + 1, bool)
-        self.starts[[i for w, i in vocab.items() if w.startswith("Ġ")]] = True
         self.known: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
-        self.signs: dict[str, bytes] = {}
-        whole = self._batch([" word,", " word", ","])
-        self.splits = whole[0].ids == whole[1].ids + whole[2].ids
-
-    def _sign_ids(self, signs: str) -> bytes:
-        if signs not in self.signs:
-            if len(self.signs) >= 65536:
-                self.signs.clear()
-            self.signs[signs] = np.array(self._batch([signs])[0].ids, dtype="<u4").tobytes()
-        return self.signs[signs]
-
-    def _meet(self, chunks: list[str]) -> None:
-        """Ids of all chunks are known afterwards."""
+        vocab = self.tokenizer.get_vocab()
+        self.starts, self.breaks = np.zeros((2, max(vocab.values()) + 1), bool)
+        self.starts[[i for w, i in vocab.items() if w.startswith("Ġ")]] = True
+        self.breaks[[i for w, i in vocab.items() if w.startswith("Ċ")]] = True
+        splitter = self.tokenizer.pre_tokenizer
+        self.splits = isinstance(splitter, ByteLevel) and splitter.use_regex and not splitter.add_prefix_space and self.tokenizer.normalizer is None
+
+    def _meet(self, pieces: list[str]) -> list[bytes]:
+        """Ids of each of the different pieces."""
         if len(self.known) > REMEMBERED:
             self.known, self.old = {}, self.known
         known, old = self.known, self.old
-        new, signed = set(), []
-        for w in [w for w in chunks if w not in known]:
-            ids = old.get(w)
-            if ids is not None:
+        held = list(map(known.get, pieces))
+        missing = [i for i, ids in enumerate(held) if ids is None]
+        learned = self._learn([w for w in map(pieces.__getitem__, missing) if w not in old])
+        for i in missing:
+            w = pieces[i]
+            ids = learned.get(w)
+            held[i] = ids = old[w] if ids is None else ids
+            if len(w) <= LONGEST:
                 known[w] = ids
-                continue
-            parts = None if w.isalpha() or not self.splits else _SIGNED.fullmatch(w)
-            if parts:
-                letters, signs = parts.groups()
-                signed.append((w, letters, signs))
-                if letters not in known:
-                    ids = old.get(letters)
-                    if ids is None:
-                        new.add(letters)
-                    else:
-                        known[letters] = ids
-            else:
-                new.add(w)
-        if new:
-            self._learn(list(new))
-        for w, letters, signs in signed:
-            known[w] = known[letters] + self._sign_ids(signs)
-
-    def _learn(self, chunks: list[str]) -> None:
-        for at in range(0, len(chunks), 4096):
-            some = chunks[at:at + 4096]
-            ids = np.array(self._batch([" " + " ".join(some)])[0].ids, dtype="<u4")
-            begin = np.flatnonzero(self.starts[ids])
-            edges = (np.append(begin, len(ids)) * 4).tolist()
-            if len(begin) != len(some):  # a vocabulary that splits otherwise
-                for w, e in zip(some, self._batch([" " + w for w in some])):
-                    self.known[w] = np.array(e.ids, dtype="<u4").tobytes()
-                continue
-            raw = ids.tobytes()
-            for w, a, b in zip(some, edges, edges[1:]):
-                self.known[w] = raw[a:b]
+        return held
+
+    def _learn(self, pieces: list[str]) -> dict[str, bytes]:
+        """Ids of different pieces by the library."""
+        learned: dict[str, bytes] = {}
+        spaced, bare, single = [], [], []
+        for w in pieces:
+            (single if not self.splits or not _PLAIN.fullmatch(w) else spaced if w[0] == " " else bare).append(w)
+        for plain, before, mark in ((spaced, "", self.starts), (bare, "\n", self.breaks)):
+            skip = 4 * len(before)
+            for at in range(0, len(plain), 4096):
+                some = plain[at:at + 4096]
+                ids = np.array(self._batch([before + before.join(some)])[0].ids, dtype="<u4")
+                edges = (np.append(np.flatnonzero(mark[ids]), len(ids)) * 4).tolist()
+                if len(edges) != len(some) + 1:
+                    single += some
+                    continue
+                raw = ids.tobytes()
+                for w, a, b in zip(some, edges, edges[1:]):
+                    learned[w] = raw[a + skip:b]
+        for w, e in zip(single, self._batch(single)):
+            learned[w] = np.array(e.ids, dtype="<u4").tobytes()
+        return learned
 
     def _batch(self, texts: list[str]):
         return self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
 
+    def _cuts(self, texts: pa.Array, raw: np.ndarray, edges: np.ndarray) -> np.ndarray:
+        """Where the pieces of all texts begin, in bytes."""
+        kinds = np.zeros(len(raw) + 2, np.uint16)
+        here = kinds[1:-1]
+        np.take(_KINDS, raw, out=here)
+        if self.splits:
+            wide = np.flatnonzero((raw >= 0xC3) & (raw <= 0xC5))  # U+00C0 to U+017F, all letters but two
+            two = raw[wide + 1]
+            wide = wide[(raw[wide] != 0xC3) | (two != 0x97) & (two != 0xB7)]
+            here[wide] = here[wide + 1] = _LETTER
+            begins = _BEGINS[kinds[:-2] * 49 + here * 7 + kinds[2:]]
+        else:
+            begins = (here == _SPACE) & (kinds[2:] != _SPACE) & (kinds[2:] != _BREAK)
+        after = np.append(raw, np.zeros(3, np.uint8))
+        wide = np.flatnonzero((here == _SPACE) & (after[1:-2] > 127))
+        two = after[wide + 1].astype(int) << 8 | after[wide + 2]
+        begins[wide] = ~(np.isin(two, _WIDE[0]) | np.isin(two << 8 | after[wide + 3], _WIDE[1]))
+        full = edges[1:] > edges[:-1]
+        last = edges[1:][full] - 1
+        begins[last] &= (here[last] != _SPACE) & ((here[last] != _BREAK) | np.isin(kinds[last], _SEEN))
+        if not self.splits:
+            begins &= np.repeat(~pc.match_substring_regex(texts, _HARD).to_numpy(zero_copy_only=False), np.diff(edges))
+        begins[edges[:-1][full]] = True
+        return np.flatnonzero(begins)
+
     def encode(self, texts: list[str] | pa.Array) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text.
 
-        Each different chunk is looked up once; the ids of all texts are then copied from those of the chunks in one step.
+        Each different piece is looked up once; the ids of all texts are then copied from those of the pieces in one step.
         """
         if not len(texts):
             return []
         texts = pa.array(texts, pa.string()) if isinstance(texts, list) else texts
-        hard = pc.match_substring_regex(texts, _HARD)
-        split = pc.split_pattern(pc.if_else(hard, "", texts), " ")
-        edges = split.offsets.to_numpy() - split.offsets[0].as_py()
-        chunks = split.flatten()
-        begin = pc.if_else(hard, texts, chunks.take(pa.array(edges[:-1])))
-        later = np.ones(len(chunks), bool)
-        later[edges[:-1]] = False
-        coded = chunks.filter(pa.array(later)).dictionary_encode()
-        different = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-        self._meet(different)
-        held = [self.known[w] for w in different]
+        _, offsets, data = texts.buffers()
+        edges = np.frombuffer(offsets, np.int32)[texts.offset:texts.offset + len(texts) + 1]
+        start = int(edges[0])
+        edges = edges - start
+        if not edges[-1]:
+            return [b""] * len(texts)
+        raw = np.frombuffer(data, np.uint8)[start:start + int(edges[-1])]
+        begin = self._cuts(texts, raw, edges)
+        places = pa.py_buffer(np.append(begin, len(raw)).astype(np.int32))
+        coded = pa.StringArray.from_buffers(len(begin), places, pa.py_buffer(raw)).dictionary_encode()
+        held = self._meet(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
         pool = np.frombuffer(b"".join(held), "<u4")
-        sizes = np.fromiter(map(len, held), np.int64, len(held)) // 4
+        sizes = np.fromiter(map(len, held), np.int32, len(held)) // 4
         of = coded.indices.to_numpy()
         lengths = sizes[of]
-        ends = np.append(0, np.cumsum(lengths))
-        ids = pool[np.repeat((np.cumsum(sizes) - sizes)[of] - ends[:-1], lengths) + np.arange(ends[-1])]
-        cuts = ends[edges - np.arange(len(edges))].tolist()  # one chunk of each text is not among them
-        return [np.array(first.ids, dtype="<u4").tobytes() + ids[a:b].tobytes()
-                for first, a, b in zip(self._batch(begin.to_pylist()), cuts, cuts[1:])]
+        ends = np.append(np.int32(0), np.cumsum(lengths, dtype=np.int32))
+        ids = pool[np.repeat((np.cumsum(sizes, dtype=np.int32) - sizes)[of] - ends[:-1], lengths) + np.arange(ends[-1], dtype=np.int32)]
+        cuts = ends[np.searchsorted(begin, edges)].tolist()
+        return [ids[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
 
 
 _caches: dict[str, WordCache] = {}
 
 
+def _shares(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch with about ``AT_A_TIME`` bytes of texts, its second column, at a time."""
+    ends = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(), dtype=np.int64)
+    at = 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + AT_A_TIME, side="right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def token_pieces(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY,
                  end_id: int = END_ID, digests: bool = False) -> DataFrame:
     """Token ids of every whole text and the end id, cut into pieces of at most ``capacity`` ids.
@@ -161,10 +214,9 @@ def token_pieces(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: st
         part = TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                some = batch.slice(at, SLICE)
+            for some in _shares(batch.set_column(1, text, pc.fill_null(batch.column(1), ""))):
                 columns: list[list] = [[] for _ in target]
-                for k, raw in zip(some.column(0).to_pylist(), cache.encode(pc.fill_null(some.column(1), ""))):
+                for k, raw in zip(some.column(0).to_pylist(), cache.encode(some.column(1))):
                     raw += end
                     n = len(raw) // 4
                     edges = [0, *range(n % capacity or capacity, n + 1, capacity)]
