@@ -24,7 +24,7 @@ END_ID = 0
 #: Pieces whose ids a Python worker remembers in each of two generations, and the longest of them in characters.
 REMEMBERED, LONGEST = 700_000, 64
 #: Bytes of texts that are encoded at a time (at least one text).
-AT_A_TIME = 4 << 20
+AT_A_TIME = 8 << 20
 
 _WHITE = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 #: A space that does not by itself begin a new token, or white space at the start; for Arrow, whose ``\s`` knows ASCII only.
@@ -34,30 +34,28 @@ _PLAIN = re.compile(r" ?\S+")
 #: White space of two and three bytes.
 _WIDE = [np.array([int.from_bytes(c.encode(), "big") for c in _WHITE if len(c.encode()) == n]) for n in (2, 3)]
 
-_OTHER, _LETTER, _DIGIT, _SIGN, _QUOTE, _BREAK, _SPACE = range(7)
-_SEEN = (_LETTER, _DIGIT, _SIGN, _QUOTE)
+_OTHER, _LETTER, _DIGIT, _SIGN, _BREAK, _SPACE = range(6)
+_SEEN = (_LETTER, _DIGIT, _SIGN)
 #: Kind of each byte; letters of two bytes are found apart.
-_KINDS = np.array([_OTHER if b > 126 else _LETTER if chr(b).isalpha() else _DIGIT if chr(b).isdigit() else _QUOTE if b == 39
-                   else _SIGN if b > 32 else _SPACE if b == 32 else _BREAK if 9 <= b <= 13 else _OTHER for b in range(256)], np.uint16)
+_KINDS = bytes(_OTHER if b > 126 else _LETTER if chr(b).isalpha() else _DIGIT if chr(b).isdigit() else _SIGN if b > 32
+               else _SPACE if b == 32 else _BREAK if 9 <= b <= 13 else _OTHER for b in range(256))
 
 
 def _begins(before: int, here: int, after: int) -> bool:
     """Whether the splitter of GPT-2 cuts before a byte for sure, by its kind and its neighbours'; what is on either side then splits alike by itself.
 
     A run of white space is cut before its last character if something visible follows, and a
-    space then belongs to that. Only contractions have letters behind a quote.
+    space then belongs to that. Letters behind a quote, as in contractions, are another matter.
     """
     if here == _BREAK:
         return before in _SEEN or after in _SEEN
     if here == _SPACE:
         return after in _SEEN
-    if here == _OTHER or before in (_OTHER, _SPACE):
-        return False
-    alike = {before, here} <= {_SIGN, _QUOTE} or before == here
-    return not alike and (before, here) != (_QUOTE, _LETTER)
+    return here != _OTHER and before != here and before not in (_OTHER, _SPACE)
 
 
-_BEGINS = np.array([_begins(a, b, c) for a in range(7) for b in range(7) for c in range(7)])
+#: By the kinds of three bytes in a row, as digits to base 6.
+_BEGINS = bytes(n < 216 and _begins(n // 36, n // 6 % 6, n % 6) for n in range(256))
 
 
 class WordCache:
@@ -129,15 +127,16 @@ class WordCache:
 
     def _cuts(self, texts: pa.Array, raw: np.ndarray, edges: np.ndarray) -> np.ndarray:
         """Where the pieces of all texts begin, in bytes."""
-        kinds = np.zeros(len(raw) + 2, np.uint16)
+        kinds = np.frombuffer(bytearray(b"\0" + raw.tobytes() + b"\0").translate(_KINDS), np.uint8)
         here = kinds[1:-1]
-        np.take(_KINDS, raw, out=here)
         if self.splits:
             wide = np.flatnonzero((raw >= 0xC3) & (raw <= 0xC5))  # U+00C0 to U+017F, all letters but two
             two = raw[wide + 1]
             wide = wide[(raw[wide] != 0xC3) | (two != 0x97) & (two != 0xB7)]
             here[wide] = here[wide + 1] = _LETTER
-            begins = _BEGINS[kinds[:-2] * 49 + here * 7 + kinds[2:]]
+            begins = np.frombuffer(bytearray(kinds[:-2] * 36 + here * 6 + kinds[2:]).translate(_BEGINS), bool)
+            quoted = np.flatnonzero(raw[:-1] == 39) + 1
+            begins[quoted] &= here[quoted] != _LETTER
         else:
             begins = (here == _SPACE) & (kinds[2:] != _SPACE) & (kinds[2:] != _BREAK)
         after = np.append(raw, np.zeros(3, np.uint8))
@@ -159,7 +158,7 @@ class WordCache:
         """
         if not len(texts):
             return []
-        texts = pa.array(texts, pa.string()) if isinstance(texts, list) else texts
+        texts = pa.array(texts, pa.string()) if isinstance(texts, list) else texts.cast(pa.string())
         _, offsets, data = texts.buffers()
         edges = np.frombuffer(offsets, np.int32)[texts.offset:texts.offset + len(texts) + 1]
         start = int(edges[0])
