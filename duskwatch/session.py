@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Memory that the RocksDB states of an executor share, however many there are; a session's own settings go first.
+ROCKSDB_BOUNDS = {"boundedMemoryUsage": "true", "maxMemoryUsageMB": "256"}
 
 
 def configure(spark: SparkSession) -> SparkSession:
@@ -14,6 +16,18 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def state_on_disk(spark: SparkSession) -> None:
+    """State of streams started from now on lies on disk and takes a fixed share of an executor's memory.
+
+    Spark's default keeps all rows of a state in the heap. A stream that has a checkpoint goes on with the provider it began with.
+    """
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    for name, value in ROCKSDB_BOUNDS.items():
+        key = f"spark.sql.streaming.stateStore.rocksdb.{name}"
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, value)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from duskwatch.functions import severity as sev
 from duskwatch.operators.hits import as_hits
+from duskwatch.session import state_on_disk
 
 RANKS = 5
 
@@ -14,27 +15,32 @@ RANKS = 5
 def silent_sessions(logs: DataFrame, *, gap_seconds: int = 1800, delay: str = "10 seconds", resolution: int = 1) -> DataFrame:
     """One row per session: its rows up to the first silence of more than ``gap_seconds``; on a stream it is released when that has passed.
 
-    Rows are first put together per session id and time step, before the shuffle too, so a busy session
-    costs a row per ``resolution`` seconds; silences are counted in whole steps. ``first`` and ``last`` hold time and id
+    Rows are first put together per session id, time step and severity, before the shuffle too, so a busy session
+    costs at most five rows per ``resolution`` seconds; silences are counted in whole steps. ``first`` and ``last`` hold time and id
     of the first and last row of each severity, which is all that the detectors ask of the order of rows.
     Rows without a session id, time or known severity: left out, left out, counted but without a place in the order.
+    A stream holds a step until the watermark has passed it, so all steps of a backlog that comes in one batch; its state lies on disk.
     """
-    rank, at = sev.rank(F.col("severity")), F.struct("timestamp", "id")
-    rows = logs.filter("session_id <> '' AND timestamp IS NOT NULL").withColumn("event_time", F.col("timestamp").cast("timestamp"))
-    kind = F.when(F.col("attack_type") != "NONE", F.col("attack_type"))
-    steps = rows.withWatermark("event_time", delay).groupBy(F.window("event_time", f"{resolution} seconds").alias("w"), "session_id").agg(
-        F.count("*").alias("n"), F.min(F.struct("timestamp", "id", "src_ip")).alias("opened"), F.max("timestamp").alias("seen_at"),
-        F.collect_set(kind).alias("kinds"), F.collect_set(F.nullif("geo_country", F.lit(""))).alias("countries"),
-        *[F.min(F.when(rank == r, at)).alias(f"first_{r}") for r in range(RANKS)],
-        *[F.max(F.when(rank == r, at)).alias(f"last_{r}") for r in range(RANKS)])
-    steps = steps.withColumn("step_time", F.window_time("w"))
+    if logs.isStreaming:
+        state_on_disk(logs.sparkSession)
+    c = F.col
+    # Columns first, as each aggregate would work them out again.
+    rows = logs.filter("session_id <> '' AND timestamp IS NOT NULL").select(
+        c("timestamp").cast("timestamp").alias("event_time"), "session_id", sev.rank(c("severity")).alias("rank"),
+        F.struct("timestamp", "id", "src_ip").alias("opener"), F.struct("timestamp", "id").alias("at"),
+        F.when(c("attack_type") != "NONE", c("attack_type")).alias("kind"), F.nullif("geo_country", F.lit("")).alias("country"))
+    steps = rows.withWatermark("event_time", delay).groupBy(F.window("event_time", f"{resolution} seconds").alias("w"), "session_id", "rank").agg(
+        F.count("*").alias("n"), F.min("opener").alias("opened"), F.max("at").alias("last"), F.collect_set("kind").alias("kinds"),
+        F.collect_set("country").alias("countries"))
+    steps = steps.select(F.window_time("w").alias("step_time"), "session_id", "rank", "n", "opened", "last", "kinds", "countries",
+                         F.struct("opened.timestamp", "opened.id").alias("first"))
     found = steps.groupBy(F.session_window("step_time", f"{gap_seconds} seconds").alias("s"), "session_id").agg(
-        F.sum("n").alias("event_count"), F.min("opened").alias("opened"), F.max("seen_at").alias("seen_at"),
-        *[F.array_sort(F.array_distinct(F.flatten(F.collect_set(c)))).alias(c) for c in ("kinds", "countries")],
-        F.array(*[F.min(f"first_{r}") for r in range(RANKS)]).alias("first"),
-        F.array(*[F.max(f"last_{r}") for r in range(RANKS)]).alias("last"))
-    return found.select("session_id", F.col("opened.timestamp").alias("started_at"), "seen_at", F.col("opened.src_ip").alias("src_ip"),
-                        "event_count", "kinds", "countries", "first", "last")
+        F.sum("n").alias("event_count"), F.min("opened").alias("opened"),
+        *[F.array_sort(F.array_distinct(F.flatten(F.collect_set(a)))).alias(a) for a in ("kinds", "countries")],
+        F.array(*[F.min(F.when(c("rank") == r, c("first"))) for r in range(RANKS)]).alias("first"),
+        F.array(*[F.max(F.when(c("rank") == r, c("last"))) for r in range(RANKS)]).alias("last"))
+    return found.select("session_id", c("opened.timestamp").alias("started_at"), F.array_max("last")["timestamp"].alias("seen_at"),
+                        c("opened.src_ip").alias("src_ip"), "event_count", "kinds", "countries", "first", "last")
 
 
 def stream_silent_sessions(

@@ -315,3 +315,27 @@ def test_sessions_end_by_silence(spark, tmp_path):
     jobs.run_to_end(jobs.stream_alert_dedup(hits, delay="0 seconds"), str(tmp_path / "alerts"), str(tmp_path / "cp2"))
     assert spark.read.parquet(str(tmp_path / "alerts")).count() > 0
     assert got(sessions.stream_silent_sessions(spark.createDataFrame([], schema))) == []
+
+
+def test_silent_sessions_hold_their_state_on_disk(spark, tmp_path):
+    """Whatever the session says of providers before; Spark's default holds the whole backlog in the heap of the executors."""
+    key = "spark.sql.streaming.stateStore."
+    names = [key + n for n in ("providerClass", "rocksdb.boundedMemoryUsage", "rocksdb.maxMemoryUsageMB")]
+    held = {n: spark.conf.get(n, None) for n in names}
+    try:
+        for n in names:
+            spark.conf.unset(n)
+        spark.conf.set(names[2], "100")
+        schema = "timestamp timestamp_ntz, id bigint, session_id string, src_ip string, attack_type string, severity string, geo_country string"
+        rows = [(T0 + dt.timedelta(microseconds=i), i, "a", f"ip{i}", ["XSS", "RCE"][i % 2], ["high", "LOW", "odd"][i % 3], "DE") for i in range(9)]
+        end = [(T0 + dt.timedelta(hours=2), 99, "end", "ip", "NONE", "INFO", "")]
+        stream = sessions.stream_silent_sessions(feed(spark, str(tmp_path / "in"), rows + end, schema, 1), delay="0 seconds")
+        jobs.run_to_end(stream, str(tmp_path / "out"), str(tmp_path / "cp"))
+        assert "RocksDBStateStoreProvider" in (tmp_path / "cp/offsets/0").read_text()
+        assert spark.conf.get(names[1]) == "true" and spark.conf.get(names[2]) == "100"
+        got = spark.read.schema(stream.schema).parquet(str(tmp_path / "out")).select("session_id", "src_ip", "event_count", "log_ids", "seen_at")
+        # One second with rows of three grades, of which the unknown one counts as INFO.
+        assert [tuple(r) for r in got.collect()] == [("a", "ip0", 9, [0, 1, 2, 6, 7, 8], rows[-1][0])]
+    finally:
+        for n, value in held.items():
+            spark.conf.unset(n) if value is None else spark.conf.set(n, value)
