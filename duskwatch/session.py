@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-#: Memory that the RocksDB states of an executor share, however many there are; a session's own settings go first.
-ROCKSDB_BOUNDS = {"boundedMemoryUsage": "true", "maxMemoryUsageMB": "256"}
+#: Memory that the RocksDB states of an executor share, however many there are, and no disk ahead of need, which each state would take.
+#: A session's own settings go first.
+ROCKSDB_BOUNDS = {"boundedMemoryUsage": "true", "maxMemoryUsageMB": "256", "allowFAllocate": "false"}
 
 
 def configure(spark: SparkSession) -> SparkSession:
