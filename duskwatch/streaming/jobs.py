@@ -219,12 +219,14 @@ def stream_incidents(
         return state, emitted
 
     folded = stream_fold(
-        counts.withColumn("ip", F.col("_ip")), keys=["_ip"], order="second", values=["ip", "n", "first", "changes"],
+        # Spark gives columns that begin with an underscore to a processor under another name.
+        counts.withColumnRenamed("_ip", "address").withColumn("ip", F.col("address")), keys=["address"], order="second",
+        values=["ip", "n", "first", "changes"],
         out=[("anchor", "bigint"), ("second", "bigint"), ("alert_count", "bigint"), ("first", "string")], step=step,
         until=lambda state, row: max([h[1] + window_seconds for h in state[1]], default=row[0]), resolution=resolution)
     f = F.from_json("first", "severity string, title string, attack_type string, http_path string")
     return folded.withColumn("f", f).select(
-        _uid(F.col("_ip"), F.col("anchor") * 1_000_000).alias("incident_uid"), F.nullif("_ip", F.lit("")).alias("src_ip"),
+        _uid(F.col("address"), F.col("anchor") * 1_000_000).alias("incident_uid"), F.nullif("address", F.lit("")).alias("src_ip"),
         from_micros(F.col("anchor") * 1_000_000).alias("created_at"), from_micros(F.col("second") * 1_000_000).alias("seen_at"), "alert_count",
         F.concat(F.lit("Auto-escalated: "), "f.title").alias("title"),
         F.when(F.col("f.severity") == "CRITICAL", "CRITICAL").otherwise("HIGH").alias("priority"))
